@@ -49,3 +49,10 @@ def fresh(df: DataFrame, stem: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+def slices(batches, size: int = 128):
+    """Arrow batches in slices of few rows, so that the words of a slice fit in memory however long the batch is."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, size):
+            yield batch.slice(at, size)

@@ -13,48 +13,68 @@ empty table gives no piece. Extra columns are ignored.
 from __future__ import annotations
 
 import os
+import re
+from array import array
+from functools import lru_cache
 
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caselode.llm.common import documents, text_of, written
+from caselode.llm.common import documents, slices, text_of, written
 
 CAPACITY, END, WINDOWS = 2048, 1, 32
 #: So many neighbouring tasks have their leftovers merged together.
 GROUP = 16
 #: The words whose ids a worker remembers; beyond it the memory starts anew.
-REMEMBERED = 300_000
+REMEMBERED = 600_000
 
 PIECE = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, task long, ids binary"
 
 
+#: Words of printable ASCII and Latin-1 only: no normalisation joins or changes their letters but lower case.
+PLAIN = re.compile(rb"(?:[\x21-\x7e]|\xc2[\xa1-\xbf]|\xc3[\x80-\xbf])+")
+#: The tokenizer's own split of a word, within which its merges stay (fixed by the vocabulary file).
+UNITS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+
+
 class WordIds:
-    """Ids of whole texts by a tokenizer whose words never join across ASCII white space; remembers words."""
+    """Ids of whole texts by a tokenizer whose words never join across ASCII white space; remembers words and their units."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer, self.known, self.units = Tokenizer.from_file(path), {}, {}
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each text."""
+        split = [t.encode().split() for t in texts]
+        new = [w for w in set().union(*split) if w not in self.known]
+        if len(self.known) + len(new) > REMEMBERED:
+            self.known, self.units = {}, {}
+            new = list(set().union(*split))
+        plain = [w for w in new if PLAIN.fullmatch(w)]
+        odd = [w for w in new if not PLAIN.fullmatch(w)]
+        parts = [UNITS.findall(w.decode().lower()) for w in plain]
+        fresh_units = list({u for own in parts for u in own} - self.units.keys())
+        self.units.update(zip(fresh_units, self._encode(fresh_units), strict=True))
+        units = self.units
+        self.known.update((w, units[own[0]] if len(own) == 1 else b"".join([units[u] for u in own])) for w, own in zip(plain, parts, strict=True))
+        self.known.update(zip(odd, self._encode([w.decode() for w in odd]), strict=True))
+        # a special token's string is found before words are
+        return [self._encode([t])[0] if "<|" in t else b"".join(map(self.known.__getitem__, words)) for t, words in zip(texts, split, strict=True)]
 
-    def __call__(self, text: str) -> bytes:
-        """Little-endian unsigned 32-bit ids."""
-        if "<|" in text:  # may hold a special token's string, which is found before words are
-            return self._pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
-        words = text.encode().split()
-        if new := [w for w in set(words) if w not in self.known]:
-            if len(self.known) > REMEMBERED:
-                self.known.clear()
-                new = list(set(words))
-            for w, e in zip(new, self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False), strict=True):
-                self.known[w] = self._pack(e.ids)
-        return b"".join(map(self.known.__getitem__, words))
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
 
-    @staticmethod
-    def _pack(ids: list[int]) -> bytes:
-        return b"".join(i.to_bytes(4, "little") for i in ids)
+
+@lru_cache
+def word_ids(path: str) -> WordIds:
+    """One for all tasks that a worker runs."""
+    return WordIds(path)
 
 
 def _batches(rows: list[tuple], schema: pa.Schema):
@@ -84,7 +104,7 @@ def pack(
 
     def place(batches):
         schema, task = _schema(), TaskContext.get().partitionId()
-        ids_of, open_, closed = WordIds(tokenizer), [], 0  # open_: [free bytes, pieces]
+        ids_of, open_, closed = word_ids(tokenizer), [], 0  # open_: [free bytes, pieces]
 
         def close(pieces):
             nonlocal closed
@@ -93,10 +113,10 @@ def pack(
                 yield (doc, start, len(ids) // 4, total, (task << 32) + closed - 1, at, None, ids)
                 at += len(ids) // 4
 
-        for batch in batches:
+        for batch in slices(batches):
             out = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = ids_of(text) + end_bytes
+            for doc, ids in zip(batch.column(0).to_pylist(), ids_of(batch.column(1).to_pylist()), strict=True):
+                ids += end_bytes
                 total = len(ids) // 4
                 whole = len(ids) - len(ids) % size
                 for at in range(0, whole, size):
