@@ -5,9 +5,11 @@ from __future__ import annotations
 from caselode.llm.exact_dedup import OP9_SQL, op9_exact_dedup
 from caselode.llm.fingerprints import op8_fingerprints
 from caselode.llm.packing import op3_packing
+from caselode.llm.toxicity import op6_toxicity
 
 QUERIES = {
     "op3_packing": op3_packing,
+    "op6_toxicity": op6_toxicity,
     "op8_fingerprints": op8_fingerprints,
     "op9_exact_dedup": op9_exact_dedup,
 }
