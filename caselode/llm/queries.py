@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from caselode.llm.exact_dedup import OP9_SQL, op9_exact_dedup
 from caselode.llm.fingerprints import op8_fingerprints
+from caselode.llm.near_dedup import op10_near_dedup
 from caselode.llm.packing import op3_packing
 from caselode.llm.toxicity import op6_toxicity
 
@@ -12,6 +13,7 @@ QUERIES = {
     "op6_toxicity": op6_toxicity,
     "op8_fingerprints": op8_fingerprints,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_near_dedup": op10_near_dedup,
 }
 
 ORACLE_SQL = {
