@@ -6,11 +6,13 @@ from caselode.llm.exact_dedup import OP9_SQL, op9_exact_dedup
 from caselode.llm.fingerprints import op8_fingerprints
 from caselode.llm.near_dedup import op10_near_dedup
 from caselode.llm.packing import op3_packing
+from caselode.llm.pii import op7_pii
 from caselode.llm.toxicity import op6_toxicity
 
 QUERIES = {
     "op3_packing": op3_packing,
     "op6_toxicity": op6_toxicity,
+    "op7_pii": op7_pii,
     "op8_fingerprints": op8_fingerprints,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_near_dedup": op10_near_dedup,
