@@ -7,10 +7,12 @@ from caselode.llm.fingerprints import op8_fingerprints
 from caselode.llm.near_dedup import op10_near_dedup
 from caselode.llm.packing import op3_packing
 from caselode.llm.pii import op7_pii
+from caselode.llm.substring_dedup import op5_substring_dedup
 from caselode.llm.toxicity import op6_toxicity
 
 QUERIES = {
     "op3_packing": op3_packing,
+    "op5_substring_dedup": op5_substring_dedup,
     "op6_toxicity": op6_toxicity,
     "op7_pii": op7_pii,
     "op8_fingerprints": op8_fingerprints,
