@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from caselode.llm.exact_dedup import OP9_SQL, op9_exact_dedup
 from caselode.llm.fingerprints import op8_fingerprints
+from caselode.llm.lm import op1_lm_scoring
 from caselode.llm.near_dedup import op10_near_dedup
 from caselode.llm.packing import op3_packing
 from caselode.llm.pii import op7_pii
@@ -11,6 +12,7 @@ from caselode.llm.substring_dedup import op5_substring_dedup
 from caselode.llm.toxicity import op6_toxicity
 
 QUERIES = {
+    "op1_lm_scoring": op1_lm_scoring,
     "op3_packing": op3_packing,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_toxicity": op6_toxicity,
