@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from caselode.llm.exact_dedup import OP9_SQL, op9_exact_dedup
 from caselode.llm.fingerprints import op8_fingerprints
+from caselode.llm.licenses import OP2_SQL, op2_licenses
 from caselode.llm.lm import op1_lm_scoring
 from caselode.llm.near_dedup import op10_near_dedup
 from caselode.llm.packing import op3_packing
@@ -13,6 +14,7 @@ from caselode.llm.toxicity import op6_toxicity
 
 QUERIES = {
     "op1_lm_scoring": op1_lm_scoring,
+    "op2_licenses": op2_licenses,
     "op3_packing": op3_packing,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_toxicity": op6_toxicity,
@@ -23,5 +25,6 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op2_licenses": OP2_SQL,
     "op9_exact_dedup": OP9_SQL,
 }
