@@ -2,24 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from caselode.plans import metrics
 
-from caselode.session import read_table
-
-
-def latency_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nearest-rank p50, p95 and p99 of the positive values of each event type."""
-    events = read_table(spark, sf_dir, "events").where(F.col("value") > 0)
-    rank = lambda p: F.expr(f"percentile_disc({p}D) WITHIN GROUP (ORDER BY value)")
-    return events.groupBy("event_type").agg(rank(0.5).alias("p50"), rank(0.95).alias("p95"), rank(0.99).alias("p99"), F.count("*").alias("n"))
-
-
-QUERIES = {"latency_panel": latency_panel}
-ORACLE_SQL = {
-    "latency_panel": """
-SELECT event_type, v[greatest(1, ceil(0.5 * n))::INT] AS p50, v[greatest(1, ceil(0.95::DOUBLE * n))::INT] AS p95,
-       v[greatest(1, ceil(0.99::DOUBLE * n))::INT] AS p99, n
-FROM (SELECT event_type, list_sort(list(value)) AS v, count(*) AS n FROM events WHERE value > 0 GROUP BY event_type)
-"""
-}
+_PARTS = (metrics,)
+QUERIES = {name: f for part in _PARTS for name, f in part.QUERIES.items()}
+ORACLE_SQL = {name: sql for part in _PARTS for name, sql in part.ORACLE_SQL.items()}
