@@ -123,15 +123,9 @@ def preview(text: Column, width: int = 96) -> Column:
 
 
 def near(text: Column, left, right, window: int = 80) -> Column:
-    """Whether a needle of left is followed, within the window, by a needle of right; overlaps count.
-
-    For every place of a left needle the stretch from its start is looked at, as the rule says.
-    """
-    found = []
-    for n in left:
-        places = F.filter(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text))), lambda i, n=n: F.substring(text, i, F.lit(len(n))) == n)
-        found.append(F.when(F.contains(text, F.lit(n)), F.exists(places, lambda i, n=n: any_of(F.substring(text, i, F.lit(len(n) + window)), right))).otherwise(False))
-    return reduce(lambda a, b: a | b, found)
+    """Whether a needle of right lies within the stretch that begins with a needle of left and goes window characters beyond it."""
+    rules = [f"(?={n})(?=.{{0,{len(n) + window - len(o)}}}{o})" for n in left for o in right]
+    return text.rlike("(?s)" + "|".join(rules))
 
 
 def instruction_signals(text: Column) -> Column:
