@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from caselode.llm.near_dedup import classes, components, dart_signature, without_near_copies
+from caselode.llm.near_dedup import classes, components, dart_signatures, planes, may_reach, without_near_copies
 
 
 def brute_set(text):
@@ -43,8 +43,14 @@ def test_signature_agreement_is_the_weighted_jaccard(weighted):
     a, b = (draw.choice([0.3, 1, 2.5, 7], 300) if weighted else np.ones(300) for _ in "ab")
     a[:60], b[-40:] = 0, 0
     size = 4000
-    s, t = (dart_signature(keys[w > 0], w[w > 0], size) for w in (a, b))
-    assert abs((s == t).mean() - np.minimum(a, b).sum() / np.maximum(a, b).sum()) < 0.035
+    s, t = drawn = dart_signatures([(keys[w > 0], w[w > 0]) for w in (a, b)], size)
+    want = np.minimum(a, b).sum() / np.maximum(a, b).sum()
+    assert abs((s == t).mean() - want) < 0.035
+    x, y = (p.view(np.uint64) for p in planes(drawn))
+    half = len(x) // 2
+    differ = sum(int(u).bit_count() for u in (x[:half] ^ y[:half]) | (x[half:] ^ y[half:]))
+    assert abs(differ / size - 0.75 * (1 - want)) < 0.035 and differ <= may_reach(size, want)
+    assert np.array_equal(dart_signatures([(keys[b > 0], b[b > 0])], size)[0], t)
 
 
 def test_classes_against_all_pairs(spark):
@@ -76,6 +82,13 @@ def test_hot_group_and_chain(spark):
     assert {frozenset(g) for g in got_classes(classes(spark.createDataFrame(rows, "doc_id long, text string")).collect())} == {frozenset(range(400))}
 
 
+def test_counts_as_weights(spark):
+    rows = [(1, "a b c d e " * 30), (2, "a b c d e " * 29), (3, "a b c d e " * 10)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.class_id for r in classes(df, weights="count").collect()} == {1: 1, 2: 1, 3: 3}
+    assert {r.class_id for r in classes(df).collect()} == {1}
+
+
 def test_components(spark):
     pairs = [(i, i + 1) for i in range(40)] + [(100, 90), (90, 95), (7, 3)]
     got = {r.id: r.label for r in components(spark.createDataFrame(pairs, "a long, b long")).collect()}
