@@ -56,3 +56,14 @@ def slices(batches, size: int = 128):
     for batch in batches:
         for at in range(0, batch.num_rows, size):
             yield batch.slice(at, size)
+
+
+_MEMORY: dict = {"owner": None, "value": None}
+
+
+def memory(owner, make):
+    """What a worker remembers for the operator that it runs now; another owner's memory is given up first."""
+    if _MEMORY["owner"] != owner:
+        _MEMORY.update(owner=None, value=None)
+        _MEMORY.update(owner=owner, value=make())
+    return _MEMORY["value"]

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caselode.llm.common import documents, scratch, slices, text_of
+from caselode.llm.common import documents, memory, scratch, slices, text_of
 
 ORDER = 2
 #: n-grams that a shard is meant to hold, and tokens that a task counts before it sends them on.
@@ -90,9 +90,8 @@ class Words(dict):
         return out
 
 
-@lru_cache
 def words() -> Words:
-    return Words()
+    return memory("tokens", Words)
 
 
 def token_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:

@@ -24,7 +24,6 @@ from __future__ import annotations
 import pickle
 import re
 from collections import defaultdict
-from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
@@ -33,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caselode.llm.common import documents, fresh, slices, text_of, written
+from caselode.llm.common import documents, fresh, memory, slices, text_of, written
 
 REACH, DECAY = 6, 0.6
 LANDMARKS = 160
@@ -43,7 +42,7 @@ MAX_LABELLED = 40_000
 CANDIDATES = 4_000
 #: Times that the words of other texts with the highest margins join the negative ones.
 HARD_ROUNDS = 2
-REMEMBERED = 500_000
+REMEMBERED = 400_000
 SLICE = 128
 
 SPACED = re.compile(r"(?<!\S)\w(?:\s+\w){2,}(?!\S)")
@@ -85,7 +84,7 @@ def by_length(words: list[str]):
         groups[len(w)].append(at)
     for n, at in groups.items():
         if n >= 3:
-            step = max(1, 200_000 // n)
+            step = max(1, 50_000 // n)
             for i in range(0, len(at), step):
                 some = at[i : i + step]
                 yield n, np.array(some), np.frombuffer("".join(words[x] for x in some).encode("utf-32-le"), np.uint32).reshape(len(some), n).astype(np.int64)
@@ -251,10 +250,9 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
     return model
 
 
-@lru_cache(2)
 def loaded(packed: bytes) -> Model:
     """One for all tasks that a worker runs, with the words that it remembers."""
-    return pickle.loads(packed)
+    return memory(("toxicity", packed), lambda: pickle.loads(packed))
 
 
 def word_margins(model: Model):
