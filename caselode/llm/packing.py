@@ -15,7 +15,6 @@ from __future__ import annotations
 import os
 import re
 from array import array
-from functools import lru_cache
 
 import pyarrow as pa
 import regex
@@ -23,13 +22,13 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caselode.llm.common import documents, slices, text_of, written
+from caselode.llm.common import documents, memory, slices, text_of, written
 
 CAPACITY, END, WINDOWS = 2048, 1, 32
 #: So many neighbouring tasks have their leftovers merged together.
 GROUP = 16
-#: The words whose ids a worker remembers; beyond it the memory starts anew.
-REMEMBERED = 600_000
+#: A generation of words, or of their units, whose ids a worker remembers; it remembers two.
+REMEMBERED = 350_000
 
 PIECE = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, task long, ids binary"
 
@@ -47,34 +46,52 @@ class WordIds:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known, self.units = Tokenizer.from_file(path), {}, {}
+        self.tokenizer = Tokenizer.from_file(path)
+        self.words, self.units = Generations(), Generations()
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         split = [t.encode().split() for t in texts]
-        new = [w for w in set().union(*split) if w not in self.known]
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known, self.units = {}, {}
-            new = list(set().union(*split))
-        plain = [w for w in new if PLAIN.fullmatch(w)]
-        odd = [w for w in new if not PLAIN.fullmatch(w)]
-        parts = [UNITS.findall(w.decode().lower()) for w in plain]
-        fresh_units = list({u for own in parts for u in own} - self.units.keys())
-        self.units.update(zip(fresh_units, self._encode(fresh_units), strict=True))
-        units = self.units
-        self.known.update((w, units[own[0]] if len(own) == 1 else b"".join([units[u] for u in own])) for w, own in zip(plain, parts, strict=True))
-        self.known.update(zip(odd, self._encode([w.decode() for w in odd]), strict=True))
+        known = self.words.with_all(set().union(*split), self._words)
         # a special token's string is found before words are
-        return [self._encode([t])[0] if "<|" in t else b"".join(map(self.known.__getitem__, words)) for t, words in zip(texts, split, strict=True)]
+        return [self._encode([t])[0] if "<|" in t else b"".join(map(known.__getitem__, own)) for t, own in zip(texts, split, strict=True)]
+
+    def _words(self, new: list[bytes]) -> list[bytes]:
+        parts = [UNITS.findall(w.decode().lower()) if PLAIN.fullmatch(w) else None for w in new]
+        units = self.units.with_all({u for own in parts if own for u in own}, self._units)
+        odd = iter(self._encode([w.decode() for w, own in zip(new, parts, strict=True) if own is None]))
+        return [next(odd) if own is None else units[own[0]] if len(own) == 1 else b"".join([units[u] for u in own]) for own in parts]
+
+    def _units(self, new: list[str]) -> list[bytes]:
+        model = self.tokenizer.model  # printable ASCII stands for itself in it
+        odd = iter(self._encode([u for u in new if not u.isascii()]))
+        return [array("I", [t.id for t in model.tokenize(u)]).tobytes() if u.isascii() else next(odd) for u in new]
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
 
 
-@lru_cache
+class Generations:
+    """Values by key in two generations: a full one becomes the old one, from which keys in use come back."""
+
+    def __init__(self):
+        self.now, self.old = {}, {}
+
+    def with_all(self, keys: set, make) -> dict:
+        """A dict that holds all these keys; make gives the values of a list of new ones."""
+        if len(self.now) > REMEMBERED:
+            self.now, self.old = {}, self.now
+        missing = [k for k in keys if k not in self.now]
+        new = [k for k in missing if k not in self.old]
+        if len(new) < len(missing):
+            self.now.update((k, self.old[k]) for k in missing if k in self.old)
+        self.now.update(zip(new, make(new) if new else [], strict=True))
+        return self.now
+
+
 def word_ids(path: str) -> WordIds:
     """One for all tasks that a worker runs."""
-    return WordIds(path)
+    return memory(("ids", path), lambda: WordIds(path))
 
 
 def _batches(rows: list[tuple], schema: pa.Schema):
