@@ -9,6 +9,7 @@ from caselode.llm.lm import op1_lm_scoring
 from caselode.llm.near_dedup import op10_near_dedup
 from caselode.llm.packing import op3_packing
 from caselode.llm.pii import op7_pii
+from caselode.llm.segmentation import op4_segmentation
 from caselode.llm.substring_dedup import op5_substring_dedup
 from caselode.llm.toxicity import op6_toxicity
 
@@ -16,6 +17,7 @@ QUERIES = {
     "op1_lm_scoring": op1_lm_scoring,
     "op2_licenses": op2_licenses,
     "op3_packing": op3_packing,
+    "op4_segmentation": op4_segmentation,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_toxicity": op6_toxicity,
     "op7_pii": op7_pii,
