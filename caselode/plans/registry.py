@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from caselode.plans import metrics, texts
+from caselode.plans import guard, metrics, texts
 
-_PARTS = (metrics, texts)
+_PARTS = (metrics, texts, guard)
 QUERIES = {name: f for part in _PARTS for name, f in part.QUERIES.items()}
 ORACLE_SQL = {name: sql for part in _PARTS for name, sql in part.ORACLE_SQL.items()}
