@@ -60,12 +60,15 @@ class Vocabulary:
                 self.ids[piece] = i
                 self.begins.update(piece[:n] for n in range(1, len(piece)))
                 self.pieces[i] = piece.encode()
+        # every piece and every beginning of one: its id, or -1; its weight
+        self.table = {b: (-1, 0.0) for b in self.begins}
         first = min(self.ids.values())
         rank = np.arange(model.get_piece_size()) - first
         rank[list(self.bytes.values())] = len(rank)
         weight = (np.maximum(rank, 0) + OFFSET) ** -sharpness
         self.weights = (weight / weight[list(self.pieces)].sum()).tolist()
         self.logs = np.log(self.weights).tolist()
+        self.table.update((p, (i, self.weights[i])) for p, i in self.ids.items())
 
         pairs = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
         letters = sorted({c for p in pairs for c in p})
@@ -88,21 +91,22 @@ class Vocabulary:
 
 def edges_of(chunk: str, v: Vocabulary) -> list[list[tuple[int, tuple[int, ...], float]]]:
     """For each place of a chunk the pieces that start there: end, ids and weight."""
-    n, ids, begins, weights = len(chunk), v.ids, v.begins, v.weights
+    n, find = len(chunk), v.table.get
     out = []
     for i in range(n):
-        j = i + 1
-        piece = chunk[i:j]
-        if (x := ids.get(piece)) is not None:
-            own = [(j, (x,), weights[x])]
-        else:
-            way = tuple([v.bytes[b] for b in piece.encode()])
-            own = [(j, way, prod([weights[b] for b in way]))]
-        while piece in begins and j < n:
-            j += 1
-            piece = chunk[i:j]
-            if (x := ids.get(piece)) is not None:
-                own.append((j, (x,), weights[x]))
+        x, w = find(chunk[i], (-2, 0.0))
+        if x >= 0:
+            own = [(i + 1, (x,), w)]
+        else:  # a character that only bytes spell
+            way = tuple([v.bytes[b] for b in chunk[i].encode()])
+            own = [(i + 1, way, prod([v.weights[b] for b in way]))]
+        if x != -2:
+            for j in range(i + 2, n + 1):
+                found = find(chunk[i:j])
+                if found is None:
+                    break
+                if found[0] >= 0:
+                    own.append((j, (found[0],), found[1]))
         out.append(own)
     return out
 
@@ -127,6 +131,45 @@ def sums(edges) -> tuple[list[float], list[int], float]:
     return [t if not x else (t, x) for t, x in zip(total, scale, strict=True)], choice, min(0.0, best[0] - log(total[0]) - scale[0])
 
 
+def mode_of(chunk: str, v: Vocabulary) -> tuple[bytes, float]:
+    """Ids of a chunk's likeliest way and its log probability, without keeping the lattice."""
+    n, find = len(chunk), v.table.get
+    total, best, step = [1.0] * (n + 1), [1.0] * (n + 1), [(0, 0)] * (n + 1)
+    for i in range(n - 1, -1, -1):
+        x, w = find(chunk[i], (-2, 0.0))
+        if x < 0:  # a character that only bytes spell
+            w = prod([v.weights[v.bytes[b]] for b in chunk[i].encode()])
+        z, top, at = w * total[i + 1], w * best[i + 1], (i + 1, x)
+        if x != -2:
+            for j in range(i + 2, n + 1):
+                found = find(chunk[i:j])
+                if found is None:
+                    break
+                x, w = found
+                if x >= 0:
+                    z += w * total[j]
+                    if (b := w * best[j]) > top:
+                        top, at = b, (j, x)
+        total[i], best[i], step[i] = z, top, at
+    if best[0] < 1e-250:  # too long for plain products
+        edges = edges_of(chunk, v)
+        _, choice, log_p = sums(edges)
+        i, ids = 0, []
+        while i < n:
+            i, own, _ = edges[i][choice[i]]
+            ids += own
+        return array("I", ids).tobytes(), log_p
+    i, ids = 0, []
+    while i < n:
+        j, x = step[i]
+        if x >= 0:
+            ids.append(x)
+        else:
+            ids += [v.bytes[b] for b in chunk[i].encode()]
+        i = j
+    return array("I", ids).tobytes(), min(0.0, log(best[0] / total[0]))
+
+
 class Lattice:
     """All ways through one chunk: at each place the edges with their probabilities, given the place."""
 
@@ -265,13 +308,7 @@ class Sampler:
         for c in set(chunks):
             if c not in now:
                 if (found := old.get(c)) is None:
-                    edges = edges_of(c, self.vocabulary)
-                    _, choice, log_p = sums(edges)
-                    i, ids = 0, []
-                    while i < len(edges):
-                        i, own, _ = edges[i][choice[i]]
-                        ids += own
-                    found = (array("I", ids).tobytes(), log_p)
+                    found = mode_of(c, self.vocabulary)
                 now[c] = found
         return list(map(now.__getitem__, chunks))
 

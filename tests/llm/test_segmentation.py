@@ -4,7 +4,7 @@ from itertools import product
 import numpy as np
 import pytest
 
-from caselode.llm.segmentation import Lattice, Sampler, decode, encode, op4_segmentation, piece_model
+from caselode.llm.segmentation import Lattice, Sampler, decode, encode, mode_of, op4_segmentation, piece_model
 
 
 @pytest.fixture(scope="module")
@@ -42,6 +42,8 @@ def test_lattice_against_all_ways(sampler, text):
     lattice = Lattice(text, sampler.vocabulary)
     way, log_p = lattice.first()
     assert math.exp(log_p) == pytest.approx(max(want.values())) and want[tuple(lattice.ids(way))] == pytest.approx(max(want.values()))
+    ids, x = mode_of(text, sampler.vocabulary)
+    assert math.exp(x) == pytest.approx(max(want.values())) and want[tuple(np.frombuffer(ids, "<u4").tolist())] == pytest.approx(max(want.values()))
     rng = np.random.default_rng(1)
     barred = []
     for _ in range(min(len(want), 6)):
