@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from caselode.functions import lexicons as L
 from caselode.functions import text as T
 from caselode.functions.stats import cosine
+from caselode.session import checkpointed
 
 DIM = 512
 
@@ -141,7 +142,7 @@ def asked(questions: DataFrame, leaves: DataFrame, parents: DataFrame) -> DataFr
         seen = todo.join(per, "query_id", "left").withColumn("xs", F.coalesce("xs", F.array().cast("array<struct<place:int,score:double,text:string,breadcrumb:string>>")))
         evidence = F.array_join(of(lambda x: F.concat_ws(" ", x.text, x.breadcrumb)), " ")
         seen = seen.withColumns({"attempts": F.lit(attempt), "sufficiency": sufficiency(F.col("question"), of(lambda x: x.score), evidence)})
-        seen = seen.withColumns({"route": route(F.col("sufficiency"), F.col("attempts")), "next": refined(F.col("query"), of(lambda x: x.breadcrumb))}).drop("xs").checkpoint()
+        seen = checkpointed(seen.withColumns({"route": route(F.col("sufficiency"), F.col("attempts")), "next": refined(F.col("query"), of(lambda x: x.breadcrumb))}).drop("xs"))
         ended = seen.where("route <> 'refine'").drop("next")
         done = ended if done is None else done.unionByName(ended)
         todo = seen.where("route = 'refine'").select("query_id", "question", F.col("next").alias("query"))

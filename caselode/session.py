@@ -28,3 +28,23 @@ def local_session(cores: int = 8, app: str = "caselode", **extra: str) -> SparkS
 def read_table(spark: SparkSession, sf_dir: str, name: str):
     """One parquet table of a data folder; any path that Spark's readers open."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+_OWN: dict[str, str] = {}
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one of our own only where it is unset."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found:
+        app = spark.sparkContext.applicationId
+        found = _OWN.get(app) or _OWN.setdefault(app, tempfile.mkdtemp(prefix="caselode-"))
+    return found.rstrip("/")
+
+
+def checkpointed(df):
+    """df from a checkpoint in the shared folder: its lineage ends there."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_folder(df.sparkSession))
+    return df.checkpoint()
