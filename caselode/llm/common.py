@@ -9,9 +9,6 @@ from pyspark.sql import functions as F
 
 from caselode.session import shared_folder
 
-#: Word separators of the language-model contract; also used wherever "words" of a text are meant.
-WORD = r"[^\x20\x09-\x0D]+"
-
 
 def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

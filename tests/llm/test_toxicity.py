@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from caselode.llm.common import documents
-from caselode.llm.toxicity import DECAY, REACH, Model, by_length, features, letters, nystroem_svm, op6_toxicity, predict, tokens, without_toxic
+from caselode.llm.toxicity import DECAY, REACH, by_length, features, letters, nystroem_svm, op6_toxicity, predict, tokens, without_toxic
 
 
 def brute(word):
