@@ -29,12 +29,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caselode.llm.common import documents, memory, scratch, slices, text_of
+from caselode.llm.common import documents, memory, scratch, slices, text_of, written
 
 ORDER = 2
 #: n-grams that a shard is meant to hold, and tokens that a task counts before it sends them on.
 SHARD, FLUSH = 1_000_000, 4_000_000
-REMEMBERED = 700_000
+REMEMBERED = 500_000
 END = np.uint64(xxhash.xxh64_intdigest(b" end"))
 
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
@@ -276,7 +276,8 @@ def train(texts: DataFrame, order: int = ORDER, shard: int = SHARD) -> Model:
     folder = local_path(scratch(spark, "lm"))
     os.makedirs(folder, exist_ok=True)
 
-    n_words = texts.select(F.sum(F.size(F.split(F.col(texts.columns[0]), r"[\x20\x09-\x0D]+"))).alias("n")).head().n or 0
+    # about six characters a token: this only decides how many shards there are
+    n_words = (texts.agg(F.sum(F.length(texts.columns[0]))).head()[0] or 0) // 6
     bits = max(0, int(np.ceil(np.log2(max(1, n_words) / shard))))
 
     def word_counts(batches):
@@ -344,7 +345,7 @@ def train(texts: DataFrame, order: int = ORDER, shard: int = SHARD) -> Model:
                 publish(f"{folder}/x{k}-{s}.cnt", np.stack(sums, axis=1).ravel())
                 yield blocks([(300, s, None, None, None, None, None)])
 
-        level = gathered(level, k, bits).mapInArrow(add_up, BLOCK).checkpoint()
+        level = written(gathered(level, k, bits).mapInArrow(add_up, BLOCK), "level")
         if k > 1:
             gathered(level, 200, bits).mapInArrow(add_contexts, BLOCK).count()
         rows = [np.frombuffer(r.a, "<i8") for r in level.where(F.col("kind") == 100 + k).select("a").collect()]
