@@ -1,7 +1,9 @@
 """Licence scans: TF-IDF cosine of headers and licence files to templates, then inheritance from the nearest directory.
 
-A row with a licence word is cut into sentences; those with such a word are header candidates, and the whole text is a
-licence-file candidate. Candidates become sparse vectors, term counts times the inverse document frequency of the term
+A row with a licence word is cut into sentences; those with such a word are header candidates, and so are the sentences
+of its paragraphs with the line ends joined, runs of up to ``LINES`` neighbouring lines and its comment blocks, so that
+wrapped notices count; the whole text is a licence-file candidate. Whole texts and comment blocks also meet the complete
+licence texts of licence_texts, from ``TEXT`` on; an SPDX tag names its licences itself, with score 1. Candidates become sparse vectors, term counts times the inverse document frequency of the term
 among the templates (terms that no template has weigh most), and meet the templates' few hundred terms in a broadcast
 join; the cosine is a sum by candidate and template. A header takes its best template from ``HEADER`` on; a text is a licence file from ``FILE`` on, or
 from ``HEADER`` on if its name says so. Each directory takes its best licence file; each distinct directory looks for
@@ -9,7 +11,8 @@ the nearest ancestor, itself first, that has one, by joins on path prefixes; row
 
 Defined results: null and empty texts declare nothing but may inherit; null paths count as the root's; a row is known by
 id and path together (nulls equal), so rows that repeat both share the best of their licences. Equal cosines go to the
-licence first in alphabet, then to the first path. An empty table gives no rows. Extra columns are ignored.
+licence first in alphabet, then to the first path; so do the licences of an SPDX expression. An SPDX id that no template has stays
+as written; -only, -or-later and + are left out. The SQL knows the sentences and short notices alone. An empty table gives no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,8 +25,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caselode.llm.common import documents, text_of, written
+from caselode.llm.licence_texts import TEXTS
 
 HEADER, FILE = 0.5, 0.5
+#: Least cosine to a complete text, where everyday words weigh more than in a notice, and most lines of a wrapped notice.
+TEXT, LINES = 0.8, 4
 
 #: SPDX ids and the notices usual for them.
 TEMPLATES = [
@@ -50,41 +56,75 @@ TEMPLATES = [
 #: Words without which a sentence is no candidate, and names of licence files.
 TRIGGER = "licen[cs]|copyright|permission is hereby|spdx"
 FILE_NAME = "(?i)^(licen[cs]e|copying|notice)(\\.(txt|md))?$"
+#: Comment blocks: lines that begin with a marker, or what stands between two; and SPDX expressions.
+BLOCK = r"(?m)(?:^[ \t]*+(?:#|//|--|;|%|\*|dnl\b|rem\b)[^\n]*+\n?)++|/\*(?:[^*]|\*(?!/))*+|<!--(?:[^-]|-(?!->))*+"
+SPDX_ID = r"[(]*[A-Za-z0-9][A-Za-z0-9.+-]*+[)]*"
+SPDX = rf"(?i)SPDX-License-Identifier[ \t]*:[ \t]*({SPDX_ID}(?:[ \t]+(?:and|or|with)[ \t]+{SPDX_ID})*+)"
 
 
 def terms(text: str) -> list[str]:
     return re.findall("[a-z0-9]+", text.lower())
 
 
-def template_vectors() -> tuple[dict[str, float], float, list[tuple[int, str, str, float]]]:
+def notices() -> list[tuple[str, Counter]]:
+    return [(name, Counter(terms(t))) for name, t in TEMPLATES]
+
+
+def complete() -> list[tuple[str, Counter]]:
+    """Licence and bag of terms of the complete texts."""
+    return [(name, Counter({w: int(n) for w, _, n in (x.partition(":") for x in bag.split())})) for name, bag in TEXTS.items()]
+
+
+def template_vectors(named: list[tuple[str, Counter]] | None = None) -> tuple[dict[str, float], float, list[tuple[int, str, str, float]]]:
     """idf by term, that of all other terms, and (template, licence, term, weight) rows of unit vectors."""
-    bags = [Counter(terms(t)) for _, t in TEMPLATES]
+    named = named or notices()
+    bags = [b for _, b in named]
     seen = Counter(w for b in bags for w in b)
     idf = {w: math.log((1 + len(bags)) / (1 + n)) + 1 for w, n in sorted(seen.items())}
     rows = []
-    for i, ((name, _), bag) in enumerate(zip(TEMPLATES, bags, strict=True)):
+    for i, (name, bag) in enumerate(named):
         norm = math.sqrt(sum((n * idf[w]) ** 2 for w, n in bag.items()))
         rows += [(i, name, w, n * idf[w] / norm) for w, n in sorted(bag.items())]
     return idf, math.log(1 + len(bags)) + 1, rows
 
 
 def candidates(rows: DataFrame) -> DataFrame:
-    """id, path, seg (0: the whole text, else a sentence) and its text."""
+    """id, path, seg (0: the whole text, 1 on: a header candidate, below 0: a comment block) and its text."""
     low = F.lower("text")
-    marked = rows.where(low.rlike(TRIGGER))
-    sentences = F.split(F.regexp_replace(low, r"([.!?;])[ \t\r\n\f]+", "$1\n"), "[\r\n]+")
-    headers = F.array_distinct(F.filter(sentences, lambda s: s.rlike(TRIGGER)))
-    return marked.select("id", "path", F.posexplode(F.concat(F.array(low), headers)).alias("seg", "part"))
-
-
-def cosines(rows: DataFrame) -> DataFrame:
+    marked = rows.where(low.rlike(TRIGGER)).select("id", "path", low.alias("low"), F.split(low, "[\r\n]+").alias("lines"))
+    split = lambda text: F.split(F.regexp_replace(text, r"([.!?;])[ \t\r\n\f]+", "$1\n"), "[\r\n]+")
+    # paragraphs end at lines without a letter or digit; a NUL stands for their ends while line ends become blanks
+    joined = F.regexp_replace(F.regexp_replace("low", r"\n[^\p{L}\p{N}\n]*+\n", "\0"), r"[\r\n]+", " ")
+    wrapped = F.flatten(F.transform(F.split(joined, "\0"), split))
+    at = F.filter(F.sequence(F.lit(1), F.size("lines")), lambda i: F.element_at("lines", i).rlike(TRIGGER))
+    run = lambda i, n, up: F.array_join(F.slice("lines", F.greatest(F.lit(1), i - up), F.least(F.lit(n), n + i - up - 1)), " ")
+    runs = F.flatten(F.transform(at, lambda i: F.array(*[run(i, n, up) for n in range(2, LINES + 1) for up in range(n)])))
+    headers = F.array_distinct(F.filter(F.concat(split(F.col("low")), wrapped, runs), lambda s: s.rlike(TRIGGER)))
+    blocks = F.array_distinct(F.filter(F.regexp_extract_all("low", F.lit(BLOCK), F.lit(0)), lambda s: s.rlike(TRIGGER)))
+    cut = marked.select("id", "path", "low", headers.alias("headers"), blocks.alias("blocks"))
+    part = lambda seg, text: F.struct(seg.cast("int").alias("seg"), text.alias("part"))
+    parts = F.concat(F.array(part(F.lit(0), F.col("low"))), F.transform("headers", lambda p, i: part(i + 1, p)), F.transform("blocks", lambda p, i: part(-i - 1, p)))
+    return cut.select("id", "path", F.explode(parts).alias("c")).select("id", "path", "c.*")
+
+
+def tags(rows: DataFrame) -> DataFrame:
+    """id, path, licence and score 1 of every licence that an SPDX tag names."""
+    same = F.create_map(*[F.lit(x) for name in sorted({n for n, _ in TEMPLATES} | set(TEXTS)) for x in (name.lower(), name)])
+    found = rows.where(F.col("text").rlike("(?i)spdx")).select("id", "path", F.explode(F.regexp_extract_all("text", F.lit(SPDX), F.lit(1))).alias("x"))
+    plain = F.regexp_replace("x", r"(?i)[ \t]+with[ \t]+[^ \t()]+", "")
+    ids = found.select("id", "path", F.explode(F.split(plain, r"(?i)[ \t()]+(?:and|or)[ \t()]+")).alias("x"))
+    name = F.regexp_replace(F.regexp_replace("x", "^[(]+|[.)-]+$", ""), "(?i)(-only|-or-later|[+])$", "")
+    return ids.select("id", "path", F.coalesce(same[F.lower(name)], name).alias("licence"), F.lit(1.0).alias("score")).distinct()
+
+
+def cosines(found: DataFrame, named: list[tuple[str, Counter]]) -> DataFrame:
     """id, path, seg, licence and score: the best template's cosine for each candidate."""
-    spark = rows.sparkSession
-    idf, other, vectors = template_vectors()
+    spark = found.sparkSession
+    idf, other, vectors = template_vectors(named)
     known = spark.createDataFrame(sorted(idf.items()), "term string, idf double")
     template = spark.createDataFrame(vectors, "template int, licence string, term string, weight double")
     key = ["id", "path", "seg"]
-    counted = candidates(rows).select(*key, F.explode(F.regexp_extract_all("part", F.lit("[a-z0-9]+"), F.lit(0))).alias("term")).groupBy(*key, "term").agg(F.count("*").alias("tf"))
+    counted = found.select(*key, F.explode(F.regexp_extract_all("part", F.lit("[a-z0-9]+"), F.lit(0))).alias("term")).groupBy(*key, "term").agg(F.count("*").alias("tf"))
     weighed = counted.join(F.broadcast(known), "term", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(other)))
     per = weighed.groupBy(*key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), F.collect_list(F.when(F.col("idf").isNotNull(), F.struct("term", "w"))).alias("terms"))
     dots = per.select(*key, "norm", F.explode("terms").alias("t")).join(F.broadcast(template), F.col("t.term") == F.col("term"))
@@ -101,10 +141,14 @@ def directory(path: Column) -> Column:
 def scan(df: DataFrame, path: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, path, licence, score, how (header, file, inherited or none) and from_path."""
     rows = df.select(F.col(id_col).alias("id"), F.coalesce(path, F.lit("")).alias("path"), text_of(text_col).alias("text"))
-    best = cosines(rows)
-    header = best.where((F.col("seg") > 0) & (F.col("score") >= HEADER)).groupBy("id", "path").agg(F.min(F.struct(-F.col("score"), "licence")).alias("h"))
+    found = candidates(rows)
+    best = cosines(found, notices())
+    whole = cosines(found.where("seg <= 0"), complete()).where(F.col("score") >= TEXT)
+    columns = ["id", "path", "licence", "score"]
+    headers = best.where((F.col("seg") != 0) & (F.col("score") >= HEADER)).select(*columns).union(whole.where("seg < 0").select(*columns)).union(tags(rows))
+    header = headers.groupBy("id", "path").agg(F.min(F.struct(-F.col("score"), "licence")).alias("h"))
     name = F.regexp_extract("path", "([^/]*)$", 1)
-    file = best.where((F.col("seg") == 0) & (F.col("score") >= F.when(name.rlike(FILE_NAME), HEADER).otherwise(FILE))).select("id", "path", "licence", "score").distinct()
+    file = best.where((F.col("seg") == 0) & (F.col("score") >= F.when(name.rlike(FILE_NAME), HEADER).otherwise(FILE))).select(*columns).union(whole.where("seg = 0").select(*columns)).distinct()
     declared = file.groupBy(directory(F.col("path")).alias("above")).agg(F.min(F.struct(-F.col("score"), "licence", "path")).alias("f"))
     keys = rows.select("id", "path").withColumn("dir", directory(F.col("path")))
     parts = F.split("dir", "/")

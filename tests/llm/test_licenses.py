@@ -85,3 +85,83 @@ def test_documents(spark):
     got = {r.doc_id: (r.licence, r.score, r.how, r.from_path) for r in scan(docs, path).collect()}
     print(Counter(v[2] for v in got.values()))
     assert got == brute(rows)
+
+
+BSD3 = """Copyright (c) 2011, Some One
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+3. Neither the name of Acme nor the names of its contributors may be used to
+   endorse or promote products derived from this software without specific
+   prior written permission.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND
+ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED
+WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR
+ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES
+(INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES;
+LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON
+ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT
+(INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS
+SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.
+"""
+FULL_MIT = """Copyright (c) 2014 Any Body
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.
+"""
+GPL3 = """ * This program is free software: you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation, either version 3 of the License, or
+ * (at your option) any later version."""
+SYSTEM_TEXTS = [("Apache-2.0", "Apache-2.0"), ("GPL-2", "GPL-2.0"), ("GPL-3", "GPL-3.0"), ("BSD", "BSD-3-Clause")]
+
+
+def test_complete_texts_tags_and_wrapped_headers(spark):
+    comment = lambda mark, text: "".join(f"{mark} {x}".rstrip() + "\n" for x in text.splitlines())
+    wide = lambda x: (x, "inherited")
+    rows = [
+        ("m/LICENSE", FULL_MIT, ("MIT", "file")), ("m/a.py", "code", wide("MIT")), ("b/LICENSE.txt", BSD3, ("BSD-3-Clause", "file")), ("b/c/a.py", "code", wide("BSD-3-Clause")),
+        ("s/1.c", "// SPDX-License-Identifier: MIT\nint x;", ("MIT", "header")), ("s/2.c", "/* SPDX-License-Identifier: GPL-2.0-only */\nint x;", ("GPL-2.0", "header")),
+        ("s/3.c", "# spdx-license-identifier: (apache-2.0 OR MIT)\n", ("Apache-2.0", "header")), ("s/4.c", "// SPDX-License-Identifier: GPL-2.0+ WITH Classpath-exception-2.0", ("GPL-2.0", "header")),
+        ("s/5.c", "// SPDX-License-Identifier: Zlib", ("Zlib", "header")), ("w/1.c", "/*\n" + GPL3 + "\n */\nint main() {}\n", ("GPL-3.0", "header")),
+        ("w/2.py", comment("#", FULL_MIT) + "import os\n" + "x = 1\n" * 900, ("MIT", "header")), ("w/3.py", "# Released under\n# the MIT\n# License\nimport os\n" + "x = 1\n" * 9, ("MIT", "header")),
+        ("n/a.md", "This note on licences and on the copyright of the works of others is\nnot one itself.\nNor is the rest of it.\n" * 30, (None, "none")),
+    ]
+    for file, name in SYSTEM_TEXTS:
+        try:
+            with open(f"/usr/share/common-licenses/{file}") as f:
+                rows += [(f"t{file}/x", f.read(), None), (f"t{file}/y", "code", wide(name))]
+        except FileNotFoundError:
+            pass
+    df = spark.createDataFrame([(i, p, t) for i, (p, t, _) in enumerate(rows)], "doc_id long, p string, text string")
+    got = {r.p: (r.licence, r.how) for r in scan(df, F.col("p")).withColumnRenamed("path", "p").collect()}
+    want = {p: w for p, _, w in rows if w}
+    # a notice inside a licence file may be taken for its header; the licence and what is inherited have to be right
+    assert {p: got[p][0] for p in want} == {p: w[0] for p, w in want.items()}
+    assert all(got[p][1] == w[1] for p, w in want.items() if w[1] != "file")
