@@ -3,13 +3,13 @@
 Base spans are the leftmost matches of four patterns that pass their test (``BASE``). Places come from the texts between
 the matches, so everything is done by built-in functions; possessive forms keep long runs linear and match the same.
 
-Terms: every distinct value found is a protected entity e. For the words t that stand within ``WINDOW`` characters of
-its mentions, the corpus gives P(e | t), the share of the documents with t that have t beside e. The information that t
-discloses about e is log2(P(e | t) / P(e)); as a share of all there is to know, -log2 P(e), it reaches 1 where t never
-occurs without e. From ``GENERALISE`` on the term is generalised to its kind of word, from ``REMOVE`` on it is removed,
-beside every mention of e. Only pairs seen in ``SUPPORT`` or more different contexts count, so that copies of a text
-prove nothing. Candidate pairs, their counts and the document counts of their terms are ordinary aggregates over the
-whole corpus with map-side combining.
+Terms: every distinct value found is a protected entity e. For the words t of the documents that hold it, base spans
+left out, the corpus gives P(e | t), the share of the documents with t that hold e. The information that t discloses
+about e is log2(P(e | t) / P(e)); as a share of all there is to know, -log2 P(e), it reaches 1 where t never occurs
+without e. From ``GENERALISE`` on the term is generalised to its kind of word, from ``REMOVE`` on it is removed, at all
+its places in the documents that hold e, and with ``everywhere`` in all others too. Only pairs seen in ``SUPPORT`` or
+more different texts count, so that copies of a text prove nothing. Words have ``shortest`` characters or more. What can't
+pass is dropped first: values in too few texts, and terms in too many documents.
 
 Defined results: null and empty texts have no spans; null ids are carried along; a repeated row is a row of its own in
 the result and one more document in the counts. Empty tables give no rows. ``sanitise`` keeps all columns of its input,
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from caselode.llm.common import documents, fresh, text_of, written
 
-WINDOW, SUPPORT = 64, 2
+SUPPORT = 2
 GENERALISE, REMOVE = 0.75, 0.9
 
 #: Kind, pattern, and a cheap condition without which the pattern can't match.
@@ -35,7 +35,11 @@ BASE = [
 ]
 KINDS = [k for k, _, _ in BASE] + ["term"]
 OCTET = "0*(?:[0-9]|[1-9][0-9]|1[0-9][0-9]|2[0-4][0-9]|25[0-5])"
-WORD = r"[\p{L}\p{N}][\p{L}\p{N}'_-]{3,}+"
+WORD = r"[\p{L}\p{N}][\p{L}\p{N}'_-]{%d,}+"
+#: Telling terms are looked for by hash first: so many numbers at most are broadcast, and only words that hit one are sent.
+BUCKETS = 1 << 20
+#: What the registered queries ask for: words of two characters or more, terms taken out of every text.
+WHOLE = {"shortest": 2, "everywhere": True}
 SPAN = "array<struct<kind:string,value:string,s:bigint,e:bigint>>"
 
 
@@ -86,42 +90,66 @@ def base_spans(text: Column) -> Column:
     return F.concat(*[matches(text, *b) for b in BASE])
 
 
-def terms_beside(text: Column, x: Column) -> Column:
-    """Spans of the whole words within WINDOW characters of span x."""
-    inside, n = r"[\p{L}\p{N}'_-]+", F.length(text)
-    left = F.substring(text, F.greatest(x.s - WINDOW, F.lit(0)) + 1, F.least(x.s, F.lit(WINDOW)).cast("int"))
-    left = F.when(x.s > WINDOW, F.regexp_replace(left, "^" + inside, "")).otherwise(left)
-    right = F.substring(text, x.e + 1, F.lit(WINDOW))
-    right = F.when(x.e + WINDOW < n, F.regexp_replace(right, inside + "$", "")).otherwise(right)
-    shift = lambda spans, by: F.transform(spans, lambda y: F.struct(F.lower(y.value).alias("term"), (y.s + by).alias("s"), (y.e + by).alias("e")))
-    return F.concat(shift(matches(left, "term", WORD), x.s - F.length(left)), shift(matches(right, "term", WORD), x.e))
+def words_of(text: Column, shortest: int) -> Column:
+    """The words of a text, each in lower case."""
+    return F.transform(F.regexp_extract_all(text, F.lit(WORD % (shortest - 1)), F.lit(0)), F.lower)
+
+
+def places_of(text: Column, told: Column, shortest: int) -> Column:
+    """Spans of all words that told, an array of structs with a term, lists; kind term, value the term."""
+    word = WORD % (shortest - 1)
+    parts = F.arrays_zip(F.split(text, word, -1).alias("p"), F.regexp_extract_all(text, F.lit(word), F.lit(0)).alias("m"))
+
+    def step(acc, x):
+        s = acc.at + F.length(x.p)
+        e = s + F.coalesce(F.length(x.m), F.lit(0))
+        one = F.array(F.struct(F.lit("term").alias("kind"), F.lower(x.m).alias("value"), s.cast("long").alias("s"), e.cast("long").alias("e")))
+        return F.struct(e.alias("at"), F.when(F.coalesce(F.array_contains(told, F.lower(x.m)), F.lit(False)), F.concat(acc.out, one)).otherwise(acc.out).alias("out"))
+
+    return F.aggregate(parts, F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out")), step, lambda acc: acc.out)
+
+
+def blanked(text: Column, spans: Column) -> Column:
+    """The text with blanks in place of its base spans, all else where it was."""
+    ordered = F.transform(F.array_sort(F.transform(spans, lambda x: F.struct(x.s.alias("s"), x.e.alias("e")))), lambda y: y)
+
+    def step(acc, x):
+        start = F.greatest(acc.at, x.s)
+        between = F.substring(text, (acc.at + 1).cast("int"), (start - acc.at).cast("int"))
+        return F.struct(F.concat(acc.out, F.array(between, F.repeat(F.lit(" "), F.greatest(F.lit(0), x.e - start).cast("int")))).alias("out"), F.greatest(acc.at, x.e).alias("at"))
+
+    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).cast("long").alias("at"))
+    done = F.aggregate(ordered, start, step, lambda acc: F.concat(F.array_join(acc.out, ""), F.substring(text, (acc.at + 1).cast("int"), F.length(text))))
+    return F.when(F.size(spans) > 0, done).otherwise(text)
 
 
 def found_spans(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """row (a number of its own), id, spans and, for each span, the words beside it; written, as all else reads it."""
-    rows = df.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), text_of(text_col).alias("text"))
-    rows = rows.withColumn("spans", base_spans(F.col("text")))
-    beside = F.transform("spans", lambda x: F.struct(x.kind.alias("kind"), F.lower(x.value).alias("value"), terms_beside(F.col("text"), x).alias("terms")))
-    return written(rows.select("row", "id", "spans", beside.alias("mentions")), "spans")
+    """row (a number of its own), id, spans, the entities' kinds and values, text (without them) and its digest; written, as all else reads it."""
+    rows = df.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), text_of(text_col).alias("whole"))
+    rows = rows.withColumn("spans", base_spans(F.col("whole")))
+    entities = F.array_distinct(F.transform("spans", lambda x: F.struct(x.kind.alias("kind"), F.lower(x.value).alias("value"))))
+    return written(rows.select("row", "id", "spans", entities.alias("entities"), blanked(F.col("whole"), F.col("spans")).alias("text"), F.xxhash64("whole").alias("digest")), "spans")
 
 
-def disclosing(df: DataFrame, found: DataFrame, text_col: str, generalise: float, support: int) -> DataFrame:
+def disclosing(found: DataFrame, generalise: float, support: int, shortest: int) -> DataFrame:
     """Pairs of entity (kind, value) and term, with the share of the entity's information that the term discloses."""
-    mentions = found.where(F.size("mentions") > 0).select("row", F.explode("mentions").alias("m")).select("row", "m.kind", "m.value", F.col("m.terms.term").alias("terms"))
-    context = F.xxhash64(F.array_join("terms", " "))
-    pairs = mentions.select("row", "kind", "value", context.alias("context"), F.explode(F.array_distinct("terms")).alias("term"))
-    joint = pairs.groupBy("kind", "value", "term").agg(F.countDistinct("row").alias("together"), F.countDistinct("context").alias("contexts")).where(F.col("contexts") >= support)
-    beside = pairs.select("row", "term").distinct().groupBy("term").agg(F.count("*").alias("beside"))
-    entity = mentions.select("kind", "value", "row").distinct().groupBy("kind", "value").agg(F.count("*").alias("with_entity"))
+    mentions = found.where(F.size("entities") > 0).select("row", "digest", F.explode("entities").alias("m")).select("row", "digest", "m.kind", "m.value")
+    entity = mentions.groupBy("kind", "value").agg(F.count("*").alias("with_entity"), F.countDistinct("digest").alias("texts"))
     total = found.agg(F.count("*").alias("total"))
-    known = -F.log2(F.col("with_entity") / F.col("total"))
-    share = lambda n: 1 + F.log2(F.least(F.lit(1.0), F.col("together") / F.col(n))) / known
-    # a term stands in no fewer documents than beside some entity: what fails by that count fails by the whole one
-    hopeful = joint.join(beside, "term").join(entity, ["kind", "value"]).join(F.broadcast(total)).where("with_entity < total").where(share("beside") >= generalise)
-    hopeful = written(hopeful.select("kind", "value", "term", "together", "with_entity", "total"), "joint")
-    words = F.array_distinct(F.split(F.lower(text_of(text_col)), r"[^\p{L}\p{N}'_-]+"))
-    df_of = df.select(F.explode(words).alias("term")).where(F.length("term") >= 4).join(hopeful.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("with_term"))
-    return hopeful.join(df_of, "term").withColumn("share", share("with_term")).where(F.col("share") >= generalise).select("kind", "value", "term", "share")
+    # together is at most with_entity, so a term in more than `most` documents can't reach the share
+    most = F.floor(F.col("with_entity") * F.pow(F.col("total") / F.col("with_entity"), F.lit(1 - generalise)) * (1 + 1e-9))
+    entity = entity.where(F.col("texts") >= support).join(F.broadcast(total), F.lit(True)).where("with_entity < total").select("kind", "value", "with_entity", "total", most.alias("most"))
+    entity = written(entity, "entities")
+    holders = written(mentions.join(entity, ["kind", "value"]), "holders")
+    highest = holders.agg(F.max("most").alias("highest"))
+    words = found.select("row", F.explode(F.array_distinct(words_of(F.col("text"), shortest))).alias("term"))
+    with_term = words.groupBy("term").agg(F.count("*").alias("with_term")).join(F.broadcast(highest), F.lit(True)).where((F.col("with_term") >= support) & (F.col("with_term") <= F.col("highest"))).select("term", "with_term")
+    beside = found.join(holders.select("row").distinct(), "row", "left_semi").select("row", F.explode(F.array_distinct(words_of(F.col("text"), shortest))).alias("term"))
+    pairs = holders.join(beside.join(with_term, "term"), "row").where("with_term <= most")
+    key = ["kind", "value", "term"]
+    joint = pairs.groupBy(*key, "with_entity", "total", "with_term").agg(F.count("*").alias("together"), F.countDistinct("digest").alias("texts")).where(F.col("texts") >= support)
+    share = 1 + F.log2(F.col("together") / F.col("with_term")) / -F.log2(F.col("with_entity") / F.col("total"))
+    return written(joint.withColumn("share", share).where(F.col("share") >= generalise).select(*key, "share"), "told")
 
 
 def spans(
@@ -131,20 +159,29 @@ def spans(
     generalise: float = GENERALISE,
     remove: float = REMOVE,
     support: int = SUPPORT,
+    shortest: int = 4,
+    everywhere: bool = False,
 ) -> DataFrame:
     """row, id and spans (kind, value, s, e, by kind, then start) of every row of df; kind term for disclosing words.
 
     A term's value is what takes its place: empty where it is removed.
     """
     found = found_spans(df, id_col, text_col)
-    told = disclosing(df, found, text_col, generalise, support)
-    beside = found.where(F.size("mentions") > 0).select("row", "spans", F.explode("mentions").alias("m")).select("row", "spans", "m.kind", "m.value", F.explode("m.terms").alias("t"))
-    hits = beside.join(told.withColumnRenamed("term", "_term"), (F.col("t.term") == F.col("_term")) & (beside.kind == told.kind) & (beside.value == told.value))
-    clear = ~F.exists("spans", lambda x: (x.s < F.col("t.e")) & (x.e > F.col("t.s")))
-    place = F.when(F.col("t.term").rlike("^[0-9]+$"), "[NUMBER]").otherwise("[TERM]")
-    per_span = hits.where(clear).groupBy("row", F.col("t.s").alias("s"), F.col("t.e").alias("e")).agg(F.max("share").alias("share"), F.first(place).alias("place"))
-    term = F.struct(F.lit("term").alias("kind"), F.when(F.col("share") >= remove, "").otherwise(F.col("place")).alias("value"), "s", "e")
-    terms = per_span.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("s", term.alias("x")))).alias("xs")).select("row", F.col("xs.x").alias("terms"))
+    told = disclosing(found, generalise, support, shortest)
+    if everywhere:
+        words = found.select("row", F.explode(F.array_distinct(words_of(F.col("text"), shortest))).alias("term"))
+        terms = told.groupBy("term").agg(F.max("share").alias("share"))
+        bucket = F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).alias("bucket")
+        likely = words.select("*", bucket).join(F.broadcast(told.select(bucket).distinct()), "bucket", "left_semi")
+        shares = likely.join(terms, "term").select("row", "term", "share")
+    else:
+        held = found.select("row", F.explode("entities").alias("m")).select("row", "m.kind", "m.value")
+        shares = held.join(told, ["kind", "value"]).groupBy("row", "term").agg(F.max("share").alias("share"))
+    place = F.when(F.col("share") >= remove, "").when(F.col("term").rlike("^[0-9]+$"), "[NUMBER]").otherwise("[TERM]")
+    per_row = shares.withColumn("place", place).groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("term", "place"))).alias("places"))
+    hits = found.select("row", "text").join(per_row, "row").select("row", "places", F.map_keys("places").alias("told"), "text")
+    at = places_of(F.col("text"), F.col("told"), shortest)
+    terms = hits.select("row", F.transform(at, lambda x: F.struct(x.kind.alias("kind"), F.col("places")[x.value].alias("value"), x.s.alias("s"), x.e.alias("e"))).alias("terms"))
     out = found.select("row", "id", "spans").join(terms, "row", "left")
     return out.select("row", "id", F.concat("spans", F.coalesce("terms", F.array().cast(SPAN))).alias("spans"))
 
@@ -178,7 +215,7 @@ def sanitise(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **se
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of personal data in every document."""
-    out = spans(documents(spark, sf_dir))
+    out = spans(documents(spark, sf_dir), **WHOLE)
     of = lambda kind: F.filter("spans", lambda x: x.kind == kind)
     counts = [F.size(of(k)).cast("long").alias(f"n_{k}") for k in KINDS]
     base = spelt(F.filter("spans", lambda x: x.kind != "term"))

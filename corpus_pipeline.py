@@ -13,7 +13,7 @@ from caselode.llm.common import documents, written
 from caselode.llm.exact_dedup import deduplicate
 from caselode.llm.near_dedup import without_near_copies
 from caselode.llm.packing import packed_pieces
-from caselode.llm.pii import sanitise
+from caselode.llm.pii import WHOLE, sanitise
 from caselode.llm.toxicity import without_toxic
 
 
@@ -34,7 +34,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, their personal data replaced; n_chars follows the new text."""
-    return sanitise(docs).withColumn("n_chars", F.length("text").cast("long"))
+    return sanitise(docs, **WHOLE).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ from collections import Counter, defaultdict
 
 from pyspark.sql import functions as F
 
-from caselode.llm.pii import base_spans, op7_pii, sanitise, spans, spelt
+from caselode.llm.pii import WHOLE, base_spans, op7_pii, sanitise, spans, spelt
 
 
 def luhn(d):
@@ -100,3 +100,17 @@ def test_overlaps_null_and_no_rows(spark):
     got = sanitise(df)
     assert sorted((str(r.text) for r in got.collect())) == ["", "", "None", "[PHONE] +[CARD]"]
     assert sanitise(df.limit(0)).count() == 0 and spans(df.limit(0)).count() == 0
+
+
+def test_terms_at_all_places_and_short_names(spark):
+    """Far from the value, once more in the same text, in a text without it, and of three characters."""
+    draw = random.Random(4)
+    fill = lambda n: " ".join(draw.choice(["apple", "pear", "plum", "is", "of"]) for _ in range(n))
+    texts = [fill(60) for _ in range(300)]
+    texts += [f"Kim of Vale {fill(80 + i)} bob@y.org {fill(30)} Kim" for i in range(6)] + [f"{fill(9)} Vale {fill(9)}"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    clean = {r.doc_id: r.text for r in sanitise(df, **WHOLE).collect()}
+    assert not any(re.search("Kim|Vale|bob@", t) for t in clean.values())
+    assert all(clean[i] == texts[i] for i in range(300)) and clean[306] == texts[306].replace("Vale", "")
+    near = {r.doc_id: r.text for r in sanitise(df).collect()}
+    assert not any("Vale" in near[i] for i in range(300, 306))
