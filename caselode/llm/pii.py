@@ -35,7 +35,8 @@ BASE = [
 ]
 KINDS = [k for k, _, _ in BASE] + ["term"]
 OCTET = "0*(?:[0-9]|[1-9][0-9]|1[0-9][0-9]|2[0-4][0-9]|25[0-5])"
-WORD = r"[\p{L}\p{N}][\p{L}\p{N}'_-]{%d,}+"
+#: A word begins and ends with a letter or digit, whatever quotes, dashes or underscores stand around it.
+WORD = r"[\p{L}\p{N}]++(?:['_-]++[\p{L}\p{N}]++)*+"
 #: Telling terms are looked for by hash first: so many numbers at most are broadcast, and only words that hit one are sent.
 BUCKETS = 1 << 20
 #: What the registered queries ask for: words of two characters or more, terms taken out of every text.
@@ -92,13 +93,12 @@ def base_spans(text: Column) -> Column:
 
 def words_of(text: Column, shortest: int) -> Column:
     """The words of a text, each in lower case."""
-    return F.transform(F.regexp_extract_all(text, F.lit(WORD % (shortest - 1)), F.lit(0)), F.lower)
+    return F.transform(F.filter(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), lambda w: F.length(w) >= shortest), F.lower)
 
 
-def places_of(text: Column, told: Column, shortest: int) -> Column:
+def places_of(text: Column, told: Column) -> Column:
     """Spans of all words that told, an array of structs with a term, lists; kind term, value the term."""
-    word = WORD % (shortest - 1)
-    parts = F.arrays_zip(F.split(text, word, -1).alias("p"), F.regexp_extract_all(text, F.lit(word), F.lit(0)).alias("m"))
+    parts = F.arrays_zip(F.split(text, WORD, -1).alias("p"), F.regexp_extract_all(text, F.lit(WORD), F.lit(0)).alias("m"))
 
     def step(acc, x):
         s = acc.at + F.length(x.p)
@@ -180,7 +180,7 @@ def spans(
     place = F.when(F.col("share") >= remove, "").when(F.col("term").rlike("^[0-9]+$"), "[NUMBER]").otherwise("[TERM]")
     per_row = shares.withColumn("place", place).groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("term", "place"))).alias("places"))
     hits = found.select("row", "text").join(per_row, "row").select("row", "places", F.map_keys("places").alias("told"), "text")
-    at = places_of(F.col("text"), F.col("told"), shortest)
+    at = places_of(F.col("text"), F.col("told"))
     terms = hits.select("row", F.transform(at, lambda x: F.struct(x.kind.alias("kind"), F.col("places")[x.value].alias("value"), x.s.alias("s"), x.e.alias("e"))).alias("terms"))
     out = found.select("row", "id", "spans").join(terms, "row", "left")
     return out.select("row", "id", F.concat("spans", F.coalesce("terms", F.array().cast(SPAN))).alias("spans"))

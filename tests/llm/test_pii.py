@@ -114,3 +114,15 @@ def test_terms_at_all_places_and_short_names(spark):
     assert all(clean[i] == texts[i] for i in range(300)) and clean[306] == texts[306].replace("Vale", "")
     near = {r.doc_id: r.text for r in sanitise(df).collect()}
     assert not any("Vale" in near[i] for i in range(300, 306))
+
+
+def test_terms_in_quotes_dashes_and_underscores(spark):
+    """Counts take the words as the places do, whatever stands around them."""
+    draw = random.Random(6)
+    texts = [f"plain words {draw.choice(['apple', 'pear', 'plum'])} {i}" for i in range(300)]
+    texts += [f"say {form} to ann@x.com then common {i}" for i, form in enumerate(["'Quixworth", "--quixworth", "_quixworth_", "'Quixworth"])]
+    texts += [f"'common --common _common_ {i}" for i in range(40)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    clean = {r.doc_id: r.text for r in sanitise(df).collect()}
+    assert not any("quixworth" in t.lower() for t in clean.values())
+    assert all("common" in clean[i] for i in range(300, 344)) and all(clean[i] == texts[i] for i in range(304, 344))
