@@ -32,6 +32,26 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: A key with this share of a table's rows, or more, is hot; at most 1 / HOT_KEY keys can be.
+HOT_KEY = 1 / 1000
+
+
+def hot_keys(df: DataFrame, key: str) -> DataFrame:
+    """key and n, its number of rows, of the keys that hold HOT_KEY of the rows of df or more; at most 1 / HOT_KEY rows."""
+    total = df.count()
+    return df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= max(2, total * HOT_KEY))
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """The inner join of left, a written table, with right, one row a key, however many rows of left share a key.
+
+    Rows with a hot key stay where they lie and meet broadcast rows of right, at most 1 / HOT_KEY; all others are shuffled.
+    """
+    hot = F.broadcast(hot_keys(left, key).select(key))
+    cold = left.join(hot, key, "left_anti").join(right.hint("merge"), key)
+    return cold.unionByName(left.join(F.broadcast(right.join(hot, key, "left_semi")), key))
+
+
 def fresh(df: DataFrame, stem: str) -> str:
     """A column name that starts with stem and that df does not have yet."""
     taken, name = {c.lower() for c in df.columns}, stem

@@ -5,15 +5,17 @@ Poisson process over (weight, time, coordinate) that depends on the element alon
 regions [0, 1), [1, 2), [2, 4), ... A text owns the darts below its elements' weights and keeps the earliest of each
 coordinate; two texts agree in a coordinate with probability sum(min) / sum(max) of their weights. Darts are thrown only
 up to the time by which all coordinates are likely to be hit, about t (ln t + 3) darts whatever the text's length, and
-longer if one stays empty. By default every element weighs 1, which makes this the Jaccard similarity of the sets;
-``weights="count"`` uses the number of times that a run occurs.
-
-``BANDS`` bands of ``ROWS`` coordinates are joined. Copies are first reduced to one text each. In each bucket all texts
-are compared with its smallest id, verified links give components, and then the pairs of a bucket that lie in two
-components are compared inside the join, which only gives links: first by two bits of each coordinate, and where these
-do not rule the threshold out (five deviations), by the sets themselves. No pair that shares a band is passed over, and
-no pair of a component is looked at again. At 0.8 a pair is missed with probability (1 - 0.8 ** ROWS) ** BANDS, under
-1e-4.
+longer if one stays empty. An element weighs as often as it occurs, so that the threshold is on the weighted Jaccard
+similarity, sum(min) / sum(max) of the counts; with ``weights="set"`` every element weighs 1.
+
+``BANDS`` bands of ``ROWS`` coordinates are joined. Copies are first reduced to one text each. Every id is compared with
+one leader, the smallest id that it shares a bucket with; verified links give a forest of components. Then the buckets
+that hold more than one component are compared with their own member that shares most such buckets, across components only. Buckets that are still
+mixed after that are compared in blocks of ``BLOCK`` members, again across components only.
+A pair outside a component is first compared by two bits of each coordinate, and where these do not rule the threshold
+out (four deviations), by the sets themselves. So no pair that shares a band is passed over, and no pair of a component is
+looked at again. At 0.8 a pair is missed with probability (1 - 0.8 ** ROWS) ** BANDS, under 1e-4. Members of a bucket
+that are in many pairs at once are split: the set of a hot leader is sent to many tasks, each with some of its pairs.
 
 Defined results: null and empty texts are copies of each other and have no other links; rows without an id are never
 linked and form classes of their own (class_id null, kept). Repeated rows get the same result each; rows with one id but
@@ -28,11 +30,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caselode.llm.common import documents, fresh, memory, slices, text_of, written
+from caselode.llm.common import documents, fresh, hot_keys, memory, slices, spread_join, text_of, written
 from caselode.llm.exact_dedup import digest, mark_groups
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 32, 6
+BLOCK = 512
 REMEMBERED = 600_000
 
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
@@ -135,9 +138,9 @@ def planes(signatures: np.ndarray) -> np.ndarray:
 
 
 def may_reach(bits: int, threshold: float) -> int:
-    """Coordinates in which two bits may differ at the threshold: the mean and five deviations."""
+    """Coordinates in which two bits may differ at the threshold: the mean and four deviations."""
     p = 0.75 * (1 - threshold)
-    return int(np.ceil(bits * p + 5 * np.sqrt(bits * p * (1 - p))))
+    return int(np.ceil(bits * p + 4 * np.sqrt(bits * p * (1 - p))))
 
 
 def sketches(df: DataFrame, id_col: str, text_col: str, weights: str, bands: int, rows: int) -> DataFrame:
@@ -176,10 +179,33 @@ def elements(df: DataFrame, wanted: DataFrame, id_col: str, text_col: str, weigh
     return texts.join(wanted.hint("merge"), "id", "left_semi").mapInArrow(run, "id long, keys array<long>")
 
 
-def similarity(a: str, b: str):
-    """Jaccard similarity of two key columns."""
-    both = F.size(F.array_intersect(a, b))
-    return both / (F.size(a) + F.size(b) - both)
+def similar(a: str, b: str, threshold: float):
+    """Whether the Jaccard similarity of two key columns reaches the threshold: both / (sum - both), the sets met once."""
+    size = F.size(a) + F.size(b)
+    return (F.least(F.size(a), F.size(b)) * (1 + threshold) >= threshold * size - 1e-9) & (F.size(F.array_intersect(a, b)) * (1 + threshold) >= threshold * size - 1e-9)
+
+
+def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b) whose sets reach the threshold. An a in very many pairs has its set sent to several tasks."""
+    hot = F.broadcast(hot_keys(pairs, "a").select("a", F.ceil(F.col("n") / BLOCK).cast("long").alias("parts")))
+    parts = F.coalesce("parts", F.lit(1).cast("long"))
+    dealt = pairs.join(hot, "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), parts).alias("part"))
+    side = lambda s: sets.select(F.col("id").alias(s), F.col("keys").alias(f"k{s}"))
+    left = side("a").join(hot, "a", "left").select("a", "ka", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"))
+    met = dealt.join(left.hint("merge"), ["a", "part"]).join(side("b").hint("merge"), "b")
+    return written(met.where(similar("ka", "kb", threshold)).select("a", "b").distinct(), "links")
+
+
+def forest(links: DataFrame) -> DataFrame:
+    """id and label (smallest id) of every id in links (a, b), where a < b and no b occurs twice: labels of labels, until they stay."""
+    roots = links.select(F.col("a").alias("id")).distinct().join(links.select(F.col("b").alias("id")), "id", "left_anti").select("id", F.col("id").alias("label"))
+    labels = written(links.select(F.col("b").alias("id"), F.col("a").alias("label")).unionByName(roots), "labels")
+    while True:
+        far = labels.select(F.col("id").alias("label"), F.col("label").alias("far"))
+        step = written(spread_join(labels, far, "label").select("id", F.col("far").alias("label"), (F.col("far") < F.col("label")).alias("moved")), "labels")
+        labels = step.select("id", "label")
+        if step.where("moved").isEmpty():
+            return labels
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -187,57 +213,105 @@ def components(links: DataFrame) -> DataFrame:
     edges = written(links.select("a", "b").union(links.select("b", "a")).distinct(), "edges")
     labels = written(edges.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("label")).select("id", F.least("id", "label").alias("label")), "labels")
     while True:
-        near = edges.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("near"))
+        near = spread_join(edges, labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("near"))
         step = written(labels.join(near, "id").select("id", F.least("label", "near").alias("new"), F.col("label").alias("old")), "labels")
         far = step.select(F.col("id").alias("new"), F.col("new").alias("far"))
-        step = written(step.join(far, "new").select("id", F.least("new", "far").alias("label"), "old"), "labels")
+        step = written(spread_join(step, far, "new").select("id", F.least("new", "far").alias("label"), "old"), "labels")
         if step.where("label < old").isEmpty():
             return step.select("id", "label")
         labels = step.select("id", "label")
 
 
+def relabelled(label: DataFrame, links: DataFrame) -> DataFrame:
+    """label, its components joined by further links (a, b): only the components are gone through again, not their members."""
+    name = lambda df, s: df.join(label.select(F.col("id").alias(s), F.col("label").alias(f"l{s}")).hint("merge"), s, "left").withColumn(f"l{s}", F.coalesce(f"l{s}", s))
+    named = written(name(name(links, "a"), "b").select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct(), "joined")
+    new = components(named).select(F.col("id").alias("label"), F.col("label").alias("new"))
+    every = label.unionByName(named.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(label, "id", "left_anti").select("id", F.col("id").alias("label")))
+    return written(every.join(new, "label", "left").select("id", F.coalesce("new", "label").alias("label")), "labels")
+
+
+def mixed(members: DataFrame, label: DataFrame) -> DataFrame:
+    """key, id and label of the members (key, id) of buckets with more than one component."""
+    named = members.join(label, "id", "left").select("key", "id", F.coalesce("label", "id").alias("label"))
+    several = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
+    return written(named.join(several, "key", "left_semi"), "mixed")
+
+
+def close(left: str, right: str, bands: int, rows: int, threshold: float):
+    """Whether two bit planes leave the threshold possible."""
+    half = -(-bands * rows // 64)
+    a, b = F.col(left), F.col(right)
+    differ = sum((F.bit_count(a[i].bitwiseXOR(b[i]).bitwiseOR(a[i + half].bitwiseXOR(b[i + half]))) for i in range(half)), F.lit(0))
+    return differ <= may_reach(bands * rows, threshold)
+
+
+def led(named: DataFrame, bits: DataFrame, likely) -> DataFrame:
+    """Pairs (a, b) across components whose planes are likely, a the member of a bucket of both that is in most buckets: a text
+    that others are varied from shares more with each than they share with one another."""
+    often = named.groupBy("id").agg((-F.count("*")).alias("n"))
+    ahead = named.join(often, "id").groupBy("key").agg(F.min(F.struct("n", "id", "label")).alias("lead")).select("key", F.col("lead.id").alias("a"), F.col("lead.label").alias("lead_label"))
+    asked = written(spread_join(named, ahead, "key").where("label <> lead_label").select("a", F.col("id").alias("b")).distinct(), "asked")
+    with_a = spread_join(asked, bits.select(F.col("id").alias("a"), F.col("planes").alias("planes_a")), "a")
+    with_b = with_a.join(bits.select(F.col("id").alias("b"), F.col("planes").alias("planes_b")).hint("merge"), "b")
+    return written(with_b.where(likely).select("a", "b").distinct(), "pairs")
+
+
+def in_blocks(named: DataFrame, bits: DataFrame, sets: DataFrame, likely, threshold: float) -> DataFrame:
+    """Links (a, b) across components that share a bucket. Members meet block by block: first their planes, which leaves the
+    members that have a likely partner; only these meet with their sets, and the join yields links alone."""
+    size = named.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("long").alias("n_blocks"))
+    rows = written(spread_join(named, size, "key").join(bits.hint("merge"), "id").withColumn("block", F.pmod(F.xxhash64("id"), "n_blocks")), "blocks")
+
+    def side(rows, s, block):
+        return rows.select(*[F.col(c).alias(f"{c}_{s}") for c in ("key", "id", "label", "planes")], *([F.col("keys").alias(f"keys_{s}")] if "keys" in rows.columns else []), block.alias(f"block_{s}"))
+
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1))
+    same = (F.col("key_a") == F.col("key_b")) & (F.col("block_a") == F.col("block_b")) & (F.col("label_a") != F.col("label_b")) & likely
+    hopeful = side(rows, "a", every).join(side(rows, "b", F.col("block")), same, "left_semi").select(F.col("key_a").alias("key"), F.col("id_a").alias("id")).distinct()
+    left = written(rows.join(hopeful, ["key", "id"], "left_semi"), "hopeful")
+    full = left.join(sets.join(left.select("id").distinct(), "id", "left_semi").hint("merge"), "id")
+    near = F.when(likely, similar("keys_a", "keys_b", threshold)).otherwise(False)
+    met = side(full, "a", every).join(side(full, "b", F.col("block")), same & (F.col("id_a") < F.col("id_b")) & near)
+    return written(met.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct(), "links")
+
+
 def classes(
     df: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
     threshold: float = THRESHOLD,
-    weights: str = "set",
+    weights: str = "count",
     bands: int = BANDS,
     rows: int = ROWS,
 ) -> DataFrame:
-    """id, class_id (an id of the class), kept (true for that id), copy_of (the id that stands for equal texts), n_links."""
+    """id, class_id (an id of the class), kept (true for that id), copy_of (the id that stands for equal texts)."""
     made = written(sketches(df, id_col, text_col, weights, bands, rows), "sketches")
-    marked = written(mark_groups(made.select("id", "sha"), "sha", "id").select("id", "keep_id"), "copies")
-    single = made.join(marked.where("id = keep_id").select("id").distinct(), "id", "left_semi").select("id", "bands", "planes").dropDuplicates(["id"])
+    marked = written(mark_groups(made.select("id", "sha"), "sha", "id").select("id", "sha", "keep_id"), "copies")
+    single = made.dropDuplicates(["id", "sha"]).join(marked.where("id = keep_id").select("id", "sha").distinct().hint("merge"), ["id", "sha"], "left_semi")
+    single = written(single.select("id", "bands", "planes"), "single")
     all_keys = single.select("id", F.explode("bands").alias("key"))
-    leaders = all_keys.groupBy("key").agg(F.min("id").alias("leader"), F.count("*").alias("n")).where("n > 1").select("key", "leader")
+    leaders = all_keys.groupBy("key").agg(F.min("id").alias("leader"), F.max("id").alias("last")).where("leader < last").select("key", "leader")
     buckets = written(all_keys.join(leaders, "key").select("key", "id", "leader"), "buckets")
-    wanted = written(buckets.select("id").distinct(), "wanted")
-    sets = written(elements(df, wanted, id_col, text_col, weights).dropDuplicates(["id"]), "elements")
-    first = written(buckets.where("id > leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
-    side = lambda s: sets.select(F.col("id").alias(s), F.col("keys").alias(f"k{s}")).hint("merge")
-    links = written(first.join(side("a"), "a").join(side("b"), "b").where(similarity("ka", "kb") >= threshold).select("a", "b"), "links")
-    label = components(links)
-    named = buckets.select("key", "id").join(label, "id", "left").select("key", "id", F.coalesce("label", "id").alias("label"))
-    mixed = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
-    named = written(named.join(mixed, "key", "left_semi"), "mixed")
-    bits = written(single.join(named.select("id").distinct(), "id", "left_semi").select("id", "planes").join(sets, "id"), "bits")
-    full = named.join(bits, "id")
-    left, right = (full.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "label", "planes", "keys")]) for s in "ab")
-    half = -(-bands * rows // 64)
-    differ = sum((F.bit_count(F.col("planes_a")[i].bitwiseXOR(F.col("planes_b")[i]).bitwiseOR(F.col("planes_a")[i + half].bitwiseXOR(F.col("planes_b")[i + half]))) for i in range(half)), F.lit(0))
-    close = F.when(differ <= may_reach(bands * rows, threshold), similarity("keys_a", "keys_b") >= threshold).otherwise(False)
-    across = left.join(right, (left.key == right.key) & (F.col("id_a") < F.col("id_b")) & (F.col("label_a") != F.col("label_b")) & close)
-    rest = written(across.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct(), "links")
+    sets = written(elements(df, buckets.select("id").distinct(), id_col, text_col, weights).distinct(), "elements")
+    first = written(buckets.where("leader < id").groupBy(F.col("id").alias("b")).agg(F.min("leader").alias("a")).select("a", "b"), "pairs")
+    label = forest(verified(first, sets, threshold))
+    bits = single.select("id", "planes")
+    likely = close("planes_a", "planes_b", bands, rows, threshold)
+    named = mixed(buckets.select("key", "id"), label)
+    new = verified(led(named, bits, likely), sets, threshold)
+    if not new.isEmpty():
+        label = relabelled(label, new)
+        named = mixed(named.select("key", "id"), label)
+    rest = in_blocks(named, bits, sets, likely, threshold)
     if not rest.isEmpty():
-        links = written(links.unionByName(rest), "links")
-        label = components(links)
-    degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n_links"))
-    of = label.join(degree, "id").withColumnRenamed("id", "keep_id")
-    found = marked.join(of, "keep_id", "left").select("id", F.coalesce("label", "keep_id").alias("class_id"), F.col("keep_id").alias("copy_of"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    none = df.where(F.col(id_col).isNull()).select(*[F.lit(None).cast("long").alias(c) for c in ("id", "class_id", "copy_of")], F.lit(0).cast("long").alias("n_links"))
+        label = relabelled(label, rest)
+    of = label.withColumnRenamed("id", "keep_id")
+    linked = spread_join(marked.where("keep_id is not null").select("id", "keep_id"), marked.select("keep_id").distinct().join(of, "keep_id", "left"), "keep_id")
+    found = linked.select("id", F.coalesce("label", "keep_id").alias("class_id"), F.col("keep_id").alias("copy_of"))
+    none = df.where(F.col(id_col).isNull()).select(*[F.lit(None).cast("long").alias(c) for c in ("id", "class_id", "copy_of")])
     out = found.unionByName(none)
-    return out.select(F.col("id").alias(id_col), "class_id", F.col("id").eqNullSafe(F.col("class_id")).alias("kept"), "copy_of", "n_links")
+    return out.select(F.col("id").alias(id_col), "class_id", F.col("id").eqNullSafe(F.col("class_id")).alias("kept"), "copy_of")
 
 
 def without_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
