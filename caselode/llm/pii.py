@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caselode.llm.common import documents, fresh, text_of, written
+from caselode.llm.common import documents, fresh, spread_join, text_of, written
 
 SUPPORT = 2
 GENERALISE, REMOVE = 0.75, 0.9
@@ -131,25 +131,38 @@ def found_spans(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return written(rows.select("row", "id", "spans", entities.alias("entities"), blanked(F.col("whole"), F.col("spans")).alias("text"), F.xxhash64("whole").alias("digest")), "spans")
 
 
-def disclosing(found: DataFrame, generalise: float, support: int, shortest: int) -> DataFrame:
-    """Pairs of entity (kind, value) and term, with the share of the entity's information that the term discloses."""
-    mentions = found.where(F.size("entities") > 0).select("row", "digest", F.explode("entities").alias("m")).select("row", "digest", "m.kind", "m.value")
-    entity = mentions.groupBy("kind", "value").agg(F.count("*").alias("with_entity"), F.countDistinct("digest").alias("texts"))
-    total = found.agg(F.count("*").alias("total"))
-    # together is at most with_entity, so a term in more than `most` documents can't reach the share
-    most = F.floor(F.col("with_entity") * F.pow(F.col("total") / F.col("with_entity"), F.lit(1 - generalise)) * (1 + 1e-9))
-    entity = entity.where(F.col("texts") >= support).join(F.broadcast(total), F.lit(True)).where("with_entity < total").select("kind", "value", "with_entity", "total", most.alias("most"))
-    entity = written(entity, "entities")
-    holders = written(mentions.join(entity, ["kind", "value"]), "holders")
-    highest = holders.agg(F.max("most").alias("highest"))
+def likely_words(found: DataFrame, terms: DataFrame, shortest: int) -> DataFrame:
+    """row and term, the distinct words of each row whose hash is that of one of terms: all places of these terms, and few others."""
+    bucket = F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).alias("bucket")
     words = found.select("row", F.explode(F.array_distinct(words_of(F.col("text"), shortest))).alias("term"))
-    with_term = words.groupBy("term").agg(F.count("*").alias("with_term")).join(F.broadcast(highest), F.lit(True)).where((F.col("with_term") >= support) & (F.col("with_term") <= F.col("highest"))).select("term", "with_term")
+    return words.select("*", bucket).join(F.broadcast(terms.select(bucket).distinct()), "bucket", "left_semi").select("row", "term")
+
+
+def disclosing(found: DataFrame, generalise: float, support: int, shortest: int) -> DataFrame:
+    """Pairs of entity (kind, value) and term, with the share of the entity's information that the term discloses.
+
+    Texts are counted by one row each (own = 1), so all counts combine map-side. Terms fail first by the counts of the
+    entities' own documents; only the hashes of what is left, at most BUCKETS, are looked for in the whole corpus.
+    """
+    total = found.count()
+    holding = found.where(F.size("entities") > 0)
+    own = holding.groupBy("digest").agg(F.min("row").alias("row")).select("row", F.lit(1).alias("own"))
+    mentions = holding.select("row", F.explode("entities").alias("m")).select("row", F.xxhash64("m.kind", "m.value").alias("entity"), "m.kind", "m.value")
+    mentions = written(mentions.join(own, "row", "left").withColumn("own", F.coalesce("own", F.lit(0))), "mentions")
+    counts = mentions.groupBy("entity", "kind", "value").agg(F.count("*").alias("with_entity"), F.sum("own").alias("texts"))
+    entity = written(counts.where((F.col("texts") >= support) & (F.col("with_entity") < total)).select("entity", "kind", "value", "with_entity"), "entities")
+    holders = written(spread_join(mentions.select("entity", "row", "own"), entity.select("entity"), "entity"), "holders")
     beside = found.join(holders.select("row").distinct(), "row", "left_semi").select("row", F.explode(F.array_distinct(words_of(F.col("text"), shortest))).alias("term"))
-    pairs = holders.join(beside.join(with_term, "term"), "row").where("with_term <= most")
-    key = ["kind", "value", "term"]
-    joint = pairs.groupBy(*key, "with_entity", "total", "with_term").agg(F.count("*").alias("together"), F.countDistinct("digest").alias("texts")).where(F.col("texts") >= support)
-    share = 1 + F.log2(F.col("together") / F.col("with_term")) / -F.log2(F.col("with_entity") / F.col("total"))
-    return written(joint.withColumn("share", share).where(F.col("share") >= generalise).select(*key, "share"), "told")
+    beside = written(beside, "beside")
+    joint = holders.join(beside, "row").groupBy("entity", "term").agg(F.count("*").alias("together"), F.sum("own").alias("texts")).where(F.col("texts") >= support)
+    # the share is reached where the term stands in at most so many documents
+    most = F.floor(F.col("together") * F.pow(F.lit(total) / F.col("with_entity"), F.lit(1 - generalise)) * (1 + 1e-9))
+    joint = written(joint.join(entity, "entity").select("entity", "kind", "value", "term", "together", "with_entity", most.alias("most")), "joint")
+    count_of = lambda words, name: words.groupBy("term").agg(F.count("*").alias(name))
+    joint = written(spread_join(joint, count_of(beside, "among"), "term").where("among <= most").drop("among"), "joint")
+    joint = spread_join(joint, count_of(likely_words(found, joint, shortest), "with_term"), "term")
+    share = 1 + F.log2(F.col("together") / F.col("with_term")) / -F.log2(F.col("with_entity") / F.lit(total))
+    return written(joint.withColumn("share", share).where(F.col("share") >= generalise).select("kind", "value", "term", "share"), "told")
 
 
 def spans(
@@ -169,11 +182,8 @@ def spans(
     found = found_spans(df, id_col, text_col)
     told = disclosing(found, generalise, support, shortest)
     if everywhere:
-        words = found.select("row", F.explode(F.array_distinct(words_of(F.col("text"), shortest))).alias("term"))
         terms = told.groupBy("term").agg(F.max("share").alias("share"))
-        bucket = F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).alias("bucket")
-        likely = words.select("*", bucket).join(F.broadcast(told.select(bucket).distinct()), "bucket", "left_semi")
-        shares = likely.join(terms, "term").select("row", "term", "share")
+        shares = spread_join(written(likely_words(found, told, shortest), "likely"), terms, "term").select("row", "term", "share")
     else:
         held = found.select("row", F.explode("entities").alias("m")).select("row", "m.kind", "m.value")
         shares = held.join(told, ["kind", "value"]).groupBy("row", "term").agg(F.max("share").alias("share"))
