@@ -38,6 +38,9 @@ PLAIN = re.compile(rb"(?:[\x21-\x7e]|\xc2[\xa1-\xbf]|\xc3[\x80-\xbf])+")
 #: The tokenizer's own split of a word, within which its merges stay (fixed by the vocabulary file).
 UNITS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
+#: The model's letter for each byte: printable Latin-1 stands for itself, the others are numbered from 256 on.
+BYTES = {b: 256 + i for i, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174))}
+
 
 class WordIds:
     """Ids of whole texts by a tokenizer whose words never join across ASCII white space; remembers words and their units."""
@@ -47,46 +50,47 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.words, self.units = Generations(), Generations()
+        self.words, self.units = Generations(self._word), Generations(self._unit)
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        split = [t.encode().split() for t in texts]
-        known = self.words.with_all(set().union(*split), self._words)
+        ids = self.words.__getitem__
         # a special token's string is found before words are
-        return [self._encode([t])[0] if "<|" in t else b"".join(map(known.__getitem__, own)) for t, own in zip(texts, split, strict=True)]
-
-    def _words(self, new: list[bytes]) -> list[bytes]:
-        parts = [UNITS.findall(w.decode().lower()) if PLAIN.fullmatch(w) else None for w in new]
-        units = self.units.with_all({u for own in parts if own for u in own}, self._units)
-        odd = iter(self._encode([w.decode() for w, own in zip(new, parts, strict=True) if own is None]))
-        return [next(odd) if own is None else units[own[0]] if len(own) == 1 else b"".join([units[u] for u in own]) for own in parts]
-
-    def _units(self, new: list[str]) -> list[bytes]:
-        model = self.tokenizer.model  # printable ASCII stands for itself in it
-        odd = iter(self._encode([u for u in new if not u.isascii()]))
-        return [array("I", [t.id for t in model.tokenize(u)]).tobytes() if u.isascii() else next(odd) for u in new]
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
-
-
-class Generations:
-    """Values by key in two generations: a full one becomes the old one, from which keys in use come back."""
-
-    def __init__(self):
-        self.now, self.old = {}, {}
-
-    def with_all(self, keys: set, make) -> dict:
-        """A dict that holds all these keys; make gives the values of a list of new ones."""
-        if len(self.now) > REMEMBERED:
-            self.now, self.old = {}, self.now
-        missing = [k for k in keys if k not in self.now]
-        new = [k for k in missing if k not in self.old]
-        if len(new) < len(missing):
-            self.now.update((k, self.old[k]) for k in missing if k in self.old)
-        self.now.update(zip(new, make(new) if new else [], strict=True))
-        return self.now
+        return [self._encode(t) if "<|" in t else b"".join(map(ids, t.encode().split())) for t in texts]
+
+    def _word(self, word: bytes) -> bytes:
+        if word.isalpha():  # ASCII letters only
+            return self.units[word.lower()]
+        head = word[:-1]
+        if head.isalpha() and 33 <= word[-1] <= 126 and not word[-1:].isdigit():
+            return self.units[head.lower()] + self.units[word[-1:]]
+        if PLAIN.fullmatch(word):
+            return b"".join([self.units[u.encode()] for u in UNITS.findall(word.decode().lower())])
+        return self._encode(word.decode())
+
+    def _unit(self, unit: bytes) -> bytes:
+        letters = unit.decode("latin-1").translate(BYTES)
+        return array("I", [t.id for t in self.tokenizer.model.tokenize(letters)]).tobytes()
+
+    def _encode(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+
+class Generations(dict):
+    """Values by key in two generations, made where missing: a full one becomes the old one, from which keys in use come back."""
+
+    def __init__(self, make):
+        self.old, self.make = {}, make
+
+    def __missing__(self, key: bytes) -> bytes:
+        found = self.old.get(key)
+        if found is None:
+            found = self.make(key)
+        if len(self) >= REMEMBERED:
+            self.old = self.copy()
+            self.clear()
+        self[key] = found
+        return found
 
 
 def word_ids(path: str) -> WordIds:
