@@ -37,10 +37,8 @@ from pyspark.sql import functions as F
 from caselode.llm.common import documents, memory, slices, text_of
 
 SAMPLES, SHARPNESS, OFFSET = 2, 2.0, 10.0
-#: Texts of at most so many chunks have what a sample leaves of each summed without cancellation.
-EXACT = 16
-#: Chunks whose best way is remembered in a generation (two are kept), and chunks whose whole lattice is.
-REMEMBERED, LATTICES = 250_000, 20_000
+#: What a worker remembers: characters of chunks whose best way is known in a generation (two are kept), edges of whole lattices.
+REMEMBERED, EDGES = 1_000_000, 100_000
 
 
 class Vocabulary:
@@ -131,15 +129,18 @@ def sums(edges) -> tuple[list[float], list[int], float]:
     return [t if not x else (t, x) for t, x in zip(total, scale, strict=True)], choice, min(0.0, best[0] - log(total[0]) - scale[0])
 
 
-def mode_of(chunk: str, v: Vocabulary) -> tuple[bytes, float]:
-    """Ids of a chunk's likeliest way and its log probability, without keeping the lattice."""
+def mode_of(chunk: str, v: Vocabulary) -> tuple[bytes, float, float]:
+    """Ids of a chunk's likeliest way, its log probability and the probability of all others, without keeping the lattice.
+
+    The others' weights are added up by themselves, so that nothing cancels however likely the best way is.
+    """
     n, find = len(chunk), v.table.get
-    total, best, step = [1.0] * (n + 1), [1.0] * (n + 1), [(0, 0)] * (n + 1)
+    total, best, others, step = [1.0] * (n + 1), [1.0] * (n + 1), [0.0] * (n + 1), [(0, 0)] * (n + 1)
     for i in range(n - 1, -1, -1):
         x, w = find(chunk[i], (-2, 0.0))
         if x < 0:  # a character that only bytes spell
             w = prod([v.weights[v.bytes[b]] for b in chunk[i].encode()])
-        z, top, at = w * total[i + 1], w * best[i + 1], (i + 1, x)
+        own, top, at, left, weight = w * total[i + 1], w * best[i + 1], (i + 1, x), 0.0, w
         if x != -2:
             for j in range(i + 2, n + 1):
                 found = find(chunk[i:j])
@@ -147,18 +148,16 @@ def mode_of(chunk: str, v: Vocabulary) -> tuple[bytes, float]:
                     break
                 x, w = found
                 if x >= 0:
-                    z += w * total[j]
+                    z = w * total[j]
                     if (b := w * best[j]) > top:
-                        top, at = b, (j, x)
-        total[i], best[i], step[i] = z, top, at
+                        left += own
+                        own, top, at, weight = z, b, (j, x), w
+                    else:
+                        left += z
+        total[i], best[i], step[i], others[i] = own + left, top, at, left + weight * others[at[0]]
     if best[0] < 1e-250:  # too long for plain products
-        edges = edges_of(chunk, v)
-        _, choice, log_p = sums(edges)
-        i, ids = 0, []
-        while i < n:
-            i, own, _ = edges[i][choice[i]]
-            ids += own
-        return array("I", ids).tobytes(), log_p
+        lattice = Lattice(chunk, v)
+        return array("I", lattice.ids(lattice.mode)).tobytes(), lattice.mode_log, lattice.others
     i, ids = 0, []
     while i < n:
         j, x = step[i]
@@ -167,7 +166,7 @@ def mode_of(chunk: str, v: Vocabulary) -> tuple[bytes, float]:
         else:
             ids += [v.bytes[b] for b in chunk[i].encode()]
         i = j
-    return array("I", ids).tobytes(), min(0.0, log(best[0] / total[0]))
+    return array("I", ids).tobytes(), min(0.0, log(best[0] / total[0])), others[0] / total[0]
 
 
 class Lattice:
@@ -181,6 +180,7 @@ class Lattice:
         for i, own in enumerate(edges):
             z, base = split[i]
             self.edges.append([(j, ids, w, w * split[j][0] / z * exp(split[j][1] - base)) for j, ids, w in own])
+        self.size = sum(map(len, self.edges))
         self.edges.append(None)
         i, way = 0, []
         while i < len(edges):
@@ -288,28 +288,31 @@ class Sampler:
 
     def __init__(self, path: str):
         self.vocabulary = Vocabulary(path)
-        self.now, self.old = {}, {}  # chunk: (ids of the likeliest way, its log probability)
+        self.now, self.old, self.size = {}, {}, 0  # chunk: (ids of the likeliest way, its log probability, that of all others)
         self.lattices: OrderedDict[str, Lattice] = OrderedDict()
+        self.edges = 0
 
     def lattice(self, chunk: str) -> Lattice:
         found = self.lattices.get(chunk)
         if found is None:
             found = self.lattices[chunk] = Lattice(chunk, self.vocabulary)
-            if len(self.lattices) > LATTICES:
-                self.lattices.popitem(last=False)
+            self.edges += found.size
+            while self.edges > EDGES and len(self.lattices) > 1:
+                self.edges -= self.lattices.popitem(last=False)[1].size
         else:
             self.lattices.move_to_end(chunk)
         return found
 
-    def facts(self, chunks: list[str]) -> list[tuple[bytes, float]]:
-        if len(self.now) > REMEMBERED:
-            self.now, self.old = {}, self.now
+    def facts(self, chunks: list[str]) -> list[tuple[bytes, float, float]]:
+        if self.size > REMEMBERED:
+            self.now, self.old, self.size = {}, self.now, 0
         now, old = self.now, self.old
         for c in set(chunks):
             if c not in now:
                 if (found := old.get(c)) is None:
                     found = mode_of(c, self.vocabulary)
                 now[c] = found
+                self.size += len(c) + 10
         return list(map(now.__getitem__, chunks))
 
     def samples(self, key: int | None, text: str, k: int) -> list[tuple[bytes, float, float, float]]:
@@ -319,8 +322,8 @@ class Sampler:
         chunks = self.vocabulary.chunks(" " + text)
         facts = self.facts(chunks)
         n, rng = len(chunks), np.random.default_rng(xxhash.xxh64_intdigest(f"{key}"))
-        parts, mode_log = map(list, zip(*facts, strict=True))
-        mode_log = np.array(mode_log)
+        parts, mode_log, others = map(list, zip(*facts, strict=True))
+        mode_log, others = np.array(mode_log), np.array(others)
         mode = np.exp(mode_log)
         out, queue, count = [], [(-float(rng.gumbel()), 0, 0, None, [])], 0
         while queue and len(out) <= k:
@@ -345,8 +348,8 @@ class Sampler:
                     ways[i], logs[i] = lattice.draw_other(rng)
             out.append((ways, float(logs.sum()), -value))
             # what is left: for each chunk from `at` on, the same up to it, something else there
-            rest = -np.expm1(logs[at:])
-            for i in range(at, n) if n <= EXACT else [at] if barred else []:  # elsewhere 1 - p serves: it matters only where all else is gone
+            rest = others[at:].copy()
+            for i in {*[i for i in ways if i >= at], *([at] if barred else [])}:
                 lattice = self.lattice(chunks[i])
                 rest[i - at] = lattice.left([*(barred if i == at else []), ways.get(i, lattice.mode)])
             with np.errstate(divide="ignore"):

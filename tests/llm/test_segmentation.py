@@ -42,7 +42,8 @@ def test_lattice_against_all_ways(sampler, text):
     lattice = Lattice(text, sampler.vocabulary)
     way, log_p = lattice.first()
     assert math.exp(log_p) == pytest.approx(max(want.values())) and want[tuple(lattice.ids(way))] == pytest.approx(max(want.values()))
-    ids, x = mode_of(text, sampler.vocabulary)
+    ids, x, others = mode_of(text, sampler.vocabulary)
+    assert others == pytest.approx(1 - max(want.values()), abs=1e-12)
     assert math.exp(x) == pytest.approx(max(want.values())) and want[tuple(np.frombuffer(ids, "<u4").tolist())] == pytest.approx(max(want.values()))
     rng = np.random.default_rng(1)
     barred = []
