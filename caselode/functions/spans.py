@@ -31,6 +31,24 @@ def entities(text: Column) -> Column:
     return F.aggregate(F.array_sort(issued), F.array().cast(SPAN), keep)
 
 
+def vault(spans: Column) -> Column:
+    """Placeholder and value of each distinct entity: [CLASS_n], numbered by class in order of appearance."""
+    label = {cls: name for cls, _, name in L.ENTITIES}
+
+    def of(cls):
+        values = F.array_distinct(F.transform(F.filter(spans, lambda y: y.cls == cls), lambda y: y.value))
+        return F.transform(values, lambda v, i: F.struct(F.concat(F.lit(f"[{label[cls]}_"), (i + 1).cast("string"), F.lit("]")).alias("key"), v.alias("value")))
+
+    return F.map_from_entries(F.concat(*[of(cls) for cls in label]))
+
+
+def detokenised(text: Column, held: Column) -> Column:
+    """A masked text with the placeholders that the vault holds turned back; others stay as they are."""
+    pattern = r"\[(?:" + "|".join(name for _, _, name in L.ENTITIES) + r")_[0-9]+\]"
+    parts = F.arrays_zip(F.split(text, pattern, -1).alias("p"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"))
+    return F.array_join(F.transform(parts, lambda x: F.concat(x.p, F.coalesce(held[x.m], x.m, F.lit("")))), "")
+
+
 def masked(text: Column, spans: Column) -> Column:
     """The text with each entity replaced by [CLASS_n]; equal values share a number."""
     label = F.create_map(*[x for cls, _, name in L.ENTITIES for x in (F.lit(cls), F.lit(name))])

@@ -68,3 +68,15 @@ def reprice(usage: DataFrame, models: list[str], per_day: int = 1000) -> DataFra
     return bill.join(F.broadcast(first)).select(
         "model", "n", F.round(total, 6).alias("total_usd"), F.round(total / F.col("n") * per_day * 30, 2).alias("per_month"), F.round(total / F.col("base").cast("double"), 3).alias("ratio")
     )
+
+
+def reprice_components(usage: DataFrame, models: list[str], per_day: int = 1000) -> DataFrame:
+    """All of usage under each model, component by component; tokens and bytes are summed first, infrastructure is by request."""
+    size = F.coalesce("trace_bytes", F.lit(L.OVERHEAD_BYTES))
+    sums = usage.agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in ("prompt", "completion", "cached_tokens")], F.sum(size).alias("trace_bytes"))
+    table = prices(usage.sparkSession).where(F.col("model").isin(*models)).select("model")
+    requests = F.greatest(F.lit(1), F.col("n"))
+    out = components(sums.join(F.broadcast(table)), F.lit(L.INFRA_USD).cast("decimal(20,10)") * requests)
+    total = F.col("component_usd").cast("double")
+    money = [F.round(total, 6).alias("total_usd"), F.round(total / requests, 8).alias("per_request_usd"), F.round(total / requests * per_day * 30, 2).alias("per_month")]
+    return out.select("model", "n", *[F.col(c).cast("double").alias(c) for c in L.COMPONENTS], *money, "dominant")
