@@ -124,8 +124,9 @@ def preview(text: Column, width: int = 96) -> Column:
 
 def near(text: Column, left, right, window: int = 80) -> Column:
     """Whether a needle of right lies within the stretch that begins with a needle of left and goes window characters beyond it."""
-    rules = [f"(?={n})(?=.{{0,{len(n) + window - len(o)}}}{o})" for n in left for o in right]
-    return text.rlike("(?s)" + "|".join(rules))
+    verbs = "|".join(sorted(left, key=len, reverse=True))
+    stretches = F.regexp_extract_all(text, F.lit(f"(?s)(?=((?:{verbs}).{{0,{window}}}))"), F.lit(1))
+    return any_of(text, left) & any_of(text, right) & F.exists(stretches, lambda s: any_of(s, right))
 
 
 def instruction_signals(text: Column) -> Column:

@@ -46,5 +46,5 @@ def sessions(turns: DataFrame, newest: int = 25) -> DataFrame:
 def exchanges(turns: DataFrame) -> DataFrame:
     """Each question with the assistant's turn right after it."""
     order = Window.partitionBy("conv_id").orderBy("turn")
-    rows = turns.withColumns({"answer": F.lead("text").over(order), "next_role": F.lead("role").over(order)})
-    return rows.where((F.col("role") == "user") & (F.col("next_role") == "assistant")).select("conv_id", "turn", F.col("text").alias("question"), "answer")
+    rows = turns.withColumns({"answer": F.lead("text").over(order), "next_role": F.lead("role").over(order), "answer_turn": F.lead("turn").over(order)})
+    return rows.where((F.col("role") == "user") & (F.col("next_role") == "assistant")).select("conv_id", "turn", F.col("text").alias("question"), "answer", "answer_turn")

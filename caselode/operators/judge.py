@@ -9,10 +9,9 @@ from caselode.functions import lexicons as L
 from caselode.functions import text as T
 
 
-def groundedness(answer: Column, context: Column) -> Column:
-    """Share of the answer's substantive sentences most of whose content words stand in the context; 0 if none is."""
+def groundedness(answer: Column, there: Column) -> Column:
+    """Share of the answer's substantive sentences most of whose content words are there, the context's words; 0 if none is."""
     sets = F.filter(F.transform(T.sentences(answer), T.content_words), lambda w: F.size(w) >= L.MIN_WORDS)
-    there = T.content_words(context)
     good = F.filter(sets, lambda w: F.size(F.array_intersect(w, there)) / F.size(w) >= L.GROUNDED)
     return F.when(F.size(sets) == 0, 0.0).otherwise(F.round(F.size(good) / F.size(sets), 6))
 
@@ -24,14 +23,15 @@ def citation_coverage(answer: Column, available: Column) -> Column:
     return F.when(F.size(found) == 0, 0.0).otherwise(F.round(F.size(cited) / F.size(found), 6))
 
 
-def relevance(question: Column, text: Column) -> Column:
-    return F.round(T.coverage(T.question_terms(question), T.content_words(text)), 6)
+def relevance(question: Column, there: Column) -> Column:
+    return F.round(T.coverage(T.question_terms(question), there), 6)
 
 
 def scored(rows: DataFrame) -> DataFrame:
-    """rows (question, answer, context) with the judge's scores."""
-    q, a, c = (F.col(x) for x in ("question", "answer", "context"))
-    return rows.withColumns({"groundedness": groundedness(a, c), "context_relevance": relevance(q, c), "answer_relevance": relevance(q, a)})
+    """rows (question, answer, and the context or its content words, context_words) with the judge's scores."""
+    rows = rows if "context_words" in rows.columns else rows.withColumn("context_words", T.content_words(F.col("context")))
+    q, a, c = (F.col(x) for x in ("question", "answer", "context_words"))
+    return rows.withColumns({"groundedness": groundedness(a, c), "context_relevance": relevance(q, c), "answer_relevance": relevance(q, T.content_words(a))})
 
 
 def kappa(rows: DataFrame, label: str, predicted: str, *by: str) -> DataFrame:

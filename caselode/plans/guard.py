@@ -43,8 +43,11 @@ def rule_of_two(spark, sf_dir):
 
 
 def transfer_table(spark, sf_dir):
-    regions = read_table(spark, sf_dir, "nation").select(F.when(F.col("n_nationkey") % 3 == 0, F.concat(F.lit("eu-west-"), (F.col("n_nationkey") % 4).cast("string"))).otherwise(F.lower("n_name")).alias("region")).distinct()
-    return guard.transfers(regions)
+    """The regions of all customers, with the number of customers that each transfer would move."""
+    named = F.when(F.col("c_nationkey") % 3 == 0, F.concat(F.lit("eu-west-"), (F.col("c_nationkey") % 4).cast("string"))).otherwise(F.lower("n_name"))
+    nation = read_table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
+    regions = read_table(spark, sf_dir, "customer").join(nation, "c_nationkey").groupBy(named.alias("region")).agg(F.count("*").alias("n"))
+    return guard.transfers(regions.select("region")).join(regions, "region")
 
 
 def provider_resolution(spark, sf_dir):
@@ -71,10 +74,11 @@ def lock_scan(spark, sf_dir):
 
 
 def surface_diff(spark, sf_dir):
-    """Suppliers' and customers' nations as tool surfaces."""
+    """Suppliers' and customers' nations with balances to the hundred as tool surfaces, all of both tables."""
     nation = read_table(spark, sf_dir, "nation")
-    run = read_table(spark, sf_dir, "supplier").where("s_acctbal > 9000").select(F.col("s_nationkey").alias("n_nationkey")).distinct().join(nation, "n_nationkey").select(F.col("n_name").alias("name"))
-    seen = read_table(spark, sf_dir, "customer").where("c_custkey % 40 = 1").select(F.col("c_nationkey").alias("n_nationkey")).distinct().join(nation, "n_nationkey").select(F.col("n_name").alias("name"))
+    name = lambda balance: F.concat_ws(":", "n_name", F.floor(F.col(balance) / 100).cast("string")).alias("name")
+    run = read_table(spark, sf_dir, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select(name("s_acctbal")).distinct()
+    seen = read_table(spark, sf_dir, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select(name("c_acctbal")).distinct()
     return guard.surface_changes(run, seen)
 
 
@@ -107,12 +111,12 @@ def run_verdicts(spark, sf_dir):
 
 
 def expectation_matrix(spark, sf_dir):
-    """Payloads (part types of big parts) by control (bare and six more): expected to escape or to be contained."""
-    p = read_table(spark, sf_dir, "part").where("p_size = 50").select("p_partkey", "p_type")
-    controls = F.array(*[F.lit(c) for c in ("bare", "scan", "pii", "broker", "verify", "residency", "provenance")])
-    rows = p.select("p_partkey", F.explode(controls).alias("control"), "p_type")
-    escape = (F.col("control") == "bare") | ((F.length("p_type") + F.length("control")) % 3 == 0)
-    return rows.select("p_partkey", "control", F.when(escape, "escapes").otherwise("contained").alias("expect"))
+    """Payloads (all parts) by control, bare and six more: a control contains what lists it, two controls by size and brand."""
+    names = F.array(*[F.lit(c) for c in ("scan", "pii", "broker", "verify", "residency", "provenance")])
+    pick = lambda n: F.element_at(names, (n % 6 + 1).cast("int"))
+    p = read_table(spark, sf_dir, "part").select("p_partkey", F.array(pick(F.col("p_size")), pick(F.length("p_name"))).alias("contained_by"))
+    rows = p.select("p_partkey", "contained_by", F.explode(F.concat(F.array(F.lit("bare")), names)).alias("control"))
+    return rows.select("p_partkey", "control", F.when(F.array_contains("contained_by", F.col("control")), "contained").otherwise("escapes").alias("expect"))
 
 
 def instruction_signals(spark, sf_dir):
@@ -196,8 +200,8 @@ SELECT tool, CASE WHEN name IS NULL THEN 'deny: unknown tool' WHEN NOT list_cont
     "minted_grants": f"WITH {_GRANTS} SELECT name, irreversible, count(*) AS grants, min(who) AS first_who FROM grants GROUP BY ALL",
     "rule_of_two": f"""WITH {_GRANTS}, p AS (SELECT who, bool_or(name IN ('1-URGENT', '2-HIGH')) AS a, bool_or(name IN ('5-LOW', '3-MEDIUM') AND NOT irreversible) AS b FROM grants GROUP BY who)
 SELECT CASE 1 + a::INT + b::INT WHEN 3 THEN 'red' WHEN 2 THEN 'amber' ELSE 'green' END AS lamp, 1 + a::INT + b::INT AS held, count(*) AS n FROM p GROUP BY ALL""",
-    "transfer_table": f"""WITH r AS (SELECT DISTINCT CASE WHEN n_nationkey % 3 = 0 THEN 'eu-west-' || (n_nationkey % 4) ELSE lower(n_name) END AS region FROM nation)
-SELECT region, transfer, region IN ('eu-west-1', 'eu-west-2') AS permitted FROM r CROSS JOIN (SELECT unnest({LIST(L.TRANSFERS)}) AS transfer)""",
+    "transfer_table": f"""WITH r AS (SELECT CASE WHEN c_nationkey % 3 = 0 THEN 'eu-west-' || (c_nationkey % 4) ELSE lower(n_name) END AS region, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1)
+SELECT region, transfer, region IN ('eu-west-1', 'eu-west-2') AS permitted, n FROM r CROSS JOIN (SELECT unnest({LIST(L.TRANSFERS)}) AS transfer)""",
     "provider_resolution": f"""WITH s AS (SELECT {LIST(L.PROVIDER_REGIONS)}[s_suppkey % 4 + 1] AS provider, ['eu-west-1', 'eu-west-2', 'us-east-1', 'cn-north-1'][s_nationkey % 4 + 1] AS region FROM supplier),
 p(provider, regions) AS (VALUES {", ".join(f"('{k}', {LIST(v)})" for k, v in L.PROVIDER_REGIONS.items())})
 SELECT provider, region, CASE WHEN region NOT IN ('eu-west-1', 'eu-west-2') THEN 'region not permitted' WHEN NOT list_contains(regions, region) THEN 'provider not in region' ELSE '' END AS refusal, count(*) AS n FROM s LEFT JOIN p USING (provider) GROUP BY ALL""",
@@ -206,15 +210,15 @@ b(capability, because) AS (VALUES {_BECAUSE}), j AS (SELECT *, regexp_extract_al
 SELECT capability, because IS NULL AS unknown, count(*) AS n, max(id) AS last_id FROM j WHERE because IS NULL OR NOT list_has_any(words, because) GROUP BY ALL""",
     "lock_scan": """WITH d AS (SELECT doc_id AS name, sha256(coalesce(text, '')) AS sha FROM documents), e AS (SELECT name, CASE WHEN name % 11 = 0 THEN NULL WHEN name % 7 = 0 THEN '0' ELSE sha END AS pinned FROM d)
 SELECT CASE WHEN pinned IS NULL THEN 'unpinned' WHEN sha IS NULL THEN 'absent' WHEN sha <> pinned THEN 'moved' ELSE 'ok' END AS status, count(*) AS n, max(e.name) AS last_name FROM e LEFT JOIN (SELECT * FROM d WHERE name % 13 <> 0) f USING (name) GROUP BY 1""",
-    "surface_diff": """WITH r AS (SELECT DISTINCT n_name AS name FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_acctbal > 9000), s AS (SELECT DISTINCT n_name AS name FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey % 40 = 1)
+    "surface_diff": """WITH r AS (SELECT DISTINCT n_name || ':' || floor(s_acctbal / 100)::BIGINT AS name FROM supplier JOIN nation ON s_nationkey = n_nationkey), s AS (SELECT DISTINCT n_name || ':' || floor(c_acctbal / 100)::BIGINT AS name FROM customer JOIN nation ON c_nationkey = n_nationkey)
 SELECT name, 'not reviewed' AS finding FROM (SELECT * FROM r EXCEPT SELECT * FROM s) UNION ALL SELECT name, 'stale' FROM (SELECT * FROM s EXCEPT SELECT * FROM r)""",
     "control_measurement": f"WITH {_RUNS} {_MEASURE.format('control')} GROUP BY control UNION ALL {_MEASURE.format(repr('combined'))}",
     "provenance_delta": f"""WITH {_RUNS}, p AS (SELECT event_id % 2 = 0 AS "on", user_id, count(*) FILTER (NOT blocked) / count(*) AS rate FROM runs WHERE NOT benign GROUP BY ALL),
 a AS (SELECT "on", sum(round(rate, 9)::DECIMAL(20,9))::DOUBLE AS s, min(rate) AS lo, max(rate) AS hi, count(*) AS n, sum((round(rate, 6)::DECIMAL(12,6) * round(rate, 6)::DECIMAL(12,6))::DECIMAL(28,12))::DOUBLE AS sq, sum(round(rate, 6)::DECIMAL(12,6))::DOUBLE AS t FROM p GROUP BY 1)
 SELECT "on", round(s / n, 4) AS mean, round(lo, 4) AS low, round(hi, 4) AS high, round(sqrt((sq - t * t / n) / (n - 1)), 3) AS deviation, n AS repetitions FROM a""",
     "run_verdicts": "SELECT CASE WHEN value > 60 THEN 'blocked' WHEN user_id % 5 = 0 THEN 'rewritten' WHEN event_id % 3 = 0 THEN 'refused' ELSE 'escaped: ' || event_type END AS verdict, count(*) AS n, min(event_id) AS first_id FROM events GROUP BY 1",
-    "expectation_matrix": """SELECT p_partkey, control, CASE WHEN control = 'bare' OR (length(p_type) + length(control)) % 3 = 0 THEN 'escapes' ELSE 'contained' END AS expect
-FROM part CROSS JOIN (SELECT unnest(['bare', 'scan', 'pii', 'broker', 'verify', 'residency', 'provenance']) AS control) WHERE p_size = 50""",
+    "expectation_matrix": """WITH n AS (SELECT ['scan', 'pii', 'broker', 'verify', 'residency', 'provenance'] AS names), p AS (SELECT p_partkey, names[p_size % 6 + 1] AS a, names[length(p_name) % 6 + 1] AS b, unnest(list_prepend('bare', names)) AS control FROM part CROSS JOIN n)
+SELECT p_partkey, control, CASE WHEN control IN (a, b) THEN 'contained' ELSE 'escapes' END AS expect FROM p""",
     "instruction_signals": rf"""WITH r AS (SELECT 'document' AS kind, doc_id AS id, coalesce(text, '') AS text FROM documents UNION ALL SELECT 'page', page_id, coalesce(html, '') FROM pages), l AS (SELECT *, lower(text) AS low FROM r)
 SELECT kind, concat_ws('; ', CASE WHEN regexp_matches(text, '{_BOX}') THEN 'names a mailbox' END, CASE WHEN regexp_matches(text, '(?i)https?://') THEN 'names a URL' END,
   CASE WHEN {ANY("low", L.SYSTEM_WORDS)} THEN 'addresses a responding system' END, CASE WHEN {ANY("low", L.RESPONSE_WORDS)} THEN 'states how a response must be produced' END) AS signals, count(*) AS n, min(id) AS first_id FROM l GROUP BY ALL""",

@@ -94,10 +94,14 @@ def reconstruct_turns(spark, sf_dir):
 
 
 def judge_answers(spark, sf_dir):
-    """Answers judged against the whole of their conversation's other turns by the assistant."""
+    """Answers judged against their conversation's other turns by the assistant, whose words are taken once a conversation."""
     rows = turns(spark, sf_dir)
-    context = rows.where("role <> 'user'").groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x.text), "\n").alias("context"))
-    out = judge.scored(conversation.exchanges(rows).join(context, "conv_id"))
+    words = rows.where("role <> 'user'").select("conv_id", "turn", F.explode(T.content_words(F.col("text"))).alias("word"))
+    held = words.groupBy("conv_id", "word").agg(F.count("*").alias("n"), F.min("turn").alias("turn"))
+    held = held.groupBy("conv_id").agg(F.collect_list(F.struct("word", F.when(F.col("n") == 1, F.col("turn")).alias("only"))).alias("held"))
+    pairs = conversation.exchanges(rows).join(held, "conv_id", "left").withColumn("held", F.coalesce("held", F.array().cast("array<struct<word:string,only:bigint>>")))
+    others = F.transform(F.filter("held", lambda w: w.only.isNull() | (w.only != F.col("answer_turn"))), lambda w: w.word)
+    out = judge.scored(pairs.withColumn("context_words", others))
     return out.select("conv_id", "turn", "groundedness", "context_relevance", "answer_relevance")
 
 
@@ -199,11 +203,11 @@ TOPIC = lambda t: KEPT(f"regexp_extract_all(lower({t}), '{TERM}')", 4, L.GENERIC
 FOLLOWS = f"""(low <> '' AND (coalesce(list_contains({LIST(L.CONJUNCTIONS)}, terms[1]), false) OR {ANY("low", L.FOLLOW_UP)} OR (len(terms) <= 5 AND len(topic) = 0) OR (list_has_any(terms, {LIST(L.ANAPHORA)}) AND len(topic) <= 1)))"""
 ASKED = f"""asked AS (SELECT *, {FOLLOWS} AS follows FROM (SELECT conv_id, turn, trim(text, ' ') AS text, lower(trim(text, ' ')) AS low, regexp_extract_all(lower(trim(text, ' ')), '{TERM}') AS terms,
   {TOPIC("trim(text, ' ')")} AS topic FROM conversations WHERE role = 'user' AND trim(text, ' ') <> ''))"""
-PAIRS = "pairs AS (SELECT * FROM (SELECT *, lead(text) OVER w AS answer, lead(role) OVER w AS next_role FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) WHERE role = 'user' AND next_role = 'assistant')"
+PAIRS = "pairs AS (SELECT * FROM (SELECT *, lead(text) OVER w AS answer, lead(role) OVER w AS next_role, lead(turn) OVER w AS answer_turn FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) WHERE role = 'user' AND next_role = 'assistant')"
 REL = lambda q, t: f"CASE WHEN len({q}) = 0 THEN 0.0 ELSE round(len(list_intersect({q}, {t})) / len({q}), 6) END"
-JUDGED = f"""{PAIRS}, ctx AS (SELECT conv_id, string_agg(text, chr(10) ORDER BY turn, text) AS context FROM conversations WHERE role <> 'user' GROUP BY conv_id),
+JUDGED = f"""{PAIRS}, ctx AS (SELECT p.conv_id, p.turn, coalesce(string_agg(c.text, chr(10)), '') AS context FROM pairs p LEFT JOIN conversations c ON c.conv_id = p.conv_id AND c.role <> 'user' AND c.turn <> p.answer_turn GROUP BY ALL),
 j0 AS (SELECT conv_id, turn, list_filter({CONTENT("text")}, lambda w: NOT list_contains({LIST(L.GENERIC)}, w)) AS q, {CONTENT("answer")} AS a, {CONTENT("context")} AS c,
-  list_filter(list_transform({SENTENCES("answer")}, lambda s: {CONTENT("s")}), lambda w: len(w) >= 3) AS sets FROM pairs JOIN ctx USING (conv_id)),
+  list_filter(list_transform({SENTENCES("answer")}, lambda s: {CONTENT("s")}), lambda w: len(w) >= 3) AS sets FROM pairs JOIN ctx USING (conv_id, turn)),
 judged AS (SELECT conv_id, turn, CASE WHEN len(sets) = 0 THEN 0.0 ELSE round(len(list_filter(sets, lambda w: len(list_intersect(w, c)) / len(w) >= {L.GROUNDED})) / len(sets), 6) END AS groundedness,
   {REL("q", "c")} AS context_relevance, {REL("q", "a")} AS answer_relevance FROM j0)"""
 KAPPA = """SELECT {0} AS lang, tp, fp, tn, fn, round((tp + tn) / n, 6) AS agreement, CASE WHEN pe >= 1 THEN 0.0 ELSE round(((tp + tn) / n - pe) / (1 - pe), 6) END AS kappa FROM (
