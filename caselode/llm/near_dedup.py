@@ -76,6 +76,26 @@ def shingles(text: str, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(run, return_counts=True)
 
 
+def darts(seed: np.ndarray, of: np.ndarray, limit: np.ndarray, end: np.ndarray, width: float, size: int):
+    """Places, times and hashes of the darts of one region that lie below the limits: elements throw a few at a time, until
+    their ends, those that throw about as often together."""
+    often = np.digitize(end * width, (1.5, 6.0))
+    for level, step in enumerate((1, 4, 12)):
+        some = np.flatnonzero(often == level)
+        s, row, top, last, time, n = seed[some], of[some], limit[some], end[some], np.zeros(len(some)), 0
+        while len(s):
+            a = mix(s[:, None] + np.arange(n + 1, n + step + 1, dtype=np.uint64) * _C)
+            times = time[:, None] - np.cumsum(np.log(((a >> np.uint64(11)).astype(float) + 1) * 2.0**-53), axis=1) / width
+            on = times < last[:, None]
+            hit = np.flatnonzero(on.ravel())
+            thrower, dart = hit // step, mix(a.ravel()[hit])
+            place = row[thrower] * size + ((dart & np.uint64(0xFFFFFFFF)) % np.uint64(size)).astype(np.int64)
+            own = (dart >> np.uint64(32)).astype(float) * (2.0**-32 * width) < top[thrower] if (top < width).any() else slice(None)
+            yield place[own], times.ravel()[hit][own], dart[own]
+            more = on[:, -1]
+            s, row, top, last, time, n = s[more], row[more], top[more], last[more], times[more, -1], n + step
+
+
 def dart_signatures(sets: list[tuple[np.ndarray, np.ndarray]], size: int) -> np.ndarray:
     """The earliest dart of each coordinate, a row for each weighted set (keys, weights); all sets are thrown at once."""
     out = np.zeros((len(sets), size), np.uint64)
@@ -85,30 +105,12 @@ def dart_signatures(sets: list[tuple[np.ndarray, np.ndarray]], size: int) -> np.
         key = np.concatenate([sets[i][0] for i in todo])
         weight = np.concatenate([sets[i][1] for i in todo])
         row = np.repeat(np.arange(len(todo)), [len(sets[i][0]) for i in todo])
-        places, times, darts = [], [], []
-        low, width, box = 0.0, 1.0, 0
-        while True:
-            inside = np.flatnonzero(weight > low)
-            if not len(inside):
-                break
-            seed, of, limit = mix(key[inside] ^ mix(np.uint64([box]))[0]), row[inside], weight[inside] - low
-            end = until[todo][of]
-            time, throw = np.zeros(len(seed)), 0
-            while len(seed):
-                throw += 1
-                a = mix(seed + np.uint64(throw * int(_C) % 2**64))
-                time = time - np.log(((a >> np.uint64(11)).astype(float) + 1) * 2.0**-53) / width
-                on = time < end
-                seed, of, limit, end, time, a = seed[on], of[on], limit[on], end[on], time[on], a[on]
-                dart = mix(a)
-                own = (dart >> np.uint64(32)).astype(float) * (2.0**-32 * width) < limit
-                place = of * size + ((dart & np.uint64(0xFFFFFFFF)) % np.uint64(size)).astype(np.int64)
-                if own.all():
-                    places.append(place), times.append(time), darts.append(dart)
-                else:
-                    places.append(place[own]), times.append(time[own]), darts.append(dart[own])
+        found, low, width, box = [], 0.0, 1.0, 0
+        while len(inside := np.flatnonzero(weight > low)):
+            seed = mix(key[inside] ^ mix(np.uint64([box]))[0])
+            found += darts(seed, row[inside], weight[inside] - low, until[todo][row[inside]], width, size)
             low, width, box = low + width, low + width, box + 1
-        place, time, dart = np.concatenate(places), np.concatenate(times), np.concatenate(darts)
+        place, time, dart = map(np.concatenate, zip(*found, strict=True))
         best = np.full(len(todo) * size, np.inf)
         np.minimum.at(best, place, time)
         first = time == best[place]
