@@ -38,7 +38,7 @@ from caselode.llm.common import documents, memory, slices, text_of
 
 SAMPLES, SHARPNESS, OFFSET = 2, 2.0, 10.0
 #: What a worker remembers: characters of chunks whose best way is known in a generation (two are kept), edges of whole lattices.
-REMEMBERED, EDGES = 1_000_000, 100_000
+REMEMBERED, EDGES = 3_000_000, 300_000
 
 
 class Vocabulary:
