@@ -46,8 +46,8 @@ def test_planted_passages_are_found_and_clean_texts_left(spark):
     assert {r.doc_id for r in got} == later
     for r in got:
         p = next(p for p, own in holds.items() if r.doc_id in own)
-        inner = rows[r.doc_id][1][r.start + LONGEST : r.start + r.length - LONGEST]
-        assert r.first_doc_id == holds[p][0] and inner in rows[r.first_doc_id][1]
+        assert r.first_doc_id in holds[p] and r.first_doc_id < r.doc_id
+        assert rows[r.doc_id][1][r.start : r.start + r.length] == rows[r.first_doc_id][1][r.first_start : r.first_start + r.length]
         assert rows[r.doc_id][1][r.start : r.start + r.length] in " " + passages[p] + rows[r.doc_id][1].partition(passages[p])[2]
 
 
@@ -57,11 +57,39 @@ def test_documents_against_strings(spark, sf_dir):
     assert got
     for r in got:
         part = texts[r.doc_id][r.start : r.start + r.length]
-        assert any(part[:LONGEST // 2] in t for d, t in texts.items() if d < r.doc_id) and texts[r.first_doc_id]
+        assert part == texts[r.first_doc_id][r.first_start : r.first_start + r.length] and (r.first_doc_id, r.first_start) < (r.doc_id, r.start)
+        assert r.n_words >= 15 and len(part) == r.length
     copies = {d for d, t in texts.items() if len(t.split()) > 60 and any(t == u for e, u in texts.items() if e < d)}
     assert copies <= {r.doc_id for r in got}
 
 
+def test_owners_of_mixed_passages_and_repeats_within_a_document(spark):
+    draw = random.Random(11)
+    a, b, c, own = (words(draw, n) for n in (40, 40, 40, 50))
+    gap = lambda: words(draw, 30)
+    rows = [(1, a), (2, f"{gap()} {b} {a} {c}"), (3, f"{gap()} {b} {a} {c} {gap()}"), (4, f"{own} {gap()} {own} {gap()} {own}"), (5, f"{b} {gap()} {a}")]
+    texts = dict(rows)
+    got = repeats(spark.createDataFrame(rows + rows[:2], "doc_id long, text string")).collect()
+    for r in got:
+        assert texts[r.doc_id][r.start : r.start + r.length] == texts[r.first_doc_id][r.first_start : r.first_start + r.length]
+    of = lambda d: sorted((r.first_doc_id, r.n_words) for r in got if r.doc_id == d)
+    assert [d for d, _ in of(1)] == [] and [d for d, _ in of(2)] == [1]
+    assert [d for d, _ in of(3)] == [2] and of(3)[0][1] > 95
+    assert [d for d, _ in of(4)] == [4, 4] and [d for d, _ in of(5)] == [1, 2]
+
+
+def test_different_texts_of_one_id(spark):
+    draw = random.Random(12)
+    p, q = words(draw, 60), words(draw, 60)
+    rows = [(1, p), (2, "x " + p), (2, q + " " + p), (2, q + " " + p)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    (r,) = repeats(df).collect()
+    searched = [t for d, t in rows if d == 2 and t[r.start : r.start + r.length] == p[r.first_start : r.first_start + r.length]]
+    assert searched and r.first_doc_id == 1
+    left = [x.text for x in without_repeats(df).where("doc_id = 2").collect()]
+    assert len(left) == 3 and sum(t in left for _, t in rows[1:]) in (1, 2)
+
+
 def test_without_repeats_null_repeated_and_no_rows(spark):
     draw = random.Random(8)
     p, q, r = words(draw, 60), words(draw, 40), words(draw, 40)
