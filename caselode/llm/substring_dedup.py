@@ -80,7 +80,7 @@ def cuts(data: np.ndarray) -> list[int]:
 
 
 def other_texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id and lo, the smallest hash, of the ids that have different texts."""
+    """id and lo, the smallest hash, of the ids that have different texts. Written first, few rows let a join leave the texts where they are."""
     hashed = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_of(text_col)).alias("h"))
     return hashed.groupBy("id").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo < hi").select("id", "lo")
 
@@ -112,7 +112,7 @@ def chunks(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else [], pa.int64()) for x in columns], ["hi", "lo", "doc", "start", "length", "words", "at"])
 
     rows = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), text_of(text_col).alias("text"))
-    others = other_texts(df, id_col, text_col)
+    others = written(other_texts(df, id_col, text_col), "others")
     single = rows.join(others, (F.col("doc") == F.col("id")) & (F.xxhash64("text") != F.col("lo")), "left_anti")
     return single.mapInArrow(run, "hi long, lo long, doc long, start long, length long, words long, at long")
 
@@ -156,7 +156,7 @@ def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """The rows of df, the repeated spans cut out of their texts; a row whose text was not searched stays as it is."""
     own, key, other, hashed = fresh(df, "own_runs"), fresh(df, "own_doc"), fresh(df, "other_doc"), fresh(df, "other_hash")
     per = repeats(df, id_col, text_col, words).groupBy(F.col(id_col).alias(key)).agg(F.array_sort(F.collect_list(F.struct("start", "length"))).alias(own))
-    others = other_texts(df, id_col, text_col).select(F.col("id").alias(other), F.col("lo").alias(hashed))
+    others = written(other_texts(df, id_col, text_col), "others").select(F.col("id").alias(other), F.col("lo").alias(hashed))
     text = F.col(text_col)
     piece = lambda a, b: F.substring(text, (a + 1).cast("int"), F.greatest(b - a, F.lit(0)).cast("int"))
     keep = lambda acc, x: F.struct(
