@@ -7,10 +7,11 @@ three or more single letters count as one word.
 
 Training: a labelled text is a bag of sentences, and these bags of words, of which one toxic word suffices. Spark counts, over the labelled training rows, in how
 many toxic and other texts each word stands; the words most tied to toxic texts are the positive witnesses, frequent and
-sampled words of other texts the negative ones. ``LANDMARKS`` of both make the Nyström map K^(-1/2) k(word), on which a
+sampled words of other texts the negative ones. A positive word also stands with a letter put into each of its gaps, and
+into all of them, so that the margin learns what inserted letters leave of it. ``LANDMARKS`` of both make the Nyström map K^(-1/2) k(word), on which a
 squared-hinge linear SVM is fitted. Folding the weights back onto the triples leaves one table, so that a word costs as
-many look-ups as it has triples. A text's margin is its highest word's; a logistic curve over the training texts' margins
-turns it into a score. ``MAX_LABELLED`` bounds the labelled rows learnt from (drawn by hash of the id); everything else
+many look-ups as it has triples. A text's margin is its highest word's; a logistic curve over the training texts' margins,
+those beyond the hinge taken as at it, turns it into a score. ``MAX_LABELLED`` bounds the labelled rows learnt from (drawn by hash of the id); everything else
 reads all rows.
 
 Defined results: null and empty texts get the margin of a text without words; null ids are scored (as training rows,
@@ -22,6 +23,7 @@ ignored.
 from __future__ import annotations
 
 import pickle
+import random
 import re
 from collections import defaultdict
 from itertools import combinations
@@ -137,6 +139,18 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * np.asarray(margins) + self.shift, -30, 30)))
 
 
+def gapped(word: str) -> list[str]:
+    """The word with a drawn letter in one of its gaps, for each gap, and with letters in all of them; seeded by the word."""
+    draw = random.Random(word)
+    more = lambda: draw.choice("abcdefghijklmnopqrstuvwxyz")
+    return [word[:i] + more() + word[i:] for i in range(1, len(word))] + [word[0] + "".join(more() + c for c in word[1:])]
+
+
+def with_gapped(positive: list[tuple[str, float]]) -> list[tuple[str, float]]:
+    """Positive words and, with half their weight together, their gapped forms."""
+    return positive + [(v, x / (2 * len(word))) for word, x in positive for v in gapped(word)]
+
+
 def nystroem_svm(positive: list[tuple[str, float]], negative: list[tuple[str, float]], landmarks: int = LANDMARKS) -> Model:
     """Fits word margins from (word, weight) of both kinds, strongest first."""
     marks = [w for w, _ in positive[: landmarks // 2]] + [w for w, _ in negative[: landmarks - landmarks // 2]]
@@ -231,6 +245,7 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
     positive, negative = [tuple(r) for r in strong.collect()], list({r.word: tuple(r) for r in often.collect() + rare.collect()}.values())
     if not positive or not negative:
         return None
+    positive = with_gapped(positive)
     model = nystroem_svm(positive, negative)
     for _ in range(HARD_ROUNDS):
         hardest = plain.withColumn("margin", word_margins(model)("word")).orderBy(F.desc("margin"), "word").limit(CANDIDATES // 2)
@@ -246,7 +261,7 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
             yield pa.RecordBatch.from_pydict({"margin": pa.array(m, pa.float64()), "toxic": batch.column(1)})
 
     table = rows.mapInArrow(margins, "margin double, toxic int").groupBy("margin", "toxic").count().collect()
-    model.slope, model.shift = logistic(np.array([r.margin for r in table]), np.array([int(r.toxic > 0) for r in table]), np.array([float(r["count"]) for r in table]))
+    model.slope, model.shift = logistic(np.clip([r.margin for r in table], -1, 1), np.array([int(r.toxic > 0) for r in table]), np.array([float(r["count"]) for r in table]))
     return model
 
 

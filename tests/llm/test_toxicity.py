@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from caselode.llm.common import documents
-from caselode.llm.toxicity import DECAY, REACH, by_length, features, letters, nystroem_svm, op6_toxicity, predict, tokens, without_toxic
+from caselode.llm.toxicity import DECAY, REACH, by_length, features, letters, nystroem_svm, gapped, op6_toxicity, predict, tokens, train, without_toxic
 
 
 def brute(word):
@@ -48,6 +48,23 @@ def test_held_out_accuracy(spark, sf_dir):
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in rows)
 
 
+def test_inserted_letters_with_the_query_model(spark):
+    path = "/root/testdata/sf0.1"
+    model = train(documents(spark, path), documents(spark, path, "labels"))
+    toxic = lambda texts: model.score(model.text_margins(texts)) >= 0.5
+    assert toxic(["you idiot", "you idxiot", "you are a stuupid person", "i.d.i.o.t", "what a cl.own", "an id iot", "s c u m"])[[0, 1, 2, 3, 4, 6]].all()
+    once = [w[:i] + c + w[i:] for w in ("idiot", "stupid", "clown") for i in range(1, len(w)) for c in "xqe"]
+    assert toxic(once).mean() >= 0.9
+    plain = ["pilot", "a good idea", "the study of ideology", "audit", "studio", "town crowd", "cupid"]
+    assert not toxic(plain).any()
+
+
+def test_gapped_forms():
+    forms = gapped("idiot")
+    assert len(forms) == 5 and forms == gapped("idiot") and len(forms[-1]) == 9 and forms[-1][::2] == "idiot"
+    assert all(len(f) == 6 and any(f[:i] + f[i + 1 :] == "idiot" for i in range(6)) for f in forms[:-1])
+
+
 def test_edges(spark):
     docs = spark.createDataFrame([(i, f"{'vile' if i % 2 else 'kind'} words number {i}", "l") for i in range(60)] + [(None, "vile", None), (99, None, "l"), (99, "", "l"), (100, "kind " * 30_000 + "vilest", "l")], "doc_id long, text string, toxic string")
     labels = spark.createDataFrame([(i, i % 2, 1) for i in range(60)] + [(None, 1, 1), (5, None, 0), (700, 1, 0), (4, 0, 0)], "doc_id long, toxic int, score int")
