@@ -46,10 +46,12 @@ def spread_join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """The inner join of left, a written table, with right, one row a key, however many rows of left share a key.
 
     Rows with a hot key stay where they lie and meet broadcast rows of right, at most 1 / HOT_KEY; all others are shuffled.
+    right meets the hot keys, each there once, in an inner join: a semi-join would be moved below right's own grouping, where it
+    gives all rows of the hot keys instead of one a key.
     """
     hot = F.broadcast(hot_keys(left, key).select(key))
     cold = left.join(hot, key, "left_anti").join(right.hint("merge"), key)
-    return cold.unionByName(left.join(F.broadcast(right.join(hot, key, "left_semi")), key))
+    return cold.unionByName(left.join(F.broadcast(right.join(hot, key)), key))
 
 
 def fresh(df: DataFrame, stem: str) -> str:
