@@ -349,9 +349,11 @@ class Sampler:
             out.append((ways, float(logs.sum()), -value))
             # what is left: for each chunk from `at` on, the same up to it, something else there
             rest = others[at:].copy()
-            for i in {*[i for i in ways if i >= at], *([at] if barred else [])}:
-                lattice = self.lattice(chunks[i])
-                rest[i - at] = lattice.left([*(barred if i == at else []), ways.get(i, lattice.mode)])
+            drawn = [i for i in ways if i >= from_]
+            rest[[i - at for i in drawn]] = -np.expm1(logs[drawn])  # not the likeliest way, so at most a half: nothing cancels
+            if barred:
+                lattice = self.lattice(chunks[at])
+                rest[0] = lattice.left([*barred, ways.get(at, lattice.mode)])
             with np.errstate(divide="ignore"):
                 mass = np.log(rest) + np.concatenate([[logs[:at].sum()], logs[:at].sum() + np.cumsum(logs[at:-1])])
             free = rng.gumbel(size=n - at) + mass
