@@ -9,7 +9,9 @@ from caselode.llm.lm import op1_lm_scoring
 from caselode.llm.near_dedup import op10_near_dedup
 from caselode.llm.packing import op3_packing
 from caselode.llm.pii import op7_pii
+from caselode.llm.ranked_search import OP11_SQL, op11_ranked_search
 from caselode.llm.segmentation import op4_segmentation
+from caselode.llm.simhash import op12_simhash
 from caselode.llm.substring_dedup import op5_substring_dedup
 from caselode.llm.toxicity import op6_toxicity
 
@@ -24,9 +26,12 @@ QUERIES = {
     "op8_fingerprints": op8_fingerprints,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_near_dedup": op10_near_dedup,
+    "op11_ranked_search": op11_ranked_search,
+    "op12_simhash": op12_simhash,
 }
 
 ORACLE_SQL = {
     "op2_licenses": OP2_SQL,
     "op9_exact_dedup": OP9_SQL,
+    "op11_ranked_search": OP11_SQL,
 }
