@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from caselode.llm.collocations import OP13_SQL, op13_collocations
 from caselode.llm.exact_dedup import OP9_SQL, op9_exact_dedup
 from caselode.llm.fingerprints import op8_fingerprints
 from caselode.llm.licenses import OP2_SQL, op2_licenses
@@ -28,10 +29,12 @@ QUERIES = {
     "op10_near_dedup": op10_near_dedup,
     "op11_ranked_search": op11_ranked_search,
     "op12_simhash": op12_simhash,
+    "op13_collocations": op13_collocations,
 }
 
 ORACLE_SQL = {
     "op2_licenses": OP2_SQL,
     "op9_exact_dedup": OP9_SQL,
     "op11_ranked_search": OP11_SQL,
+    "op13_collocations": OP13_SQL,
 }
