@@ -112,6 +112,7 @@ class Trie:
         """phrases: matrices of word ids, one for each length; what they are prefixes of shares their states."""
         self.base, self.check = np.zeros(2 << BITS, np.int64), np.full(2 << BITS, -1, np.int64)
         self.check[:2] = -2  # taken
+        self.used = len(self.base)
         self.draw = np.random.default_rng(1)
         digits = [np.stack([m >> (BITS * (DIGITS - 1 - d)) & ((1 << BITS) - 1) for m in x.T for d in range(DIGITS)], axis=1) if len(x) else np.zeros((0, DIGITS), np.int64) for x in phrases]
         at = [np.ones(len(x), np.int64) for x in digits]
@@ -136,11 +137,12 @@ class Trie:
         group = np.repeat(np.arange(len(first)), size)
         base = np.zeros(len(first), np.int64)
         crowded = size > 1 << (BITS - 3)
-        start = len(self.base)
+        start = self.used
         base[crowded] = start + np.arange(crowded.sum()) * (1 << BITS)
         low = start + int(crowded.sum()) * (1 << BITS)
         span = 4 * int(size[~crowded].sum()) + (1 << BITS)
-        self._room(low + span + (1 << BITS))
+        self.used = low + span + (1 << BITS)
+        self._room(self.used)
         todo = ~crowded
         while todo.any():
             base[todo] = low + self.draw.integers(0, span, todo.sum())
