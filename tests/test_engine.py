@@ -164,7 +164,7 @@ def test_structure(spark):
     assert rows[3][2] == "This is the name, as in subsection (2) and so on." and rows[5][2] == "The long name is long."
     cites = {r.citation: r.breadcrumb for r in structure.leaves(tree).collect()}
     assert list(sorted(cites)) == ["Sch. 2 para. 1(1)", "Sch. 2 para. 1(2)", "s.1(1)", "s.1(2)", "s.2"]
-    assert cites["s.2"] == "Part 1 > Opening rules > s.2 Long name"
+    assert cites["s.2"] == "A Title Page of the Thing > Part 1 General Matters > Opening rules > s.2 Long name"
     assert structure.checked(tree, 1, 1, 1).where("doc_id = 'd'").head().failures == ""
 
 
