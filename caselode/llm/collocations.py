@@ -35,7 +35,7 @@ LEAST, LONGEST, TOP, INSIDE = 30, 4, 2000, 80
 BOUND = 2**21
 DIGITS, BITS = 3, 7
 #: Distinct words, and candidate positions, that a task gathers before it sends counts on; words of text a shard is meant for.
-WORDS, FLUSH, SHARD = 500_000, 4_000_000, 4_000_000
+WORDS, FLUSH, SHARD = 500_000, 2_000_000, 4_000_000
 
 #: A-Z to a-z, piece ends to line feeds, tabs to spaces; 0xFF, which no UTF-8 text has, will mark piece ends.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else 10 if c in b".,;:!?\x0b\x0c\r" else 32 if c == 9 else c for c in range(256))
@@ -186,29 +186,48 @@ def walked(base: np.ndarray, check: np.ndarray, ids: np.ndarray, levels: int):
         yield at, states
 
 
+def summed(keys: np.ndarray, counts: np.ndarray, most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys and the sums of their counts, at most ``most`` each."""
+    order = np.argsort(keys, kind="stable")
+    keys, counts = keys[order], counts[order]
+    starts = np.flatnonzero(np.concatenate([np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1]]))
+    total = np.add.reduceat(counts, starts) if len(starts) else counts[:0]
+    return keys[starts], np.minimum(total, most) if most else total
+
+
+def sent(keys: np.ndarray, counts: np.ndarray, shards: int):
+    """A block of keys and counts for each shard."""
+    shard = (mix(keys.astype(np.uint64)) % np.uint64(shards)).astype(np.int64)
+    order = np.argsort(shard, kind="stable")
+    cuts = np.searchsorted(shard[order], np.arange(shards + 1))
+    for s in np.flatnonzero(np.diff(cuts)):
+        mine = order[cuts[s] : cuts[s + 1]]
+        yield pa.RecordBatch.from_arrays([pa.array([int(s)]), *[pa.array([x[mine].astype(np.int64).tobytes()], pa.binary()) for x in (keys, counts)]], BLOCK.split())
+
+
+BLOCK, BLOCK_SCHEMA = "shard keys counts", "shard long, keys binary, counts binary"
+
+
+def added(blocks: DataFrame, least: int) -> DataFrame:
+    """key and f of the keys whose counts in all blocks come to ``least`` or more; a shard has a bounded part of the text's positions."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        keys, counts = summed(*[np.frombuffer(b"".join(rows.column(c).to_pylist()), np.int64) for c in ("keys", "counts")])
+        return pa.table({"key": keys[counts >= least], "f": counts[counts >= least]})
+
+    return blocks.groupBy("shard").applyInArrow(run, "key long, f long")
+
+
 def capped(coded: DataFrame, trie: Trie | None, size: int, least: int, shards: int) -> DataFrame:
     """key: state (of the first size - 1 words, the word itself if there is no trie) and last word of the candidates of size words
     that occur ``least`` times or more."""
     held = coded.sparkSession.sparkContext.broadcast(trie.arrays() if trie else None)
 
-    def summed(keys, counts):
-        keys, inverse = np.unique(keys, return_inverse=True)
-        return keys, np.minimum(np.bincount(inverse, counts, len(keys)).astype(np.int64), least)
-
     def run(batches):
         waiting, n = [], 0
-
-        def out():
-            keys, counts = summed(np.concatenate([k for k, _ in waiting]), np.concatenate([c for _, c in waiting]))
-            shard = (mix(keys.view(np.uint64)) % np.uint64(shards)).astype(np.int64)
-            order = np.argsort(shard, kind="stable")
-            cuts = np.searchsorted(shard[order], np.arange(shards + 1))
-            for s in np.flatnonzero(np.diff(cuts)):
-                mine = order[cuts[s] : cuts[s + 1]]
-                yield pa.RecordBatch.from_arrays([pa.array([int(s)]), pa.array([keys[mine].tobytes()], pa.binary()), pa.array([counts[mine].astype(np.int32).tobytes()], pa.binary())], ["shard", "keys", "counts"])
-
+        gathered = lambda: sent(*summed(np.concatenate([k for k, _ in waiting]), np.concatenate([c for _, c in waiting]), least), shards)
         for batch in batches:
-            for (raw,) in zip(batch.column(0).to_pylist(), strict=True):
+            for raw in batch.column(0).to_pylist():
                 ids = np.frombuffer(raw, np.int32)
                 if trie is None:
                     at, states = np.flatnonzero(ids), ids[ids > 0]
@@ -217,25 +236,18 @@ def capped(coded: DataFrame, trie: Trie | None, size: int, least: int, shards: i
                 both = np.flatnonzero(at[1:] == at[:-1] + 1)  # the next position starts a frequent phrase too
                 key = states[both].astype(np.int64) << (DIGITS * BITS) | ids[at[both] + size - 1]
                 if len(key):
-                    found = np.unique(key, return_counts=True)
-                    waiting.append(found)
-                    n += len(found[0])
+                    waiting.append(np.unique(key, return_counts=True))
+                    n += len(waiting[-1][0])
                 if n > FLUSH:
-                    yield from out()
+                    yield from gathered()
                     waiting, n = [], 0
         if waiting:
-            yield from out()
-
-    def add(rows: pa.Table) -> pa.Table:
-        keys = np.frombuffer(b"".join(rows.column("keys").to_pylist()), np.int64)
-        counts = np.frombuffer(b"".join(rows.column("counts").to_pylist()), np.int32)
-        keys, counts = summed(keys, counts)
-        return pa.table({"key": keys[counts >= least]})
+            yield from gathered()
 
-    return coded.mapInArrow(run, "shard long, keys binary, counts binary").groupBy("shard").applyInArrow(add, "key long")
+    return added(coded.mapInArrow(run, BLOCK_SCHEMA), least).select("key")
 
 
-def trie_counts(coded: DataFrame, trie: Trie) -> DataFrame:
+def trie_counts(coded: DataFrame, trie: Trie, shards: int) -> DataFrame:
     """state and f of all accepting states of a trie of phrases of 2 words or more."""
     held = coded.sparkSession.sparkContext.broadcast(trie.arrays())
 
@@ -243,14 +255,14 @@ def trie_counts(coded: DataFrame, trie: Trie) -> DataFrame:
         base, check = held.value
         total = np.zeros(len(base), np.int64)
         for batch in batches:
-            for (raw,) in zip(batch.column(0).to_pylist(), strict=True):
+            for raw in batch.column(0).to_pylist():
                 for level, (_, states) in enumerate(walked(base, check, np.frombuffer(raw, np.int32), LONGEST)):
                     if level:
                         total += np.bincount(states, minlength=len(total))
         some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["state", "f"])
+        yield from sent(some, total[some], shards)
 
-    return coded.mapInArrow(run, "state long, f long").groupBy("state").agg(F.sum("f").alias("f"))
+    return added(coded.mapInArrow(run, BLOCK_SCHEMA), 1).withColumnRenamed("key", "state")
 
 
 def counted(df: DataFrame, lang_col: str, text_col: str, least: int = LEAST, bound: int = BOUND) -> tuple[DataFrame, DataFrame]:
@@ -296,7 +308,7 @@ def counted(df: DataFrame, lang_col: str, text_col: str, least: int = LEAST, bou
         "state": np.concatenate(trie.of), "size": pa.array(np.repeat([x.shape[1] for x in levels], [len(x) for x in levels]).astype(np.int32)),
         "lang": [lang_of[i] for x in levels for i in x[:, 0]], "phrase": pa.array([b" ".join(word_of[i] for i in r) for x in levels for r in x.tolist()], pa.binary()),
     })
-    found = trie_counts(coded, trie).join(spark.createDataFrame(names), "state").select("lang", "size", "phrase", "f")
+    found = trie_counts(coded, trie, shards).join(spark.createDataFrame(names), "state").select("lang", "size", "phrase", "f")
     return words.unionByName(written(found, "phrases")), totals
 
 
