@@ -65,15 +65,15 @@ def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
     Rows of hot groups collapse map-side to one candidate each; the others meet by digest in one shuffle.
     """
-    sha, place = fresh(df, "sha"), fresh(df, "place")
+    sha, place, hot_sha, hot_id, row = (fresh(df, name) for name in ("sha", "place", "hot_sha", "hot_id", "row"))
     rows = df.withColumn(sha, digest(text_of(text_col)))
     keyed = written(rows.select(F.col(sha).alias("sha"), F.col(id_col).alias("id")), "digests")
     hot = written(hot_groups(keyed, "sha", "id"), "hot").withColumnsRenamed({"sha": sha})
     newest = Window.partitionBy(sha).orderBy(F.col(id_col).desc_nulls_last())
     cold = rows.join(F.broadcast(hot.select(sha)), sha, "left_anti").withColumn(place, F.row_number().over(newest)).where(F.col(place) == 1)
-    of = hot.select(F.col(sha).alias("_hot_sha"), F.col("hot_id").alias("_hot_id"))
-    warm = rows.join(F.broadcast(of), F.col(sha).eqNullSafe(F.col("_hot_sha")) & F.col(id_col).eqNullSafe(F.col("_hot_id")))
-    one = warm.groupBy(sha).agg(F.first(F.struct(*[F.col(f"`{c}`") for c in df.columns])).alias("_row")).select("_row.*")
+    of = hot.select(F.col(sha).alias(hot_sha), F.col("hot_id").alias(hot_id))
+    warm = rows.join(F.broadcast(of), F.col(sha).eqNullSafe(F.col(hot_sha)) & F.col(id_col).eqNullSafe(F.col(hot_id)))
+    one = warm.groupBy(sha).agg(F.first(F.struct(*[F.col(f"`{c}`") for c in df.columns])).alias(row)).select(f"{row}.*")
     return cold.select(*df.columns).unionByName(one)
 
 

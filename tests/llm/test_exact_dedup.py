@@ -44,3 +44,11 @@ def test_deduplicate_keeps_one_whole_row_of_each_text(spark):
 def test_empty_table(spark):
     assert mark(frame(spark, [])).count() == 0
     assert deduplicate(frame(spark, [])).count() == 0
+
+
+def test_deduplicate_with_clashing_columns(spark):
+    names = ["hot_sha", "hot_id", "_hot_sha", "_hot_id", "row", "place", "keep_id", "n"]
+    df = spark.createDataFrame([(i, "hot" if i % 2 else f"t{i}", *[f"{c}{i}" for c in names]) for i in range(3000)], ["doc_id", "text", *names])
+    got = deduplicate(df)
+    assert got.columns == df.columns
+    assert sorted(tuple(r) for r in got.collect()) == sorted(tuple(r) for r in df.where("text <> 'hot' or doc_id = 2999").collect())
