@@ -3,17 +3,17 @@
 from __future__ import annotations
 
 import hashlib
-import math
 from collections import Counter
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from caselode.functions import lexicons as L
 from caselode.functions import text as T
-from caselode.functions.stats import cosine
+from caselode.operators import vectors
 from caselode.session import checkpointed
 
 DIM = 512
@@ -33,24 +33,28 @@ def hashing_embedding(tokens: Column, dim: int = DIM) -> Column:
     @F.pandas_udf("array<double>")
     def run(batch: pd.Series) -> pd.Series:
         out = []
-        for words in batch:
-            words = list(words) if words is not None else []
-            vector = [0.0] * dim
-            for term, n in Counter([*words, *map("_".join, zip(words, words[1:], strict=False))]).items():
-                vector[bucket(term, dim)] += 1 + math.log(n)
-            norm = math.sqrt(sum(x * x for x in vector))
-            out.append([x / norm for x in vector] if norm else [1.0] + [0.0] * (dim - 1))
-        return pd.Series(out)
+        for at in range(0, len(batch), 1024):
+            rows, places, weights = [], [], []
+            part = batch[at : at + 1024]
+            for row, words in enumerate(part):
+                words = list(words) if words is not None else []
+                counts = Counter([*words, *map("_".join, zip(words, words[1:], strict=False))])
+                rows += [row] * len(counts)
+                places += [bucket(term, dim) for term in counts]
+                weights += counts.values()
+            m = np.zeros((len(part), dim))
+            np.add.at(m, (rows, places), 1 + np.log(np.array(weights, float)))
+            empty = ~m.any(axis=1)
+            m[empty, 0] = 1.0
+            out += list(m / np.sqrt((m * m).sum(axis=1))[:, None])
+        return pd.Series(out, index=batch.index, dtype=object)
 
     return run(tokens)
 
 
 def search(questions: DataFrame, leaves: DataFrame, k: int = L.TOP_K) -> DataFrame:
     """The 3k nearest leaves of each question (query_id, vector), ranked, ties by id. questions is the small, stated side."""
-    pairs = leaves.join(F.broadcast(questions.select("query_id", F.col("vector").alias("_q"))))
-    score = F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), cosine(F.col("_q"), F.col("vector")))), 6)
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
-    return pairs.withColumn("score", score).drop("vector", "_q").withColumn("rank", place).where(F.col("rank") <= k * L.OVERFETCH)
+    return leaves.drop("vector").join(vectors.nearest(questions, leaves, k * L.OVERFETCH), "id")
 
 
 HIT = "struct<rank:int,citation:string,text:string,score:double,parent_id:string,expanded:boolean>"

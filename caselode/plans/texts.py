@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from caselode.functions import lexicons as L
 from caselode.functions import text as T
-from caselode.functions.stats import cosine
-from caselode.operators import conversation, integrity, judge
-from caselode.session import read_table
+from caselode.operators import conversation, integrity, judge, vectors
+from caselode.operators.panels import band
+from caselode.session import read_table, shared_folder
 
 
 def docs(spark, sf_dir):
@@ -110,8 +112,6 @@ def score_summary(spark, sf_dir):
     rows = judge_answers(spark, sf_dir)
     long = rows.select(F.expr("stack(3, 'groundedness', groundedness, 'context_relevance', context_relevance, 'answer_relevance', answer_relevance) AS (name, score)"))
     out = long.groupBy("name").agg(F.round(F.sum(F.col("score").cast("decimal(20,6)")).cast("double") / F.count("*"), 6).alias("mean"), F.count_if(F.col("score") == 1).alias("full"), F.count("*").alias("n"))
-    from caselode.operators.panels import band
-
     return out.withColumn("band", band(F.col("mean")))
 
 
@@ -141,11 +141,17 @@ def term_coverage(spark, sf_dir):
 def vector_topk(spark, sf_dir):
     """The five nearest vectors of each one whose id is divisible by 50, itself left out; all vectors compete."""
     v = read_table(spark, sf_dir, "embeddings")
-    asked = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    pairs = v.join(F.broadcast(asked), F.col("vec_id") != F.col("query_id"))
-    scored = pairs.select("query_id", "vec_id", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), cosine(F.col("q"), F.col("embedding")))), 6).alias("score"))
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return scored.withColumn("rank", place).where("rank <= 5")
+    asked = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    return vectors.nearest(asked, v, 5, "vec_id", "embedding", itself=False).withColumnRenamed("id", "vec_id")
+
+
+def vector_cells(spark, sf_dir):
+    """As vector_topk, by an index of coarse cells of which each question looks at some."""
+    v = read_table(spark, sf_dir, "embeddings")
+    asked = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    path = f"{shared_folder(spark)}/caselode/cells-{uuid.uuid4().hex}"
+    vectors.write_cells(v.select("vec_id", "embedding"), path, 32, "vec_id", "embedding")
+    return vectors.probed(asked, path, 5, 20, "vec_id", "embedding", itself=False).withColumnRenamed("id", "vec_id")
 
 
 def sufficiency_gate(spark, sf_dir):
@@ -187,7 +193,7 @@ QUERIES = {
     for f in (
         tokenize_terms, embedding_tokens, distinctive_terms, content_terms, token_estimate, sentence_split, redact_identifiers, fingerprint, window_chunks, question_intents,
         follow_ups, contextualise, history_tail, session_summary, reconstruct_turns, judge_answers, score_summary, calibration, disagreements, term_coverage, vector_topk,
-        sufficiency_gate, vector_profile, chain_verify, retention_expired,
+        vector_cells, sufficiency_gate, vector_profile, chain_verify, retention_expired,
     )
 }
 
