@@ -130,6 +130,24 @@ def route(score: Column, attempts: Column) -> Column:
     return F.when(score >= L.SUFFICIENT, "generate").when(attempts < L.MAX_ATTEMPTS, "refine").otherwise("refuse")
 
 
+def answered(questions: DataFrame, leaves: DataFrame, parents: DataFrame, k: int = L.TOP_K, query: str = "question") -> DataFrame:
+    """One retrieval of a batch of questions (query_id, question and the query to search by): citations, breadcrumbs and sufficiency of
+    what is found and expanded. Questions without hits have no row. leaves: id, citation, breadcrumb, text, parent_id, vector; parents: parent_id, citation,
+    text and, for what is widened to keep one, breadcrumb."""
+    by = questions.select("query_id", hashing_embedding(T.embedding_tokens(F.col(query))).alias("vector"))
+    hits = checkpointed(search(by, leaves, k).select("query_id", "rank", "citation", "breadcrumb", "text", "score", "parent_id"))
+    crumbs = hits.select("citation", "breadcrumb")
+    if "breadcrumb" in parents.columns:
+        crumbs = crumbs.unionByName(parents.join(hits.select("parent_id").distinct(), "parent_id", "left_semi").select("citation", "breadcrumb"))
+    crumbs = crumbs.dropDuplicates(["citation"])
+    wide = expanded(hits, parents, k).join(crumbs, "citation", "left").withColumn("breadcrumb", F.coalesce("breadcrumb", F.lit("")))
+    xs = F.array_sort(F.collect_list(F.struct("place", "score", "text", "breadcrumb", "citation")))
+    of = lambda f: F.transform("xs", f)
+    seen = questions.join(wide.groupBy("query_id").agg(xs.alias("xs")), "query_id")
+    evidence = F.array_join(of(lambda x: F.concat_ws(" ", x.text, x.breadcrumb)), " ")
+    return seen.select("query_id", of(lambda x: x.citation).alias("citations"), of(lambda x: x.breadcrumb).alias("breadcrumbs"), sufficiency(F.col("question"), of(lambda x: x.score), evidence).alias("sufficiency"))
+
+
 def asked(questions: DataFrame, leaves: DataFrame, parents: DataFrame) -> DataFrame:
     """The bounded loop over a batch of questions (query_id, question): retrieve, expand, assess, refine what falls short.
 
@@ -137,16 +155,9 @@ def asked(questions: DataFrame, leaves: DataFrame, parents: DataFrame) -> DataFr
     """
     todo, done = questions.withColumn("query", F.col("question")), None
     for attempt in range(1, L.MAX_ATTEMPTS + 1):
-        vectors = todo.select("query_id", hashing_embedding(T.embedding_tokens(F.col("query"))).alias("vector"))
-        hits = search(vectors, leaves)
-        wide = expanded(hits, parents).join(leaves.select("citation", "breadcrumb").dropDuplicates(["citation"]), "citation", "left").withColumn("breadcrumb", F.coalesce("breadcrumb", F.lit("")))
-        xs = F.array_sort(F.collect_list(F.struct("place", "score", "text", "breadcrumb")))
-        per = wide.groupBy("query_id").agg(xs.alias("xs"))
-        of = lambda f: F.transform("xs", f)
-        seen = todo.join(per, "query_id", "left").withColumn("xs", F.coalesce("xs", F.array().cast("array<struct<place:int,score:double,text:string,breadcrumb:string>>")))
-        evidence = F.array_join(of(lambda x: F.concat_ws(" ", x.text, x.breadcrumb)), " ")
-        seen = seen.withColumns({"attempts": F.lit(attempt), "sufficiency": sufficiency(F.col("question"), of(lambda x: x.score), evidence)})
-        seen = checkpointed(seen.withColumns({"route": route(F.col("sufficiency"), F.col("attempts")), "next": refined(F.col("query"), of(lambda x: x.breadcrumb))}).drop("xs"))
+        seen = todo.join(answered(todo, leaves, parents, query="query"), "query_id", "left")
+        seen = seen.withColumns({"attempts": F.lit(attempt), "sufficiency": F.coalesce("sufficiency", F.lit(0.0)), "breadcrumbs": F.coalesce("breadcrumbs", F.array().cast("array<string>"))})
+        seen = checkpointed(seen.withColumns({"route": route(F.col("sufficiency"), F.col("attempts")), "next": refined(F.col("query"), F.col("breadcrumbs"))}).drop("citations", "breadcrumbs"))
         ended = seen.where("route <> 'refine'").drop("next")
         done = ended if done is None else done.unionByName(ended)
         todo = seen.where("route = 'refine'").select("query_id", "question", F.col("next").alias("query"))
