@@ -181,6 +181,16 @@ def chain_verify(spark, sf_dir):
     return integrity.verified(altered, "user_id", "event_id", "event_id", "event_type", "props")
 
 
+def audit_anchors(spark, sf_dir):
+    """Anchors of each user's chain of events half-way, against a log somewhat later that was written anew without its large values."""
+    rows = read_table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "props", "value")
+    rows = rows.join(F.broadcast(rows.agg(F.max("event_id").alias("most"))))
+    fields = ("event_id", "event_type", "props")
+    published = integrity.anchors(integrity.chained(rows.where("event_id <= 0.5 * most"), "user_id", "event_id", *fields), "user_id", "event_id", *fields)
+    later = integrity.chained(rows.where("event_id <= 0.55 * most and value <= 95"), "user_id", "event_id", *fields)
+    return integrity.against_anchors(later, published, "user_id").join(published.select("user_id", "head_hash"), "user_id")
+
+
 def retention_expired(spark, sf_dir):
     rows = read_table(spark, sf_dir, "events")
     newest = rows.agg(F.max("ts").cast("timestamp").alias("now"))
@@ -193,7 +203,7 @@ QUERIES = {
     for f in (
         tokenize_terms, embedding_tokens, distinctive_terms, content_terms, token_estimate, sentence_split, redact_identifiers, fingerprint, window_chunks, question_intents,
         follow_ups, contextualise, history_tail, session_summary, reconstruct_turns, judge_answers, score_summary, calibration, disagreements, term_coverage, vector_topk,
-        vector_cells, sufficiency_gate, vector_profile, chain_verify, retention_expired,
+        vector_cells, sufficiency_gate, vector_profile, chain_verify, audit_anchors, retention_expired,
     )
 }
 
@@ -222,6 +232,10 @@ KAPPA = """SELECT {0} AS lang, tp, fp, tn, fn, round((tp + tn) / n, 6) AS agreem
 TOPK = """scored AS (SELECT a.vec_id AS query_id, b.vec_id, round(greatest(0, least(1, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]))), 6) AS score FROM embeddings a JOIN embeddings b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
 top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored) WHERE rank <= 5)"""
 UNI = r"[\p{L}\p{M}\p{Nd}\p{Pc}"
+FIELDS = lambda kind: f"length('' || event_id) || ':' || event_id || '|' || length({kind}) || ':' || {kind} || '|' || CASE WHEN props IS NULL THEN '-' ELSE length(props) || ':' || props END"
+#: The chains of events said by recursion, a step a record.
+SEALED = f"""s AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS sequence, {FIELDS("event_type")} AS fields FROM events),
+h AS (SELECT user_id, sequence, sha256(sequence || '|{L.GENESIS}|' || fields) AS record_hash FROM s WHERE sequence = 0 UNION ALL SELECT s.user_id, s.sequence, sha256(s.sequence || '|' || h.record_hash || '|' || s.fields) FROM h JOIN s ON s.user_id = h.user_id AND s.sequence = h.sequence + 1)"""
 ORACLE_SQL = {
     "tokenize_terms": f"SELECT doc_id, {DIGEST(TERMS)} FROM documents",
     "embedding_tokens": f"SELECT doc_id, {DIGEST(KEPT(TERMS, 2, L.STOPWORDS))} FROM documents",
@@ -265,11 +279,16 @@ SELECT item_id, doc_id, rank, shared, round(shared / n_terms, 6) AS coverage FRO
     "sufficiency_gate": f"""WITH {TOPK}, h AS (SELECT query_id, sum(score::DECIMAL(12,6)) FILTER (rank <= 3)::DOUBLE / 3 AS mean, max((b.label = a.label)::INT)::DOUBLE AS coverage FROM top t JOIN embeddings b USING (vec_id) JOIN embeddings a ON a.vec_id = t.query_id GROUP BY query_id)
 SELECT query_id, coverage, round({L.SIMILARITY_WEIGHT} * mean + {L.COVERAGE_WEIGHT} * coverage, 6) AS score, CASE WHEN round({L.SIMILARITY_WEIGHT} * mean + {L.COVERAGE_WEIGHT} * coverage, 6) >= {L.SUFFICIENT} THEN 'generate' ELSE 'refine' END AS route FROM h""",
     "vector_profile": "SELECT vec_id, len(embedding) AS dims, round(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 4) AS norm, round(list_min(embedding)::DOUBLE, 6) AS low, round(list_max(embedding)::DOUBLE, 6) AS high FROM embeddings",
-    "chain_verify": f"""WITH s AS (SELECT *, row_number() OVER w - 1 AS sequence FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
-h AS (SELECT *, sha256(concat_ws('|', sequence, event_id, event_type, coalesce(props, ''))) AS record_hash FROM s),
-l AS (SELECT *, coalesce(lag(record_hash) OVER (PARTITION BY user_id ORDER BY event_id), '{L.GENESIS}') AS link FROM h),
-c AS (SELECT *, CASE WHEN event_id % 1499 = 5 THEN 'previous hash differs' WHEN event_id % 997 = 3 THEN 'content differs from hash' END AS reason FROM l),
-a AS (SELECT user_id, count(*) AS records, min(sequence) FILTER (reason IS NOT NULL) AS broken, arg_min(reason, sequence) FILTER (reason IS NOT NULL) AS reason, arg_max(record_hash, sequence) AS head FROM c GROUP BY user_id)
-SELECT user_id, records, coalesce(broken, records) AS verified, coalesce(reason, '') AS reason, CASE WHEN broken IS NULL THEN head ELSE '' END AS head_hash FROM a""",
+    "chain_verify": f"""WITH RECURSIVE {SEALED},
+w AS (SELECT user_id, event_id, sequence, CASE WHEN event_id % 1499 = 5 THEN 'previous hash differs' WHEN event_id % 997 = 3 THEN 'content differs from hash' END AS reason FROM s),
+a AS (SELECT user_id, count(*) AS records, min(sequence) FILTER (reason IS NOT NULL) AS broken, arg_min(reason, sequence) FILTER (reason IS NOT NULL) AS reason FROM w GROUP BY user_id),
+head AS (SELECT user_id, arg_max(record_hash, sequence) AS head FROM h GROUP BY user_id)
+SELECT user_id, records, coalesce(broken, records) AS verified, coalesce(reason, '') AS reason, CASE WHEN broken IS NULL THEN head ELSE '' END AS head_hash FROM a JOIN head USING (user_id)""",
+    "audit_anchors": f"""WITH RECURSIVE {SEALED}, top AS (SELECT max(event_id) AS most FROM events),
+r AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS sequence, {FIELDS("event_type")} AS fields FROM events, top WHERE event_id <= 0.55 * most AND value <= 95),
+g AS (SELECT user_id, sequence, sha256(sequence || '|{L.GENESIS}|' || fields) AS record_hash FROM r WHERE sequence = 0 UNION ALL SELECT r.user_id, r.sequence, sha256(r.sequence || '|' || g.record_hash || '|' || r.fields) FROM g JOIN r ON r.user_id = g.user_id AND r.sequence = g.sequence + 1),
+half AS (SELECT user_id, count(*) AS n FROM events, top WHERE event_id <= 0.5 * most GROUP BY user_id)
+SELECT half.user_id, n AS anchored, h.record_hash AS head_hash, CASE WHEN g.record_hash IS NULL THEN 'truncated' WHEN g.record_hash <> h.record_hash THEN 'rewritten' ELSE 'matches' END AS status
+FROM half JOIN h ON h.user_id = half.user_id AND h.sequence = n - 1 LEFT JOIN g ON g.user_id = half.user_id AND g.sequence = n - 1""",
     "retention_expired": "SELECT event_type, count(*) AS n, max(event_id) AS last_id FROM events WHERE ts < (SELECT max(ts) FROM events) - INTERVAL 7 DAYS GROUP BY event_type",
 }
