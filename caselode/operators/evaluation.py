@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from caselode.functions import spans as S
-from caselode.functions.stats import exact_mean, nearest_rank
+from caselode.functions.stats import exact_mean, with_ranks
 
 #: Classes of entities that count as personal, and parameters that name a place outside.
 PERSONAL = ("ni_number", "payroll_id", "phone", "person_name")
@@ -83,18 +83,20 @@ def experiment(rows: DataFrame) -> DataFrame:
     """The summary of evaluated rows (should_refuse, known_failure, refused, citation_hit, cost_usd, e2e_ms): one row."""
     answerable = ~F.col("should_refuse") & ~F.col("known_failure")
     share = lambda hit, base, other: F.coalesce(F.round(F.count_if(hit & base) / F.nullif(F.count_if(base), F.lit(0)), 4), F.lit(other))
-    return rows.agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(answerable).alias("answerable"), F.count_if(F.col("should_refuse")).alias("refusal_rows"), F.count_if(F.col("known_failure")).alias("known_failures"),
-        share(F.col("citation_hit"), answerable, 0.0).alias("citation_hit_rate"), share(F.col("refused"), F.col("should_refuse"), 1.0).alias("refusal_accuracy"),
-        F.round(F.coalesce(F.sum(F.col("cost_usd").cast("decimal(28,8)")).cast("double"), zero()), 6).alias("cost_usd_total"), F.round(nearest_rank("e2e_ms", 0.95), 2).alias("e2e_ms_p95"),
-    )
+    aggs = {
+        "n": F.count(F.lit(1)), "answerable": F.count_if(answerable), "refusal_rows": F.count_if(F.col("should_refuse")), "known_failures": F.count_if(F.col("known_failure")),
+        "citation_hit_rate": share(F.col("citation_hit"), answerable, 0.0), "refusal_accuracy": share(F.col("refused"), F.col("should_refuse"), 1.0),
+        "cost_usd_total": F.round(F.coalesce(F.sum(F.col("cost_usd").cast("decimal(28,8)")).cast("double"), zero()), 6),
+    }
+    return with_ranks(rows, (), "e2e_ms", {"e2e_ms_p95": 0.95}, aggs).withColumn("e2e_ms_p95", F.round("e2e_ms_p95", 2))
 
 
 def dimensions(rows: DataFrame, *names: str) -> DataFrame:
     """Mean, p10, minimum and number of the scores of answerable rows, by dimension; missing scores are left out."""
     some = rows.where("not should_refuse and not known_failure")
     long = some.select(F.explode(F.create_map(*[x for n in names for x in (F.lit(n), F.col(n))])).alias("name", "score")).where("score is not null")
-    return long.groupBy("name").agg(F.round(exact_mean(F.col("score")), 4).alias("mean"), F.round(nearest_rank("score", 0.1), 4).alias("p10"), F.round(F.min("score"), 4).alias("low"), F.count("*").alias("n"))
+    found = with_ranks(long, ("name",), "score", {"p10": 0.1}, {"mean": F.round(exact_mean(F.col("score")), 4), "low": F.round(F.min("score"), 4), "n": F.count("*")})
+    return found.select("name", "mean", F.round("p10", 4).alias("p10"), "low", "n")
 
 
 def intents(rows: DataFrame, *names: str) -> DataFrame:

@@ -10,13 +10,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from caselode.functions import lexicons as L
-from caselode.functions.stats import exact_mean, exact_sum, nearest_rank
+from caselode.functions.stats import exact_mean, exact_sum, with_ranks
 
 
 def latency(log: DataFrame, *by: str) -> DataFrame:
     """p50, p95, p99 and n of the positive values."""
-    ranks = [F.round(nearest_rank("value", p), 2).alias(f"p{round(p * 100)}") for p in (0.5, 0.95, 0.99)]
-    return log.where("value > 0").groupBy(*by).agg(*ranks, F.count("*").alias("n"))
+    ranks = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
+    found = with_ranks(log.where("value > 0"), by, "value", ranks, {"n": F.count("*")})
+    return found.select(*by, *[F.round(p, 2).alias(p) for p in ranks], "n")
 
 
 def last_rows(log: DataFrame, n: int = L.RECENT, *by: str) -> DataFrame:
@@ -29,7 +30,8 @@ def last_rows(log: DataFrame, n: int = L.RECENT, *by: str) -> DataFrame:
 
 def quality(log: DataFrame, *by: str) -> DataFrame:
     """Mean, p10 and n; zeros count."""
-    return log.groupBy(*by).agg(F.round(exact_mean(F.col("value")), 4).alias("mean"), F.round(nearest_rank("value", 0.1), 4).alias("p10"), F.count("value").alias("n"))
+    found = with_ranks(log, by, "value", {"p10": 0.1}, {"mean": F.round(exact_mean(F.col("value")), 4), "n": F.count("value")})
+    return found.select(*by, "mean", F.round("p10", 4).alias("p10"), "n")
 
 
 def session_costs(log: DataFrame) -> DataFrame:
@@ -56,20 +58,15 @@ def shares(log: DataFrame, column: str) -> DataFrame:
 
 def halves(log: DataFrame, split: float = 0.5) -> DataFrame:
     """The log with half: 0 for the first rows by seq, 1 for the rest. The cut is a rank, found by counting."""
-    n = log.count()
-    cut = max(1, int(n * split))
-    bound = log.select("seq").orderBy("seq").offset(cut - 1).limit(1) if n else log.select("seq").limit(0)
-    return log.join(F.broadcast(bound.withColumnRenamed("seq", "_cut"))).withColumn("half", (F.col("seq") > F.col("_cut")).cast("int")).drop("_cut")
+    bound = with_ranks(log, (), "seq", {"_cut": split}, rank=lambda n, p: F.floor(n * p))
+    return log.join(F.broadcast(bound)).withColumn("half", (F.col("seq") > F.col("_cut")).cast("int")).drop("_cut")
 
 
 def half_stats(log: DataFrame) -> DataFrame:
     """Per half: p95 (zeros kept), mean, share of error rows."""
-    return halves(log).groupBy("half").agg(
-        F.round(nearest_rank("value", 0.95), 2).alias("p95"),
-        F.round(exact_mean(F.col("value")), 4).alias("mean"),
-        F.round(F.count_if(F.col("intent") == "error") / F.count("*"), 4).alias("error_rate"),
-        F.count("*").alias("n"),
-    )
+    aggs = {"mean": F.round(exact_mean(F.col("value")), 4), "error_rate": F.round(F.count_if(F.col("intent") == "error") / F.count("*"), 4), "n": F.count("*")}
+    found = with_ranks(halves(log), ("half",), "value", {"p95": 0.95}, aggs)
+    return found.select("half", F.round("p95", 2).alias("p95"), "mean", "error_rate", "n")
 
 
 def psi(earlier: DataFrame, later: DataFrame, column: str, floor: float = L.PSI_FLOOR) -> DataFrame:
@@ -125,7 +122,8 @@ def gaps(log: DataFrame, by: str = "session") -> DataFrame:
     """First value's lag, mean and p95 of the gaps between consecutive rows of a group, in ms."""
     order = Window.partitionBy(by).orderBy("ts", "seq")
     gap = log.withColumn("value", (F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.lag("ts").over(order).cast("timestamp"))) / 1000)
-    return gap.groupBy(by).agg(F.round(exact_mean(F.col("value"), 3), 3).alias("gap_mean"), F.round(nearest_rank("value", 0.95), 3).alias("gap_p95"), F.count("value").alias("gaps"))
+    found = with_ranks(gap, (by,), "value", {"gap_p95": 0.95}, {"gap_mean": F.round(exact_mean(F.col("value"), 3), 3), "gaps": F.count("value")})
+    return found.select(by, "gap_mean", F.round("gap_p95", 3).alias("gap_p95"), "gaps")
 
 
 def traffic(log: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caselode.functions import lexicons as L
-from caselode.functions.stats import nearest_rank
+from caselode.functions.stats import with_ranks
 from caselode.operators import costs, panels
 from caselode.session import read_table
 
@@ -104,7 +104,8 @@ def reprice_side_by_side(spark, sf_dir):
 def stage_latency(spark, sf_dir):
     """Per order status: p95 of the parts of a request's time, from prices standing in for milliseconds."""
     rows = read_table(spark, sf_dir, "lineitem").withColumn("value", F.greatest(F.lit(0.0), F.col("l_extendedprice") - F.col("l_extendedprice") * F.col("l_discount")))
-    return rows.groupBy("l_linestatus", "l_returnflag").agg(F.round(nearest_rank("value", 0.95), 2).alias("p95"), F.round(nearest_rank("value", 0.5), 2).alias("p50"), F.count("*").alias("n"))
+    by = ("l_linestatus", "l_returnflag")
+    return with_ranks(rows, by, "value", {"p95": 0.95, "p50": 0.5}, {"n": F.count("*")}).select(*by, F.round("p95", 2).alias("p95"), F.round("p50", 2).alias("p50"), "n")
 
 
 QUERIES = {

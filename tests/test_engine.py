@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from caselode.functions import lexicons as L
 from caselode.functions import spans as S
 from caselode.functions import text as T
-from caselode.functions.stats import nearest_rank
+from caselode.functions.stats import nearest_rank, with_ranks
 from caselode.operators import conversation, costs, integrity, judge, panels, retrieval, structure
 from caselode.sources import index_tables, jsonl
 from caselode.streaming import metrics_stream
@@ -24,6 +24,15 @@ def test_nearest_rank(spark, n, p):
     df = spark.range(1, n + 1).select(F.col("id").cast("double").alias("v"))
     assert df.agg(nearest_rank("v", p)).head()[0] == max(1, math.ceil(p * n))
     assert df.where("v < 0").agg(nearest_rank("v", p)).head()[0] == 0
+    assert [r.x for d in (df, df.where("v < 0")) for r in with_ranks(d, (), "v", {"x": p}).collect()] == [max(1, math.ceil(p * n)), 0]
+
+
+def test_ranks_by_group_without_holding_a_group(spark):
+    df = spark.range(30_000).select(F.when(F.col("id") % 7 < 6, F.col("id") % 7).alias("g"), F.when(F.col("id") % 11 > 0, F.round(F.rand(3) * 1000, 1)).alias("v"))
+    df = df.unionByName(spark.sql("select 9L g, cast(null as double) v")).cache()
+    ps = {"low": 0.001, "mid": 0.5, "p99": 0.99, "top": 1.0}
+    want = {r.g: tuple(r) for r in df.groupBy("g").agg(F.count("*").alias("n"), *[nearest_rank("v", p).alias(k) for k, p in ps.items()]).collect()}
+    assert {r.g: tuple(r) for r in with_ranks(df, ("g",), "v", ps, {"n": F.count("*")}).collect()} == want
 
 
 def test_terms_and_follow_ups(spark):
