@@ -32,6 +32,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Removes tables of ``written`` once all that reads them has been written itself; they take up the shared folder for nothing."""
+    for df in tables:
+        files = df.inputFiles()
+        folder = files[0].rpartition("/")[0] if files else ""
+        if "/caselode/" in folder:
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 #: A key with this share of a table's rows, or more, is hot; at most 1 / HOT_KEY keys can be.
 HOT_KEY = 1 / 1000
 

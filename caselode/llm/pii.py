@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caselode.llm.common import documents, fresh, spread_join, text_of, written
+from caselode.llm.common import discard, documents, fresh, spread_join, text_of, written
 
 SUPPORT = 2
 GENERALISE, REMOVE = 0.75, 0.9
@@ -157,12 +157,15 @@ def disclosing(found: DataFrame, generalise: float, support: int, shortest: int)
     joint = holders.join(beside, "row").groupBy("entity", "term").agg(F.count("*").alias("together"), F.sum("own").alias("texts")).where(F.col("texts") >= support)
     # the share is reached where the term stands in at most so many documents
     most = F.floor(F.col("together") * F.pow(F.lit(total) / F.col("with_entity"), F.lit(1 - generalise)) * (1 + 1e-9))
-    joint = written(joint.join(entity, "entity").select("entity", "kind", "value", "term", "together", "with_entity", most.alias("most")), "joint")
+    first = written(joint.join(entity, "entity").select("entity", "kind", "value", "term", "together", "with_entity", most.alias("most")), "joint")
     count_of = lambda words, name: words.groupBy("term").agg(F.count("*").alias(name))
-    joint = written(spread_join(joint, count_of(beside, "among"), "term").where("among <= most").drop("among"), "joint")
-    joint = spread_join(joint, count_of(likely_words(found, joint, shortest), "with_term"), "term")
+    few = written(spread_join(first, count_of(beside, "among"), "term").where("among <= most").drop("among"), "joint")
+    discard(mentions, entity, holders, beside, first)
+    joint = spread_join(few, count_of(likely_words(found, few, shortest), "with_term"), "term")
     share = 1 + F.log2(F.col("together") / F.col("with_term")) / -F.log2(F.col("with_entity") / F.lit(total))
-    return written(joint.withColumn("share", share).where(F.col("share") >= generalise).select("kind", "value", "term", "share"), "told")
+    told = written(joint.withColumn("share", share).where(F.col("share") >= generalise).select("kind", "value", "term", "share"), "told")
+    discard(few)
+    return told
 
 
 def spans(
