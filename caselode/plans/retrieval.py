@@ -9,14 +9,18 @@ from pyspark.sql import functions as F
 
 from caselode.functions import lexicons as L
 from caselode.functions import text as T
-from caselode.operators import golden, ingest, retrieval, structure
+from caselode.functions.stats import exact_mean, with_ranks
+from caselode.operators import calibration, golden, ingest, retrieval, structure
+from caselode.plans import evaluation
 from caselode.plans.structure import NODES, acts, tree
-from caselode.plans.texts import ANY, KEPT, TERM, docs, term_coverage
+from caselode.plans.texts import ANY, CONTENT, KEPT, REL, TERM, chain_verify, docs, term_coverage
 from caselode.plans.texts import ORACLE_SQL as TEXT_SQL
 from caselode.session import checkpointed, read_table, shared_folder
 
 #: Hits that a question gets before expansion, and the longest parent here, so that some are wider.
 HITS, CAP, KEEP, ROOM = 12, 700, 6, 900
+#: Known failures that the baseline of the gate has.
+BASELINE_FAILURES = 20
 
 
 def published(spark, sf_dir):
@@ -103,7 +107,37 @@ def golden_rows(spark, sf_dir):
     return golden.verified(rows, leaves, parents.select("parent_id", "citation", "breadcrumb", F.col("raw_text").alias("text")))
 
 
-QUERIES = {f.__name__: f for f in (ingested_index, expanded_hits, packed_contexts, sufficiency_of_hits, asked_questions, golden_candidates, golden_rows)}
+def calibration_rows(spark, sf_dir):
+    """Calibration rows over the packed contexts: quoted, invented, and the hard cases."""
+    contexts = packed_contexts(spark, sf_dir).withColumn("question", F.concat(F.lit("What does the document say about the accounts and balance of "), "query_id", F.lit("?")))
+    return calibration.rows(contexts)
+
+
+def calibrations(spark, sf_dir):
+    """Agreement of the judge with the labels: all rows, clean ones, and by support alone."""
+    return calibration.report(calibration.judged(checkpointed(calibration_rows(spark, sf_dir))))
+
+
+def judged_calibration(spark, sf_dir):
+    """The judge's scores of every calibration row, attribution included."""
+    return calibration.judged(calibration_rows(spark, sf_dir)).select("id", "human_label", "groundedness", "citation_coverage", "context_relevance", "answer_relevance", "shippable")
+
+
+def whole_gate(spark, sf_dir):
+    """All ten gates: the judge's kappa, its scores, the experiment's outcomes and the audit chains."""
+    scored = checkpointed(calibration.judged(checkpointed(calibration_rows(spark, sf_dir))))
+    means = {n: F.round(exact_mean(F.col(n)), 6) for n in ("citation_coverage", "context_relevance", "answer_relevance")}
+    per = with_ranks(scored, (), "groundedness", {"p10": 0.1}, {"groundedness": F.round(exact_mean(F.col("groundedness")), 6)} | means)
+    kappa = calibration.report(scored).where("run = 'full'")
+    one = evaluation.experiment_summary(spark, sf_dir)
+    of = calibration.observed
+    seen = of(kappa, "judge kappa", F.col("kappa")).unionByName(of(one, "refusal accuracy", F.col("refusal_accuracy"))).unionByName(of(one, "citation hit rate", F.col("citation_hit_rate"))).unionByName(of(one, "known failures", F.col("known_failures")))
+    for name, column in (("groundedness mean", "groundedness"), ("groundedness p10", "p10"), ("citation coverage mean", "citation_coverage"), ("context relevance mean", "context_relevance"), ("answer relevance mean", "answer_relevance")):
+        seen = seen.unionByName(of(per, name, F.col(column)))
+    return calibration.gate(seen, chain_verify(spark, sf_dir), BASELINE_FAILURES)
+
+
+QUERIES = {f.__name__: f for f in (ingested_index, expanded_hits, packed_contexts, sufficiency_of_hits, asked_questions, golden_candidates, golden_rows, calibration_rows, calibrations, judged_calibration, whole_gate)}
 
 INTENT = lambda q: "CASE " + " ".join(f"WHEN {ANY(f'lower({q})', k)} THEN '{n}'" for n, k in L.INTENTS) + " ELSE 'general' END"
 _DISTINCT = lambda t, n, stop: KEPT(f"list_distinct(regexp_extract_all(lower({t}), '{TERM}'))", n, stop)
@@ -143,3 +177,43 @@ fold AS (SELECT DISTINCT query_id, 0::BIGINT AS rank, {ROOM}::BIGINT AS room, []
   FROM fold f JOIN b w ON w.query_id = f.query_id AND w.rank = f.rank + 1, LATERAL (SELECT done OR list_contains(seen, citation) AS skip, length(block) <= room AS fits, greatest(200, room) - length(head) - 2 AS allowed))
 SELECT query_id, array_to_string(out, chr(10) || chr(10)) AS context FROM fold QUALIFY fold.rank = max(fold.rank) OVER (PARTITION BY query_id)""",
 }
+
+_CONTEXTS = ORACLE_SQL["packed_contexts"].removeprefix("WITH RECURSIVE ").replace("SELECT query_id, array_to_string(out, chr(10) || chr(10)) AS context FROM fold", ", contexts AS (SELECT query_id, array_to_string(out, chr(10) || chr(10)) AS context, 'What does the document say about the accounts and balance of ' || query_id || '?' AS question FROM fold") + ")"
+_Q = lambda s: "'" + s.replace("'", "''") + "'"
+_BLOCK = r"'(?s)^\[([^\]\n]{2,160})\][^\n]*\n(.*?)(?:\n\n\[|$)'"
+_CUT = lambda t: f"string_split(regexp_replace({t}, '([.;])\\s+', '\\1' || chr(1), 'g'), chr(1))"
+_QUOTED = lambda t: f"'[' || citation || '] provides: ' || {t}"
+_ANSWERS = {"paraphrase": _Q(L.PARAPHRASE), "partial": _QUOTED(f"sentence || ' ' || {_Q(L.INVENTED)}"), "uncited": "sentence", "trailing": _QUOTED(f"sentence || ' ' || {_Q(L.TRAILING)}"), "boilerplate": _QUOTED(f"coalesce(list_filter({_CUT('context')}, lambda p: {ANY('p', L.BOILERPLATE)})[1], sentence)")}
+_HARD = lambda f: "CASE n " + " ".join(f"WHEN {i} THEN {f(*case)}" for i, case in enumerate(L.HARD_CASES, 1)) + " END"
+CALIBRATION = f"""{_CONTEXTS},
+blocks AS (SELECT *, regexp_extract(context, {_BLOCK}, 1) AS citation, list_filter(list_transform({_CUT(f"regexp_extract(context, {_BLOCK}, 2)")}, lambda p: trim(p, ' ')), lambda p: p <> '')[1] AS first FROM contexts),
+chosen AS (SELECT *, CASE WHEN first LIKE '%.' THEN first ELSE first || '.' END AS sentence, row_number() OVER (ORDER BY query_id) AS n FROM blocks WHERE citation <> '' AND first IS NOT NULL QUALIFY n <= {L.CLEAN_ROWS}),
+calibration AS (SELECT 'c' || lpad('' || n, 3, '0') AS id, question, context, CASE WHEN n % 3 = 0 THEN {_QUOTED(_Q(L.FABRICATED))} ELSE {_QUOTED("sentence")} END AS answer, CASE WHEN n % 3 = 0 THEN 0 ELSE 1 END AS human_label,
+  CASE WHEN n % 3 = 0 THEN 'fabricated provision text' ELSE 'verbatim quotation with a resolvable citation' END AS note FROM chosen
+  UNION ALL SELECT 'h' || lpad('' || n, 3, '0'), CASE WHEN n IN (1, 5) THEN {_Q(L.PARAPHRASED_QUESTION)} ELSE question END, context, {_HARD(lambda kind, human, why: _ANSWERS[kind])}, {_HARD(lambda kind, human, why: human)}, {_HARD(lambda kind, human, why: _Q(why))} FROM chosen WHERE n <= {len(L.HARD_CASES)})"""
+_HIDE = lambda t: f"regexp_replace({t}, '(\\[[^\\]\\n]*?[.!?])(\\s[^\\]\\n]*\\])', '\\1' || chr(2) || '\\2', 'g')"
+_SENTENCES = lambda t: f"list_filter(list_transform(string_split(regexp_replace({_HIDE(_HIDE(_HIDE(f'trim({t})')))}, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda p: trim(replace(p, chr(2), ''))), lambda p: p <> '')"
+_BARE = lambda c: f"trim(regexp_replace({c}, '{L.AS_INSERTED}', ' ', 'g'))"
+_CANON = lambda c: f"CASE WHEN regexp_extract({_BARE(c)}, '{L.SCHEDULE_REF}', 2) <> '' THEN 'sch.' || lower(regexp_extract({_BARE(c)}, '{L.SCHEDULE_REF}', 1)) || ' para.' || lower(regexp_extract({_BARE(c)}, '{L.SCHEDULE_REF}', 2)) WHEN regexp_extract({_BARE(c)}, '{L.SECTION_REF}', 1) <> '' THEN 's.' || lower(regexp_extract({_BARE(c)}, '{L.SECTION_REF}', 1)) ELSE lower(trim(regexp_replace({_BARE(c)}, '\\s+', ' ', 'g'))) END"
+JUDGED_CALIBRATION = f"""{CALIBRATION},
+j0 AS (SELECT *, list_filter({CONTENT("question")}, lambda w: NOT list_contains([{", ".join(_Q(w) for w in L.GENERIC)}], w)) AS q, {CONTENT("answer")} AS a, {CONTENT("context")} AS c, list_filter(list_transform({_SENTENCES("answer")}, lambda s: {{'s': s, 'w': {CONTENT("s")}}}), lambda x: len(x.w) >= {L.MIN_WORDS}) AS sets,
+  list_transform(regexp_extract_all(context, '{L.CITATION}', 1), lambda m: {_CANON("m")}) AS available FROM calibration),
+scores AS (SELECT id, human_label, CASE WHEN len(sets) = 0 THEN 0.0 ELSE round(len(list_filter(sets, lambda x: len(list_intersect(x.w, c)) / len(x.w) >= {L.GROUNDED})) / len(sets), 6) END AS groundedness,
+  CASE WHEN len(sets) = 0 THEN 0.0 ELSE round(len(list_filter(sets, lambda x: len(list_filter(regexp_extract_all(x.s, '{L.CITATION}', 1), lambda m: list_contains(available, {_CANON("m")}))) > 0)) / len(sets), 6) END AS citation_coverage,
+  {REL("q", "c")} AS context_relevance, {REL("q", "a")} AS answer_relevance FROM j0),
+judged AS (SELECT *, least(groundedness, citation_coverage) AS shippable FROM scores),
+runs AS (SELECT 'full' AS run, human_label = 1 AS t, shippable >= {L.KAPPA_CUT} AS p FROM judged UNION ALL SELECT 'clean only', human_label = 1, shippable >= {L.KAPPA_CUT} FROM judged WHERE id LIKE 'c%' UNION ALL SELECT 'groundedness only', human_label = 1, groundedness >= {L.KAPPA_CUT} FROM judged),
+counts AS (SELECT run, count(*) FILTER (t AND p) AS tp, count(*) FILTER (NOT t AND p) AS fp, count(*) FILTER (NOT t AND NOT p) AS tn, count(*) FILTER (t AND NOT p) AS fn, count(*) AS n FROM runs GROUP BY run),
+kappas AS (SELECT tp, fp, tn, fn, round((tp + tn) / n, 6) AS agreement, CASE WHEN pe >= 1 THEN 0.0 ELSE round(((tp + tn) / n - pe) / (1 - pe), 6) END AS kappa, run FROM (SELECT *, ((tp + fp) * (tp + fn) + (fn + tn) * (fp + tn)) / (n * n) AS pe FROM counts))"""
+_LIMITS = ", ".join(f"({_Q(n)}, {v}::DOUBLE)" for n, v in (L.QUALITY_THRESHOLDS | {"known failures": BASELINE_FAILURES}).items())
+ORACLE_SQL |= {
+    "calibration_rows": f"WITH RECURSIVE {CALIBRATION} SELECT * FROM calibration",
+    "judged_calibration": f"WITH RECURSIVE {JUDGED_CALIBRATION} SELECT * FROM judged",
+    "calibrations": f"WITH RECURSIVE {JUDGED_CALIBRATION} SELECT * FROM kappas",
+    "whole_gate": f"""WITH RECURSIVE {JUDGED_CALIBRATION}, e AS ({evaluation.ORACLE_SQL["experiment_summary"]}), v AS ({TEXT_SQL["chain_verify"]}), limits(name, threshold) AS (VALUES {_LIMITS}),
+m AS (SELECT sum(groundedness::DECIMAL(28,6))::DOUBLE / count(*) AS g, sum(citation_coverage::DECIMAL(28,6))::DOUBLE / count(*) AS cc, sum(context_relevance::DECIMAL(28,6))::DOUBLE / count(*) AS cr, sum(answer_relevance::DECIMAL(28,6))::DOUBLE / count(*) AS ar, list_sort(list(groundedness))[greatest(1, ceil(0.1 * count(*)))::INT] AS p10 FROM judged),
+seen AS (SELECT 'judge kappa' AS name, kappa AS observed FROM kappas WHERE run = 'full' UNION ALL SELECT 'groundedness mean', round(g, 6) FROM m UNION ALL SELECT 'groundedness p10', p10 FROM m UNION ALL SELECT 'citation coverage mean', round(cc, 6) FROM m UNION ALL SELECT 'context relevance mean', round(cr, 6) FROM m
+  UNION ALL SELECT 'answer relevance mean', round(ar, 6) FROM m UNION ALL SELECT 'refusal accuracy', refusal_accuracy FROM e UNION ALL SELECT 'citation hit rate', citation_hit_rate FROM e UNION ALL SELECT 'known failures', known_failures FROM e),
+rows_ AS (SELECT name, observed::DOUBLE AS observed, threshold, CASE WHEN name = 'known failures' THEN observed <= threshold ELSE observed >= threshold END AS passed FROM seen JOIN limits USING (name) UNION ALL SELECT 'audit chain verifies', sum(verified)::DOUBLE, sum(records)::DOUBLE, sum(verified) = sum(records) FROM v)
+SELECT * FROM rows_ UNION ALL SELECT 'all', count(*) FILTER (passed), {len(L.QUALITY_THRESHOLDS) + 2}, count(*) FILTER (passed) = {len(L.QUALITY_THRESHOLDS) + 2} FROM rows_""",
+}
