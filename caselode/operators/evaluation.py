@@ -153,15 +153,16 @@ def offered(grants: DataFrame, principals: DataFrame, tools: DataFrame) -> DataF
     return under.unionByName(free)
 
 
-def guarantee(decided: DataFrame, escaped: Column) -> DataFrame:
-    """Number of decided calls, how many escaped, and whether none did."""
-    return decided.agg(F.count(F.lit(1)).alias("payloads"), F.count_if(escaped).alias("escapes"), (F.count_if(escaped) == 0).alias("ok"))
+def guaranteed(escaped: Column) -> list[Column]:
+    """Number of decided calls, how many escaped, and whether none did, as aggregates."""
+    return [F.count(F.lit(1)).alias("payloads"), F.count_if(escaped).alias("escapes"), (F.count_if(escaped) == 0).alias("ok")]
 
 
 def fenced(text: Column, citation: Column, tier: Column, ingested: Column, nonce: Column, notes: dict[str, str]) -> Column:
-    """Evidence between delimiters that carry the request's nonce; the citation stays in front. A missing tier is corpus."""
+    """Evidence between delimiters that carry the request's nonce; the citation stays in front. A missing tier is corpus, an unknown one an error."""
     own = F.coalesce(tier, F.lit("corpus"))
-    note = F.create_map(*[x for n, v in notes.items() for x in (F.lit(n), F.lit(v))])[own]
+    known = F.create_map(*[x for n, v in notes.items() for x in (F.lit(n), F.lit(v))])[own]
+    note = F.coalesce(known, F.raise_error(F.concat(F.lit("no note for the trust tier "), own)))
     opening = F.concat(F.lit("<evidence:"), nonce, F.lit(' trust="'), own, F.lit('" ingested="'), F.coalesce(ingested, F.lit("unknown")), F.lit('" note="'), note, F.lit('">'))
     cited = F.coalesce(F.nullif(citation, F.lit("")), F.lit("uncited"))
     return F.concat(F.lit("["), cited, F.lit("] "), opening, F.lit("\n"), F.trim(F.coalesce(text, F.lit(""))), F.lit("\n</evidence:"), nonce, F.lit(">"))

@@ -84,3 +84,34 @@ def verified(rows: DataFrame, leaves: DataFrame, parents: DataFrame, k: int = L.
     missed = (F.col("outcome") == "known failure") & ~F.col("known_failure")
     note = F.when(F.col("outcome") == "answered out of scope", F.concat("note", F.format_string(" (WARNING: scored %.3f)", "score"))).when(missed, F.concat("note", F.lit(f" · expected citation not in top-{k}"))).otherwise(F.col("note"))
     return seen.select("doc_id", "id", "question", "intent", "must_cite", "should_refuse", (F.col("known_failure") | missed).alias("known_failure"), note.alias("note"), F.round("score", 4).alias("score"), "outcome")
+
+
+BASELINE = "known_failures array<string>, generated_for map<string, string>, quality_thresholds map<string, double>, note string, sequence long"
+
+
+def read_baseline(spark: SparkSession, path: str) -> dict | None:
+    """The newest baseline of a folder, None where there is none."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        return None
+    found = spark.read.schema(BASELINE).json(path).orderBy(F.desc("sequence")).head()
+    return found.asDict() if found else None
+
+
+def write_baseline(rows: DataFrame, path: str, manifest: dict) -> dict:
+    """Adds a baseline: which rows (of ``verified``) are known to fail, and for which index. Thresholds and the note are carried over from
+    the newest one, as making the rows anew must not relax the gate. Older baselines stay readable."""
+    spark = rows.sparkSession
+    before = read_baseline(spark, path) or {}
+    kept = (before.get("quality_thresholds") or L.QUALITY_THRESHOLDS, before.get("note") or "known_failures must not grow; thresholds ratchet upward only.", before.get("sequence", 0) + 1)
+    failing = rows.where("known_failure").agg(F.array_sort(F.collect_set(F.concat_ws("/", F.nullif("doc_id", F.lit("")), "id"))).alias("known_failures"))
+    line = spark.createDataFrame([({k: str(manifest[k]) for k in ("corpus_sha", "index_version")}, *kept)], "generated_for map<string, string>, quality_thresholds map<string, double>, note string, sequence long")
+    failing.join(F.broadcast(line)).coalesce(1).write.mode("append").json(path)
+    return read_baseline(spark, path)
+
+
+def drift(committed: DataFrame, derived: DataFrame) -> DataFrame:
+    """Rows on one side only, repeats counted: missing from what is committed, or stale there."""
+    names = committed.columns
+    missing = derived.select(*names).exceptAll(committed).withColumn("drift", F.lit("missing"))
+    return missing.unionByName(committed.exceptAll(derived.select(*names)).withColumn("drift", F.lit("stale")))

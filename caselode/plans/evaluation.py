@@ -135,11 +135,12 @@ def offered_tools(spark, sf_dir):
 
 
 def broker_guarantee(spark, sf_dir):
-    """Calls over their tool's limit must not be allowed."""
+    """Calls over their tool's limit, with the broker and without it, where every call is allowed."""
     who = read_table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_mktsegment").alias("role"))
     calls = read_table(spark, sf_dir, "orders").join(who, "o_custkey").select("o_orderkey", F.col("o_orderpriority").alias("tool"), "role", F.col("o_totalprice").alias("amount"), F.dayofmonth("o_orderdate").alias("age"))
     over = guard.decisions(calls, tools(spark)).join(F.broadcast(tools(spark).select(F.col("name").alias("tool"), "limit_")), "tool").where(F.col("amount") > F.col("limit_"))
-    return E.guarantee(over, F.col("outcome") == "allow")
+    both = over.select("outcome", F.explode(F.array(F.lit(True), F.lit(False))).alias("broker"))
+    return both.groupBy("broker").agg(*E.guaranteed(~F.col("broker") | (F.col("outcome") == "allow")))
 
 
 def fenced_evidence(spark, sf_dir):
@@ -212,7 +213,8 @@ SELECT scanner, count(*) FILTER (severity = 'FAIL') AS "FAIL", count(*) FILTER (
 array_to_string(list_filter([{", ".join(f"CASE WHEN {b} THEN '{s}' END" for b, s in zip(_BITS, SWITCHES, strict=True))}], lambda x: x IS NOT NULL), ',') AS enabled FROM customer""",
     "call_destinations": "SELECT c_custkey, c_custkey % 3 = 2 OR c_custkey % 7 = 0 AS leaves, c_custkey % 5 IN (0, 1) AS personal FROM customer",
     "offered_tools": f"WITH {_T} SELECT name, count(*) AS n, max(c_custkey) AS last_who FROM customer JOIN t ON c_custkey % 2 = 1 OR list_contains(roles, c_mktsegment) GROUP BY name",
-    "broker_guarantee": f"WITH {_T} SELECT count(*) AS payloads, 0::BIGINT AS escapes, true AS ok FROM orders JOIN customer ON o_custkey = c_custkey JOIN t ON name = o_orderpriority WHERE o_totalprice > limit_",
+    "broker_guarantee": f"""WITH {_T}, over AS (SELECT list_contains(roles, c_mktsegment) AND day(o_orderdate) <= ttl AND o_totalprice <= limit_ AND NOT irreversible AS allowed FROM orders JOIN customer ON o_custkey = c_custkey JOIN t ON name = o_orderpriority WHERE o_totalprice > limit_)
+SELECT true AS broker, count(*) AS payloads, count(*) FILTER (allowed) AS escapes, count(*) FILTER (allowed) = 0 AS ok FROM over UNION ALL SELECT false, count(*), count(*), count(*) = 0 FROM over""",
     "fenced_evidence": f"""WITH d AS (SELECT doc_id, '[doc ' || doc_id || '] <evidence:' || printf('%08x', doc_id) || ' trust="' || CASE lang WHEN 'fr' THEN 'web' WHEN 'de' THEN 'user_upload' ELSE 'corpus' END || '" ingested="' || coalesce(source, 'unknown') || '" note="'
   || CASE lang WHEN 'fr' THEN '{NOTES["web"]}' WHEN 'de' THEN '{NOTES["user_upload"]}' ELSE '{NOTES["corpus"]}' END || '">' || chr(10) || trim(coalesce(text, ''), ' ') || chr(10) || '</evidence:' || printf('%08x', doc_id) || '>' AS t FROM documents)
 SELECT doc_id, length(t) AS chars, sha256(t) AS sha FROM d""",

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from caselode.plans import evaluation, guard, metrics, retrieval, scanning, structure, texts
+from caselode.plans import evaluation, exports, guard, metrics, retrieval, scanning, structure, texts
 
-_PARTS = (metrics, texts, guard, structure, retrieval, scanning, evaluation)
+_PARTS = (metrics, texts, guard, structure, retrieval, scanning, evaluation, exports)
 QUERIES = {name: f for part in _PARTS for name, f in part.QUERIES.items()}
 ORACLE_SQL = {name: sql for part in _PARTS for name, sql in part.ORACLE_SQL.items()}

@@ -48,6 +48,10 @@ def ranked_hits(spark, sf_dir):
     return hits, parents
 
 
+def ranked_leaves(spark, sf_dir):
+    return structure.leaves(tree(spark, sf_dir)).select("doc_id", "id", "ordinal")
+
+
 def expanded_hits(spark, sf_dir):
     """The first hits widened to their provisions, what those cover left out."""
     hits, parents = ranked_hits(spark, sf_dir)

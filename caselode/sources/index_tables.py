@@ -76,3 +76,9 @@ def table_count(spark: SparkSession, path: str, table: str) -> int:
     """Rows of a table of the newest version, 0 where there is none."""
     found = newest(spark, path)
     return (found["tables"] or {}).get(table, 0) if found else 0
+
+
+def lock_entries(spark: SparkSession, path: str, pinned_by: str) -> DataFrame:
+    """name, path, pinned (SHA-256) and pinned_by of every file below a folder: the rows of a lock file."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return files.select(F.substring_index("path", "/", -1).alias("name"), "path", F.sha2("content", 256).alias("pinned"), F.lit(pinned_by).alias("pinned_by"))

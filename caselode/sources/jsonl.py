@@ -6,11 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from caselode.functions.exports import is_json
+
 
 def _rows(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
     """file, line (text) and value (null where it does not parse); blank lines are left out."""
     lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("line")).where(F.trim("line") != "")
-    return lines.withColumn("value", F.from_json("line", schema, {"mode": "PERMISSIVE"})).withColumn("ok", F.try_parse_json("line").isNotNull())
+    return lines.withColumn("value", F.from_json("line", schema, {"mode": "PERMISSIVE"})).withColumn("ok", is_json(F.col("line")))
 
 
 def read_tolerant(spark: SparkSession, path: str, schema: StructType | str) -> tuple[DataFrame, DataFrame]:
