@@ -33,7 +33,7 @@ def request_times(spark, sf_dir):
 
 def control_events(spark, sf_dir):
     return read_table(spark, sf_dir, "lineitem").select(
-        F.col("l_orderkey").alias("request"), F.concat_ws("-", "l_returnflag", "l_linestatus").alias("layer"), (F.col("l_linenumber") * F.lit(10**12) + F.col("l_partkey") * 100_000 + F.col("l_suppkey")).alias("position"),
+        F.col("l_orderkey").alias("request"), F.concat_ws("-", "l_returnflag", "l_linestatus").alias("layer"), F.struct("l_linenumber", "l_partkey", "l_suppkey").alias("position"),
         F.round("l_discount", 4).cast("decimal(12,8)").alias("cost_usd"), F.col("l_quantity").alias("latency_ms"), (F.round(F.col("l_tax") * 100) >= 6).alias("blocked"),
     )
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from caselode.functions import lexicons as L
 from caselode.functions import text as T
-from caselode.operators import conversation, integrity, judge, vectors
+from caselode.operators import conversation, integrity, judge, overlap, vectors
 from caselode.operators.panels import band
 from caselode.session import read_table, shared_folder
 
@@ -130,12 +130,10 @@ def disagreements(spark, sf_dir):
 def term_coverage(spark, sf_dir):
     """For each benchmark text, the three documents that hold most of its distinctive terms (all documents compete)."""
     asked = read_table(spark, sf_dir, "benchmark").select("item_id", T.distinctive(F.col("text")).alias("terms")).where(F.size("terms") > 0)
-    wanted = asked.select("item_id", F.size("terms").alias("n_terms"), F.explode("terms").alias("term"))
-    there = docs(spark, sf_dir).select("doc_id", F.explode(T.distinctive(F.col("text"))).alias("term"))
-    shared = there.join(wanted, "term").groupBy("item_id", "n_terms", "doc_id").agg(F.count("*").alias("shared"))
-    place = F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("shared"), "doc_id"))
-    top = shared.withColumn("rank", place).where("rank <= 3")
-    return top.select("item_id", "doc_id", "rank", "shared", F.round(F.col("shared") / F.col("n_terms"), 6).alias("coverage"))
+    sets = asked.select(F.col("item_id").alias("item"), "terms")
+    top = overlap.most_shared(sets, docs(spark, sf_dir).select(F.col("doc_id").alias("id"), T.distinctive(F.col("text")).alias("terms")), 3)
+    size = asked.select(F.col("item_id").alias("item"), F.size("terms").alias("n_terms"))
+    return top.join(size, "item").select(F.col("item").alias("item_id"), F.col("id").alias("doc_id"), "rank", "shared", F.round(F.col("shared") / F.col("n_terms"), 6).alias("coverage"))
 
 
 def vector_topk(spark, sf_dir):
