@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caselode.llm.common import documents, fresh, hot_keys, memory, slices, spread_join, text_of, written
+from caselode.llm.common import discard, documents, fresh, hot_keys, memory, slices, spread_join, text_of, written
 from caselode.llm.exact_dedup import digest, mark_groups
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -308,6 +308,7 @@ def classes(
     rest = in_blocks(named, bits, sets, likely, threshold)
     if not rest.isEmpty():
         label = relabelled(label, rest)
+    discard(made, single, buckets, sets, first, named)
     of = label.withColumnRenamed("id", "keep_id")
     linked = spread_join(marked.where("keep_id is not null").select("id", "keep_id"), marked.select("keep_id").distinct().join(of, "keep_id", "left"), "keep_id")
     found = linked.select("id", F.coalesce("label", "keep_id").alias("class_id"), F.col("keep_id").alias("copy_of"))
