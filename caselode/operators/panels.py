@@ -91,6 +91,19 @@ def psi(earlier: DataFrame, later: DataFrame, column: str, floor: float = L.PSI_
     return out.withColumn("band", psi_band(F.col("psi_known")))
 
 
+def psi_report(earlier: DataFrame, later: DataFrame, column: str, floor: float = L.PSI_FLOOR) -> DataFrame:
+    """One row: both indices with their bands, the shared, new and vanished categories in order, and both distributions, to four places."""
+    counted = lambda d, n: d.groupBy(column).agg(F.count("*").alias(n))
+    both = counted(earlier, "p").join(counted(later, "q"), column, "full").na.fill(0, ["p", "q"])
+    total = both.agg(F.sum("p").alias("p_all"), F.sum("q").alias("q_all"))
+    there = lambda cond: F.array_sort(F.collect_list(F.when(cond, F.col(column))))
+    share = lambda n: F.array_sort(F.collect_list(F.when(F.col(n) > 0, F.concat_ws("=", column, F.round(F.col(n) / F.col(f"{n}_all"), 4).cast("decimal(5,4)").cast("string")))))
+    p, q = F.col("p") > 0, F.col("q") > 0
+    lists = both.join(F.broadcast(total)).agg(there(p & q).alias("shared"), there(~p & q).alias("new"), there(p & ~q).alias("vanished"), share("p").alias("earlier"), share("q").alias("later"))
+    found = psi(earlier, later, column, floor).select("psi_known", F.col("band").alias("psi_known_band"), F.col("psi_union").alias("psi_with_unseen"), psi_band(F.col("psi_union")).alias("psi_with_unseen_band"), F.lit(floor).alias("floor"))
+    return found.join(F.broadcast(lists))
+
+
 def psi_band(value: Column) -> Column:
     return F.when(value < 0.10, "stable").when(value < 0.25, "moderate").otherwise("significant")
 

@@ -68,6 +68,13 @@ def psi_known_vs_unseen(spark, sf_dir):
     return panels.psi(earlier, later, "category")
 
 
+def psi_report(spark, sf_dir):
+    """The whole drift report between the halves of the log, by type of event and hundreds of its value."""
+    rows = panels.halves(log(spark, sf_dir)).withColumn("category", F.concat_ws("-", "intent", F.floor(F.col("value") / 100).cast("string")))
+    out = panels.psi_report(rows.where("half = 0"), rows.where("half = 1"), "category")
+    return out.select("psi_known", "psi_known_band", "psi_with_unseen", "psi_with_unseen_band", "floor", *[F.array_join(c, ",").alias(c) for c in ("shared", "new", "vanished", "earlier", "later")])
+
+
 def new_and_vanished(spark, sf_dir):
     """Categories on one side only: languages of documents of even and odd sources."""
     docs = read_table(spark, sf_dir, "documents").withColumn("key", F.concat_ws(":", "lang", (F.col("n_chars") / 2000).cast("int").cast("string")))
@@ -112,7 +119,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         latency_panel, latency_panel_recent20, quality_panel_p10, session_cost_rollup, traffic_summary, half_split_stats, half_split_drift, intent_mix,
-        psi_known_vs_unseen, new_and_vanished, inter_event_gaps, token_costs, cost_components, dominant_component, reprice_side_by_side, stage_latency,
+        psi_known_vs_unseen, psi_report, new_and_vanished, inter_event_gaps, token_costs, cost_components, dominant_component, reprice_side_by_side, stage_latency,
     )
 }
 
@@ -138,6 +145,13 @@ COSTED = f"""{USAGE}, costed AS (SELECT *, {USD("prompt - least(cached_tokens, p
 PARTS = f"""{COSTED}, parts AS (SELECT model, (i8 + c8) * 100 AS generation_input, o8 * 100 AS generation_output, j8 * 10 AS judge,
   (trace_bytes::HUGEINT * 138 + 50) // 100 AS trace_storage, 800000::HUGEINT AS infrastructure FROM costed)"""
 ORACLE_SQL = {
+    "psi_report": f"""WITH r AS (SELECT *, row_number() OVER (ORDER BY event_id) AS k, count(*) OVER () AS all_ FROM events), b AS (SELECT event_type || '-' || floor(value / 100)::BIGINT AS c, count(*) FILTER (k <= greatest(1, floor(all_ * 0.5))) AS p, count(*) FILTER (k > greatest(1, floor(all_ * 0.5))) AS q FROM r GROUP BY 1),
+t AS (SELECT *, sum(p) OVER () AS pa, sum(q) OVER () AS qa, sum(CASE WHEN p > 0 AND q > 0 THEN p END) OVER () AS pk, sum(CASE WHEN p > 0 AND q > 0 THEN q END) OVER () AS qk FROM b),
+f AS (SELECT *, greatest(p / pa, {L.PSI_FLOOR}) AS x, greatest(q / qa, {L.PSI_FLOOR}) AS y, greatest(p / pk, {L.PSI_FLOOR}) AS u, greatest(q / qk, {L.PSI_FLOOR}) AS v FROM t),
+s AS (SELECT round(coalesce(sum(round((v - u) * ln(v / u), 12)::DECIMAL(28,12)) FILTER (p > 0 AND q > 0)::DOUBLE, 0), 6) AS known, round(sum(round((y - x) * ln(y / x), 12)::DECIMAL(28,12))::DOUBLE, 6) AS every,
+  coalesce(string_agg(c, ',' ORDER BY c) FILTER (p > 0 AND q > 0), '') AS shared, coalesce(string_agg(c, ',' ORDER BY c) FILTER (p = 0), '') AS new, coalesce(string_agg(c, ',' ORDER BY c) FILTER (q = 0), '') AS vanished,
+  array_to_string(list_sort(list(c || '=' || round(p / pa, 4)::DECIMAL(5,4)) FILTER (p > 0)), ',') AS earlier, array_to_string(list_sort(list(c || '=' || round(q / qa, 4)::DECIMAL(5,4)) FILTER (q > 0)), ',') AS later FROM f)
+SELECT known AS psi_known, CASE WHEN known < 0.10 THEN 'stable' WHEN known < 0.25 THEN 'moderate' ELSE 'significant' END AS psi_known_band, every AS psi_with_unseen, CASE WHEN every < 0.10 THEN 'stable' WHEN every < 0.25 THEN 'moderate' ELSE 'significant' END AS psi_with_unseen_band, {L.PSI_FLOOR}::DOUBLE AS floor, shared, new, vanished, earlier, later FROM s""",
     "latency_panel": f"WITH {LOG} " + LATENCY.format("log"),
     "latency_panel_recent20": f"WITH {LOG}, recent AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY intent ORDER BY seq DESC) AS place FROM log) WHERE place <= 20) " + LATENCY.format("recent"),
     "quality_panel_p10": f"WITH {LOG} SELECT intent, round(m, 4) AS mean, round({RANK(0.1)}, 4) AS p10, n FROM (SELECT intent, sum(value::DECIMAL(28,6))::DOUBLE / count(value) AS m, list_sort(list(value)) AS v, count(value) AS n FROM log GROUP BY intent)",
