@@ -15,8 +15,8 @@ PARSER, EMBEDDER = "layout-statute-2", "hashing-512"
 
 
 def parsed(docs: DataFrame) -> DataFrame:
-    """The tree of documents (doc_id, text); see ``structure.nodes``."""
-    return structure.nodes(structure.classified(structure.body(structure.lines(docs))))
+    """The tree of documents (doc_id, text), from a checkpoint, as rows of several kinds are made from it; see ``structure.nodes``."""
+    return checkpointed(structure.nodes(structure.classified(structure.body(structure.lines(docs)))))
 
 
 def corpus_mark(docs: DataFrame) -> str:
@@ -35,7 +35,7 @@ def ingest(docs: DataFrame, path: str) -> dict:
 
     A corpus without a leaf is an error, as nothing could be found in it; ids that repeat are one as well.
     """
-    tree = checkpointed(parsed(docs))
+    tree = parsed(docs)
     leaves, parents = structure.leaves(tree), structure.parents(tree)
     if leaves.isEmpty():
         raise ValueError("the documents have no leaves; nothing is published")

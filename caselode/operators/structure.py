@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from caselode.session import checkpointed
+
 # fixed values: line patterns of a layout-preserved statute
 PART = r"^\s*PART\s+([0-9]+|[IVXLCDM]+)\s*$"
 SCHEDULE = r"^\s*SCHEDULE\s+([0-9]+|[IVXLCDM]+)\s*(?:Sections?\s+([\d(),\sand]+))?\s*$"
@@ -264,7 +266,8 @@ def nodes(rows: DataFrame) -> DataFrame:
     """The tree: a row for each node in document order. ordinal (the root, which has no row, is 0), kind, number, title, text, page,
     parent and path (ordinals, from below the root to the node), what it stands in, provision (ordinal of the section or
     inserted provision around it), host, inserted_by, by_schedule, label, breadcrumb and citation."""
-    tree = _hosted(_placed(_gathered(rows)))
+    # both are read several times; their lineage would be gone through anew each time
+    tree = checkpointed(_hosted(checkpointed(_placed(_gathered(rows)))))
     children = tree.groupBy("doc_id", F.col("parent").alias("n")).agg(F.count(F.lit(1)).alias("children"))
     tree = tree.join(children, ["doc_id", "n"], "left").withColumn("children", F.coalesce("children", F.lit(0).cast("long")))
     tree = tree.where("kind <> 'heading' or children > 0")  # a heading is inferred; one with nothing below it was none

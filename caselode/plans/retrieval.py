@@ -39,8 +39,8 @@ def ingested_index(spark, sf_dir):
 
 
 def ranked_hits(spark, sf_dir):
-    """For each Act as a question, leaves in the order of their hashes; the tree is cut from its lineage, being read twice."""
-    t = checkpointed(tree(spark, sf_dir))
+    """For each Act as a question, leaves in the order of their hashes."""
+    t = tree(spark, sf_dir)
     leaves = structure.leaves(t).select(F.col("doc_id").alias("query_id"), "id", "citation", "breadcrumb", F.col("raw_text").alias("text"), F.concat_ws("/", "doc_id", "parent_id").alias("parent_id"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.md5(F.concat("query_id", "id").cast("binary"))))
     hits = leaves.withColumn("rank", rank).where(F.col("rank") <= HITS).withColumn("score", F.lit(1.0) / F.col("rank"))
@@ -98,7 +98,7 @@ def asked_questions(spark, sf_dir):
 
 def golden_candidates(spark, sf_dir):
     """Questions spread over the sections of each part, with the citation that each one has to find."""
-    t = checkpointed(tree(spark, sf_dir))
+    t = tree(spark, sf_dir)
     return golden.candidates(t, named=True).select("doc_id", "id", "question", "intent", "must_cite", "note")
 
 
@@ -106,7 +106,7 @@ def golden_rows(spark, sf_dir):
     """The candidates and questions out of scope, checked against the index that they were drawn from."""
     path = published(spark, sf_dir)
     leaves, parents = _keyed(ingest.opened(spark, path))
-    t = checkpointed(tree(spark, sf_dir))
+    t = tree(spark, sf_dir)
     rows = golden.candidates(t, named=True).unionByName(golden.out_of_scope(spark)).unionByName(golden.known_failures(spark))
     return golden.verified(rows, leaves, parents.select("parent_id", "citation", "breadcrumb", F.col("raw_text").alias("text")))
 
