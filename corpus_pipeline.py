@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept; all but the last return the
 columns of ``documents``. The toxicity stage learns from the labels of the rows that it is given.
+
+Defined results: null and empty texts are not toxic, are copies of each other, and one of them stays; packed, it is a piece
+of one token. Of rows that repeat id and text one stays. Rows without an id are learnt from and scored like others, are copies like
+others, and are never near-duplicates. An empty table gives no pieces. Columns besides those of ``documents`` go through all
+stages but the last, whatever their names; ties go to the largest id among copies and to the class's own id among near ones.
 """
 
 from __future__ import annotations
