@@ -4,7 +4,8 @@ from itertools import product
 import numpy as np
 import pytest
 
-from caselode.llm.segmentation import Lattice, Sampler, decode, encode, mode_of, op4_segmentation, piece_model
+from caselode.llm import segmentation
+from caselode.llm.segmentation import Lattice, Lattices, Sampler, decode, encode, mode_of, op4_segmentation, piece_model
 
 
 @pytest.fixture(scope="module")
@@ -121,3 +122,74 @@ def test_documents(spark, sf_dir):
     got = op4_segmentation(spark, sf_dir).collect()
     assert {r.doc_id for r in got} == set(texts)
     assert all(r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest() for r in got)
+
+
+def lattices_of(chunks, v):
+    starts = np.cumsum([0, *map(len, chunks)])[:-1]
+    return Lattices(np.frombuffer("".join(chunks).encode("utf-32-le"), np.uint32), starts, v)
+
+
+CHUNKS = [" the", " idiot", " é中🙂", "\n\x00a", " the", " Ab▁c", "   x", " another", " idiot", " " + "abcdefgh" * 40]
+
+
+@pytest.mark.parametrize("clash", [False, True])
+def test_lattices_in_arrays_against_one_at_a_time(sampler, monkeypatch, clash):
+    v = sampler.vocabulary
+    if clash:  # every chunk of one length has the same hash
+        monkeypatch.setattr(segmentation, "mix", lambda x: np.zeros_like(x))
+    many = lattices_of(CHUNKS, v)
+    monkeypatch.undo()
+    for chunk, code in zip(CHUNKS, many.codes.tolist(), strict=True):
+        one = Lattice(chunk, v)
+        own, q = slice(many.start[code], many.start[code] + many.size[code]), many.begins[code]
+        assert math.isclose(many.log_mode[q], one.mode_log, rel_tol=1e-9, abs_tol=1e-9)
+        assert many.other[q] == pytest.approx(one.others, rel=1e-9, abs=1e-300)
+        assert one.log_p(many.numbers(many.way[own])) == pytest.approx(one.mode_log, rel=1e-9)
+        assert many.edges(code, many.numbers(many.way[own])).tolist() == many.way[own].tolist()
+    assert clash or many.codes[0] == many.codes[4] and many.codes[1] == many.codes[8]
+
+
+def test_ways_drawn_beside_the_likeliest_follow_their_law(sampler):
+    v, rounds = sampler.vocabulary, 20_000
+    many = lattices_of([" in", " idiot"], v)
+    for code, chunk in zip(many.codes.tolist(), (" in", " idiot"), strict=True):
+        want = all_ways(chunk, v)
+        del want[max(want, key=want.get)]
+        edges, start, size, log_p = many.others_drawn(np.full(rounds, code), np.arange(rounds).astype(np.uint64) * np.uint64(977))
+        seen = {}
+        for a, n, x in zip(start.tolist(), size.tolist(), log_p.tolist(), strict=True):
+            way = tuple(many.ids[edges[a : a + n]].tolist())
+            assert math.exp(x) == pytest.approx(want[way], rel=1e-6)
+            seen[way] = seen.get(way, 0) + 1
+        assert all(seen.get(w, 0) / rounds == pytest.approx(p / sum(want.values()), abs=0.02) for w, p in want.items())
+
+
+def test_samples_do_not_depend_on_the_texts_beside_them(sampler):
+    texts = ["in the\nend", "", "an old 中🙂 man", "the idiot " * 30, "in the\nend"]
+    together = sampler.sampled([1, 2, None, 4, 1], texts, 3)
+    assert together == [sampler.samples(key, text, 3) for key, text in zip([1, 2, None, 4, 1], texts, strict=True)]
+    assert together[0] == together[4]
+
+
+def test_a_worker_keeps_nothing_of_the_texts_that_it_has_seen(sampler):
+    import tracemalloc
+
+    rng = np.random.default_rng(0)
+    sampler.samples(0, "warm up", 2)
+    tracemalloc.start()
+    for key in range(20):
+        sampler.samples(key, " ".join("".join(map(chr, w)) for w in rng.integers(97, 123, (500, 9))), 2)
+    kept = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert kept < 200_000
+
+
+def test_the_query_sends_rows_through_python_once(spark, sf_dir):
+    plan = op4_segmentation(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "ArrowEvalPython" not in plan
+
+
+def test_decoded_texts_of_encoding_are_those_of_decoding(spark):
+    df = spark.createDataFrame([(1, "a\nb 中"), (2, None), (3, "the old man")], "doc_id long, text string")
+    got = decode(encode(df, piece_model(), 3, decoded=True), piece_model(), text_col="again").collect()
+    assert all(r.decoded == r.again for r in got) and {r.decoded for r in got} == {"a\nb 中", "", "the old man"}
