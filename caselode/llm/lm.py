@@ -29,17 +29,24 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caselode.llm.common import documents, memory, scratch, slices, text_of, written
+from caselode.llm.common import documents, scratch, slices, text_of, written
 
 ORDER = 2
 #: n-grams that a shard is meant to hold, and tokens that a task counts before it sends them on.
 SHARD, FLUSH = 1_000_000, 4_000_000
-REMEMBERED = 500_000
+#: Bytes of text that are hashed at a time, and of words that are hashed one by one.
+BLOCK_BYTES, LONG = 1 << 16, 64
 END = np.uint64(xxhash.xxh64_intdigest(b" end"))
 
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
 
+#: A value for each byte, 0 for those between words, and one for each place in a word.
+VALUES = np.array([0 if b in b" \t\n\v\f\r\xff" else xxhash.xxh64_intdigest(bytes([b])) for b in range(256)], np.uint64)
+POWERS = np.cumprod(np.full(LONG + 1, _A | np.uint64(1)))
+BETWEEN = VALUES == 0
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     x = x + _A
     x = (x ^ (x >> np.uint64(30))) * _B
@@ -80,26 +87,36 @@ def opened(path: str, kind: str) -> np.ndarray:
     return np.memmap(path, kind, "r") if os.path.exists(path) else np.zeros(0, kind)
 
 
-class Words(dict):
-    """Hashes of words, remembered."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > REMEMBERED:
-            self.clear()
-        out = self[word] = xxhash.xxh64_intdigest(word)
-        return out
-
-
-def words() -> Words:
-    return memory("tokens", Words)
+def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of words: sums of their bytes' values times powers by place, mixed; longer ones than LONG one by one."""
+    out, long = np.zeros(len(starts), np.uint64), np.flatnonzero(ends - starts > LONG)
+    cuts = np.searchsorted(starts, np.arange(0, len(raw), BLOCK_BYTES))
+    cuts = np.unique(np.concatenate([[0, len(starts)], cuts, long, long + 1]))  # a long word is a block of its own
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        if ends[a] - starts[a] <= LONG:
+            own = raw[starts[a] : ends[b - 1]]
+            first = starts[a:b] - starts[a]
+            place = np.arange(len(own)) - np.repeat(first, np.diff(first, append=len(own)))
+            # what lies between words counts nothing
+            out[a:b] = np.add.reduceat(VALUES[own] * POWERS.take(place, mode="clip"), first)
+    out = mix(out)
+    for i in long.tolist():
+        out[i] = xxhash.xxh64_intdigest(raw[starts[i] : ends[i]])
+    return out
 
 
 def token_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """The hashes of all texts' tokens one after the other, and the number of each text's tokens."""
-    split = [t.encode().lower().split() for t in texts]
-    known = words().__getitem__
-    parts = [x for own in split for x in (np.fromiter(map(known, own), np.uint64, len(own)), np.array([END]))]
-    return np.concatenate(parts) if parts else np.zeros(0, np.uint64), np.array([len(own) + 1 for own in split], np.int64)
+    if not texts:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    raw = np.frombuffer(b"\xff".join([*[t.encode() for t in texts], b""]).lower(), np.uint8)  # no text in UTF-8 has that byte
+    gap = BETWEEN[raw]
+    edges = np.flatnonzero(np.diff(gap, prepend=True))
+    starts, ends = edges[::2], edges[1::2]
+    n = np.diff(np.searchsorted(starts, np.flatnonzero(raw == 0xFF)), prepend=0)
+    out = np.full(len(starts) + len(texts), END)
+    out[np.arange(len(starts)) + np.repeat(np.arange(len(texts)), n)] = word_hashes(raw, starts, ends)
+    return out, n + 1
 
 
 class Vocabulary:

@@ -7,7 +7,8 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from caselode.llm.lm import discounts, op1_lm_scoring, scored, train
+from caselode.llm import lm
+from caselode.llm.lm import discounts, op1_lm_scoring, scored, token_hashes, train
 
 
 def tokens(text):
@@ -87,3 +88,32 @@ def test_null_long_and_no_rows(spark, tmp_path):
     assert op1_lm_scoring(spark, f"{tmp_path}/none").count() == 0
     none = train(spark.createDataFrame([], "text string"))
     assert scored(spark.createDataFrame([(1, "a b")], "k long, text string"), none).head().score == 0
+
+
+@pytest.mark.parametrize("block", [1, 8, 1 << 16])
+def test_equal_words_and_no_others_have_equal_hashes(monkeypatch, block):
+    monkeypatch.setattr(lm, "BLOCK_BYTES", block, raising=False)
+    draw = random.Random(block)
+    long = ["x" * n for n in (63, 64, 65, 66, 5000)] + ["y" * 64 + end for end in ("", "a", "b", "ab", "ba")]
+    words = ["a", "A", "aa", "ab", "ba", "é", "É", "中🙂", "\x00", "a\x00", "\x00a", "\x1c", "\x85", "\xa0", "\u2028", "ÿ", "end", *long]
+    texts = ["", " ", "\n\x0b\x0c\r\t ", "a", " a ", *["".join(draw.choice(words) + draw.choice(" \t\n\x0b\x0c\r") * draw.randrange(1, 3) for _ in range(draw.randrange(60))) for _ in range(80)], ""]
+    found, at = {}, 0
+    hashes, lengths = token_hashes(texts)
+    assert lengths.tolist() == [len(tokens(t)) for t in texts]
+    for text, n in zip(texts, lengths.tolist(), strict=True):
+        for word, x in zip(tokens(text), hashes[at : at + n].tolist(), strict=True):
+            assert found.setdefault(word, x) == x
+        at += n
+    assert at == len(hashes) and len(set(found.values())) == len(found)
+    assert [len(x) for x in token_hashes([])] == [0, 0]
+
+
+def test_hashing_keeps_no_words():
+    import tracemalloc
+
+    token_hashes(["warm up"])
+    tracemalloc.start()
+    token_hashes([" ".join(f"w{i}" for i in range(50_000))])
+    kept = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert kept < 200_000
