@@ -126,9 +126,9 @@ class Vocabulary:
     def slot(self, keys: np.ndarray) -> np.ndarray:
         return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).view(np.int64)
 
-    def step(self, nodes: np.ndarray, points: np.ndarray) -> np.ndarray:
-        """The node behind each one by a character, or -1."""
-        wanted = nodes.astype(np.int64) << 16 | self.number[points]
+    def step(self, nodes: np.ndarray, letters: np.ndarray) -> np.ndarray:
+        """The node behind each one by a letter's number, or -1."""
+        wanted = nodes.astype(np.int64) << 16 | letters
         at = self.slot(wanted)
         found = self.keys[at]
         out = np.where(found == wanted, self.values[at], -1)
@@ -379,28 +379,32 @@ class Lattices:
         spelt = np.flatnonzero((node < 0) | (v.piece[node] < 0))
         self.spelt, row = np.unique(points[spelt], return_inverse=True)
         self.bytes = [[v.bytes[b] for b in chr(c).encode()] for c in self.spelt.tolist()]
-        found.append((spelt, 1, -1 - row, np.array([sum(v.logs[b] for b in own) for own in self.bytes])[row] if len(row) else np.zeros(0)))
-        here, node, long = at[node >= 0], node[node >= 0], 1
+        found.append((spelt, 1, -1 - row))
+        weights = np.array([sum(v.logs[b] for b in own) for own in self.bytes[::-1]])  # of ids below 0
+        letters, here, node, long = v.number[points], at[node >= 0], node[node >= 0], 1
         while len(here):
             own = v.piece[node]
             hit = own >= 0
-            found.append((here[hit], long, own[hit], v.log_weights[own[hit]]))
+            found.append((here[hit], long, own[hit]))
             on = far[here] > long
-            here, node = here[on], v.step(node[on], points[here[on] + long])
-            here, node, long = here[node >= 0], node[node >= 0], long + 1
+            here = here[on]
+            node = v.step(node[on], letters[here + long])
+            on = node >= 0
+            here, node, long = here[on], node[on], long + 1
         count = np.zeros(len(at), np.int32)
-        found = [(own, place[own], *more) for own, *more in found]
+        found = [(own, place[own], long, ids) for own, long, ids in found]
         for _, q, *_ in found:
             count[q] += 1
         self.first = np.append(0, np.cumsum(count)).astype(np.int32)  # each place's first edge
         n, put = int(self.first[-1]), self.first[:-1].copy()
-        self.ids, self.to, log_w = np.empty(n, np.int32), np.empty(n, np.int32), np.empty(n)
-        for own, q, long, ids, w in found:
+        self.ids, self.to = np.empty(n, np.int32), np.empty(n, np.int32)
+        for own, q, long, ids in found:
             e = put[q]
             put[q] = e + 1
-            self.ids[e], log_w[e] = ids, w
+            self.ids[e] = ids
             self.to[e] = np.where(far[own] > long, place[np.minimum(own + long, len(at))], self.stop)
         self.source = np.repeat(np.arange(len(at), dtype=np.int32), count)
+        log_w = np.concatenate([v.log_weights, weights])[self.ids]
 
         # from the ends backwards: sums over all ways, each edge's probability, the likeliest way's edge and what is beside that way
         self.p, self.best = np.empty(n), np.zeros(len(at), np.int32)
@@ -564,17 +568,16 @@ class Search:
         if barred:
             rest[0] = left
         before = np.cumsum(np.concatenate([[log_p[:at].sum()], log_p[at:-1]]))
-        with np.errstate(over="ignore", invalid="ignore", divide="ignore"):
+        with np.errstate(divide="ignore"):
             free = self.rng.gumbel(size=len(rest)) + np.log(rest) + before
-            cut = -np.logaddexp(-value, -free)  # a Gumbel at its mass, on condition that it is at most the winner's value
-        live = np.flatnonzero(np.isfinite(free))
         need = k - len(self.out) + 1
-        if len(live) > need:
-            live = live[np.argpartition(-cut[live], need - 1)[:need]]
-        for i in live.tolist():
+        live = np.argpartition(free, -need)[-need:] if len(free) > need else np.arange(len(free))
+        live = live[np.isfinite(free[live])]
+        cut = -np.logaddexp(-value, -free[live])  # Gumbels at their masses, on condition that they are at most the winner's value
+        for i, x in zip(live.tolist(), cut.tolist(), strict=True):
             self.count += 1
             own = slice(int(start[at + i]), int(start[at + i] + size[at + i]))
-            heapq.heappush(self.queue, (-float(cut[i]), self.count, at + i, (start, size, log_p), [*(barred if i == 0 else []), own]))
+            heapq.heappush(self.queue, (-x, self.count, at + i, (start, size, log_p), [*(barred if i == 0 else []), own]))
 
     def results(self, store: np.ndarray):
         for start, size, log_p, value in self.out:
