@@ -5,13 +5,17 @@ ids of frequent words, and all later passes read these. A position is a candidat
 k - 1 words starts and the next position starts one too (Apriori). Tasks name a candidate by the state of its first k - 1
 words in the trie of frequent phrases and its last word, and send its count, capped at the least that is asked for, in
 sorted blocks by shard; a shard adds the blocks up and keeps what reaches that least, which capping does not change. So
-the candidates that are put into the next trie are few. At last one trie of all of them is broadcast: numpy moves the
+the candidates that are put into the next trie are few. At last there is one trie of all of them: numpy moves the
 states of all positions of a slice on by one word, position arrays shrinking to those still alive; a task counts the
 accepting states with bincount, and the tasks' counts are added up.
 
 A trie is two arrays: from state s the digit d leads to base[s] + d if check[base[s] + d] is s. A word is ``DIGITS`` digits of
-``BITS`` bits, so a state has at most 128 ways on. Words and candidates are broadcast only if they are at most ``BOUND``,
-which is checked; otherwise phrases are counted by ordinary shuffles, as words are.
+``BITS`` bits, so a state has at most 128 ways on. Frequent words are dealt to ``PARTS`` parts by hash, and the ids of a part
+follow each other; phrases belong to the part of their first word. A task for each part numbers its words, builds its stretch
+of the trie and names its phrases; these lie as files in the shared folder, and workers put the stretches one behind the
+other. The driver sees the sizes of the parts, never a word, a phrase or a trie. Workers hold words and tries only if words and
+phrases are at most ``BOUND``, which is checked; otherwise, and if spark.checkpoint.dir is not a folder that all nodes mount,
+phrases are counted by ordinary shuffles, as words are.
 
 Defined results: null texts are empty and have no words; a null lang counts as ``und``. Repeated rows are counted each.
 Equal scores are ordered by count and then by the phrase's UTF-8 bytes. Empty tables give no rows. Extra columns are
@@ -20,19 +24,22 @@ ignored, ids too.
 
 from __future__ import annotations
 
+import os
 from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from caselode.llm.common import documents, slices, spread_join, text_of, written
+from caselode.llm.common import documents, memory, scratch, slices, spread_join, text_of, written
+from caselode.llm.lm import local_path, opened, publish
 from caselode.llm.near_dedup import mix
 
 LEAST, LONGEST, TOP, INSIDE = 30, 4, 2000, 80
-#: Words, and phrases, that may be broadcast and sent to the driver.
-BOUND = 2**21
+#: Words and phrases that a worker may hold, and parts that they are dealt to.
+BOUND, PARTS = 2**21, 64
 DIGITS, BITS = 3, 7
 #: Distinct words, and candidate positions, that a task gathers before it sends counts on; words of text a shard is meant for.
 WORDS, FLUSH, SHARD = 500_000, 2_000_000, 4_000_000
@@ -83,12 +90,48 @@ def plain_counts(rows: DataFrame, sizes: tuple[int, ...]) -> DataFrame:
     return rows.mapInArrow(run, "lang string, size int, phrase binary, f long").groupBy("lang", "size", "phrase").agg(F.sum("f").alias("f"))
 
 
-def encoded(rows: DataFrame, vocabulary: dict[str, dict[bytes, int]]) -> DataFrame:
+class Vocabulary:
+    """Where the frequent words lie; a part's words are sorted, and ids go up from part to part, from 1 on."""
+
+    def __init__(self, folder: str, sizes: list[int]):
+        self.folder, self.total = folder, sum(sizes)
+        self.starts = np.cumsum([1, *sizes])
+
+    def table(self) -> pa.Table:
+        """lang and phrase of all words in the order of their ids."""
+        parts = [pa.ipc.open_file(pa.memory_map(f"{self.folder}/w-{p}")).read_all() for p in np.flatnonzero(np.diff(self.starts))]
+        return pa.concat_tables(parts).combine_chunks()
+
+    def ids(self) -> dict[str, dict[bytes, int]]:
+        """Ids by language and word."""
+        found: dict[str, dict[bytes, int]] = {}
+        table = self.table()
+        for i, (lang, word) in enumerate(zip(table["lang"].to_pylist(), table["phrase"].to_pylist(), strict=True), 1):
+            found.setdefault(lang, {})[word] = i
+        return found
+
+
+def numbered(words: DataFrame, folder: str) -> Vocabulary:
+    """The vocabulary of words (lang, phrase), written by parts."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        part, rows = rows.column("part")[0].as_py(), rows.select(["lang", "phrase"]).sort_by([("lang", "ascending"), ("phrase", "ascending")])
+        path = f"{folder}/w-{part}"
+        with pa.OSFile(f"{path}.{os.getpid()}.part", "wb") as f, pa.ipc.new_file(f, rows.schema) as out:
+            out.write_table(rows)
+        os.replace(f"{path}.{os.getpid()}.part", path)
+        return pa.table({"part": pa.array([part], pa.int64()), "n": pa.array([rows.num_rows], pa.int64())})
+
+    dealt = words.select("lang", "phrase", F.pmod(F.xxhash64("lang", "phrase"), F.lit(PARTS)).alias("part"))
+    sizes = dict(dealt.groupBy("part").applyInArrow(run, "part long, n long").collect())
+    return Vocabulary(folder, [sizes.get(p, 0) for p in range(PARTS)])
+
+
+def encoded(rows: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """Texts as runs of ids of frequent words, 0 between runs; runs of one word are left out."""
-    held = rows.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches):
-        known, none = held.value, {}
+        known, none = memory((vocabulary.folder, "ids"), vocabulary.ids), {}
         for batch in slices(batches):
             parts = []
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -162,7 +205,7 @@ class Trie:
         return slot
 
     def arrays(self) -> tuple[np.ndarray, np.ndarray]:
-        return self.base.astype(np.int32), self.check.astype(np.int32)
+        return self.base[: self.used].astype(np.int32), self.check[: self.used].astype(np.int32)
 
 
 def moved(base: np.ndarray, check: np.ndarray, states: np.ndarray, words: np.ndarray) -> np.ndarray:
@@ -173,9 +216,11 @@ def moved(base: np.ndarray, check: np.ndarray, states: np.ndarray, words: np.nda
     return states
 
 
-def walked(base: np.ndarray, check: np.ndarray, ids: np.ndarray, levels: int):
-    """For each number of words up to levels: the positions from which so many lead to a state, and the states."""
-    at, states = np.flatnonzero(ids), np.ones(np.count_nonzero(ids), np.int32)
+def walked(base: np.ndarray, check: np.ndarray, ids: np.ndarray, levels: int, root=None):
+    """For each number of words up to levels: the positions from which so many lead to a state, and the states.
+    root gives the states in which these first words start; without it, that is state 1."""
+    at = np.flatnonzero(ids)
+    states = root(ids[at]) if root else np.ones(len(at), np.int32)
     for level in range(levels):
         inside = at + level < len(ids)
         at, states = at[inside], states[inside]
@@ -208,20 +253,70 @@ def sent(keys: np.ndarray, counts: np.ndarray, shards: int):
 BLOCK, BLOCK_SCHEMA = "shard keys counts", "shard long, keys binary, counts binary"
 
 
-def added(blocks: DataFrame, least: int) -> DataFrame:
-    """key and f of the keys whose counts in all blocks come to ``least`` or more; a shard has a bounded part of the text's positions."""
+class Tries:
+    """Where the stretches of a trie lie, and where each begins once they are put one behind the other."""
+
+    def __init__(self, folder: str, name: str, starts: np.ndarray, slots: list[int]):
+        """starts: the first word id of each part. slots: lengths of the parts' arrays, 0 where a part has no phrase."""
+        self.folder, self.name, self.starts = folder, name, starts
+        self.begins = np.cumsum([0, *slots])
+        self.roots = np.where(np.diff(self.begins) > 0, self.begins[:-1] + 1, 0).astype(np.int32)
+
+    def root(self, words: np.ndarray) -> np.ndarray:
+        return self.roots[part_of(self.starts, words)]
+
+    def arrays(self) -> tuple[np.ndarray, np.ndarray]:
+        """base and check of the whole trie. The first two places of a stretch are no states, so 0 is nowhere here too."""
+        base, check = np.empty(self.begins[-1], np.int32), np.empty(self.begins[-1], np.int32)
+        for p in np.flatnonzero(np.diff(self.begins)):
+            own = slice(self.begins[p], self.begins[p + 1])
+            base[own] = opened(f"{self.folder}/{self.name}-{p}.base", "<i4") + np.int32(own.start)
+            parent = opened(f"{self.folder}/{self.name}-{p}.check", "<i4")
+            check[own] = np.where(parent > 0, parent + np.int32(own.start), parent)
+        return base, check
+
+    def held(self) -> tuple[np.ndarray, np.ndarray]:
+        return memory((self.folder, self.name), self.arrays)
+
+    def places(self, part: int, states: np.ndarray) -> np.ndarray:
+        """Which of a part's phrases end in these states."""
+        of = opened(f"{self.folder}/{self.name}-{part}.of", "<i4")
+        by_state = np.argsort(of)
+        return by_state[np.searchsorted(of, states - self.begins[part], sorter=by_state)]
+
+
+def part_of(starts: np.ndarray, x: np.ndarray) -> np.ndarray:
+    return np.searchsorted(starts, x, side="right") - 1
+
+
+def phrases_of(folder: str, part: int, size: int) -> np.ndarray:
+    """A part's phrases of so many words, as rows of word ids."""
+    return opened(f"{folder}/p{size}-{part}", "<i4").reshape(-1, size)
+
+
+def published(folder: str, name: str, part: int, phrases: list[np.ndarray]) -> int:
+    """Writes the stretch of a trie for these phrases of a part and tells its length; the same phrases give the same arrays."""
+    trie = Trie(phrases)
+    for suffix, array in zip(("base", "check", "of"), (*trie.arrays(), np.concatenate(trie.of)), strict=True):
+        publish(f"{folder}/{name}-{part}.{suffix}", array.astype("<i4"))
+    return trie.used
+
+
+def added(blocks: DataFrame, least: int, starts: np.ndarray, shift: int = 0) -> DataFrame:
+    """part, key and f of the keys whose counts in all blocks come to ``least`` or more; a shard has a bounded part of the text's positions.
+    A key's part is where key >> shift lies between starts."""
 
     def run(rows: pa.Table) -> pa.Table:
         keys, counts = summed(*[np.frombuffer(b"".join(rows.column(c).to_pylist()), np.int64) for c in ("keys", "counts")])
-        return pa.table({"key": keys[counts >= least], "f": counts[counts >= least]})
+        keys, counts = keys[counts >= least], counts[counts >= least]
+        return pa.table({"part": part_of(starts, keys >> shift), "key": keys, "f": counts})
 
-    return blocks.groupBy("shard").applyInArrow(run, "key long, f long")
+    return blocks.groupBy("shard").applyInArrow(run, "part long, key long, f long")
 
 
-def capped(coded: DataFrame, trie: Trie | None, size: int, least: int, shards: int) -> DataFrame:
-    """key: state (of the first size - 1 words, the word itself if there is no trie) and last word of the candidates of size words
-    that occur ``least`` times or more."""
-    held = coded.sparkSession.sparkContext.broadcast(trie.arrays() if trie else None)
+def capped(coded: DataFrame, vocabulary: Vocabulary, tries: Tries | None, size: int, least: int, shards: int) -> DataFrame:
+    """part and key: state (of the first size - 1 words, the word itself if there is no trie) and last word of the candidates of
+    size words that occur ``least`` times or more."""
 
     def run(batches):
         waiting, n = [], 0
@@ -229,10 +324,10 @@ def capped(coded: DataFrame, trie: Trie | None, size: int, least: int, shards: i
         for batch in batches:
             for raw in batch.column(0).to_pylist():
                 ids = np.frombuffer(raw, np.int32)
-                if trie is None:
+                if tries is None:
                     at, states = np.flatnonzero(ids), ids[ids > 0]
                 else:
-                    at, states = list(walked(*held.value, ids, size - 1))[-1]
+                    at, states = list(walked(*tries.held(), ids, size - 1, tries.root))[-1]
                 both = np.flatnonzero(at[1:] == at[:-1] + 1)  # the next position starts a frequent phrase too
                 key = states[both].astype(np.int64) << (DIGITS * BITS) | ids[at[both] + size - 1]
                 if len(key):
@@ -244,71 +339,117 @@ def capped(coded: DataFrame, trie: Trie | None, size: int, least: int, shards: i
         if waiting:
             yield from gathered()
 
-    return added(coded.mapInArrow(run, BLOCK_SCHEMA), least).select("key")
+    starts = tries.begins if tries else vocabulary.starts
+    return added(coded.mapInArrow(run, BLOCK_SCHEMA), least, starts, DIGITS * BITS).select("part", "key")
+
 
+def extended(keys: DataFrame, vocabulary: Vocabulary, tries: Tries | None, size: int) -> Tries:
+    """Writes the phrases of size words that keys name, and the trie of them, by parts."""
+    folder, name = vocabulary.folder, f"t{size}"
+
+    def run(rows: pa.Table) -> pa.Table:
+        part, named = rows.column("part")[0].as_py(), np.sort(rows.column("key").to_numpy())
+        state, last = named >> (DIGITS * BITS), named & ((1 << DIGITS * BITS) - 1)
+        begins = phrases_of(folder, part, size - 1)[tries.places(part, state)] if tries else state[:, None]
+        phrases = np.column_stack([begins, last])
+        publish(f"{folder}/p{size}-{part}", phrases.astype("<i4"))
+        return pa.table({"part": pa.array([part], pa.int64()), "slots": pa.array([published(folder, name, part, [phrases]) if size < LONGEST else 0], pa.int64())})
+
+    slots = dict(keys.groupBy("part").applyInArrow(run, "part long, slots long").collect())
+    return Tries(folder, name, vocabulary.starts, [slots.get(p, 0) for p in range(PARTS)])
 
-def trie_counts(coded: DataFrame, trie: Trie, shards: int) -> DataFrame:
-    """state and f of all accepting states of a trie of phrases of 2 words or more."""
-    held = coded.sparkSession.sparkContext.broadcast(trie.arrays())
+
+def whole(spark: SparkSession, vocabulary: Vocabulary, longest: int) -> Tries:
+    """The trie of all phrases of 2 to longest words."""
+    folder = vocabulary.folder
 
     def run(batches):
-        base, check = held.value
-        total = np.zeros(len(base), np.int64)
+        for batch in batches:
+            for part in batch.column(0).to_pylist():
+                phrases = [phrases_of(folder, part, size).astype(np.int64) for size in range(2, longest + 1)]
+                slots = published(folder, "all", part, phrases) if len(phrases[0]) else 0
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([slots], pa.int64())], ["part", "slots"])
+
+    slots = dict(spark.range(0, PARTS, 1, PARTS // 4).mapInArrow(run, "part long, slots long").collect())
+    return Tries(folder, "all", vocabulary.starts, [slots[p] for p in range(PARTS)])
+
+
+def trie_counts(coded: DataFrame, vocabulary: Vocabulary, tries: Tries, longest: int, shards: int) -> DataFrame:
+    """lang, size, phrase and f of all phrases of the trie."""
+    folder = vocabulary.folder
+
+    def count(batches):
+        base, check = tries.held()
+        total, waiting, n = np.zeros(len(base), np.int64), [], 0
         for batch in batches:
             for raw in batch.column(0).to_pylist():
-                for level, (_, states) in enumerate(walked(base, check, np.frombuffer(raw, np.int32), LONGEST)):
-                    if level:
-                        total += np.bincount(states, minlength=len(total))
+                waiting += [states for level, (_, states) in enumerate(walked(base, check, np.frombuffer(raw, np.int32), longest, tries.root)) if level]
+                n += sum(map(len, waiting[1 - longest :]))
+                if n > FLUSH:
+                    total += np.bincount(np.concatenate(waiting), minlength=len(total))
+                    waiting, n = [], 0
+        if waiting:
+            total += np.bincount(np.concatenate(waiting), minlength=len(total))
         some = np.flatnonzero(total)
         yield from sent(some, total[some], shards)
 
-    return added(coded.mapInArrow(run, BLOCK_SCHEMA), 1).withColumnRenamed("key", "state")
+    def name(rows: pa.Table) -> pa.Table:
+        part, table = rows.column("part")[0].as_py(), memory((folder, "words"), vocabulary.table)
+        place, f, out = tries.places(part, rows.column("key").to_numpy()), rows.column("f").to_numpy(), []
+        for size in range(2, longest + 1):
+            phrases = phrases_of(folder, part, size)
+            mine = (place >= 0) & (place < len(phrases))
+            ids = phrases[place[mine]] - 1
+            words = [table["phrase"].take(pa.array(x)).combine_chunks() for x in ids.T]
+            columns = {"lang": table["lang"].take(pa.array(ids[:, 0])), "size": pa.array(np.full(len(ids), size, np.int32)), "phrase": pc.binary_join_element_wise(*words, b" "), "f": f[mine]}
+            out.append(pa.table(columns))
+            place = place - len(phrases)
+        return pa.concat_tables(out)
+
+    found = added(coded.mapInArrow(count, BLOCK_SCHEMA), 1, tries.begins)
+    return found.groupBy("part").applyInArrow(name, "lang string, size int, phrase binary, f long")
+
+
+def mapped_folder(spark: SparkSession) -> str | None:
+    """A new folder that driver and workers open by its path; None if the shared folder is no such."""
+    try:
+        folder = local_path(scratch(spark, "tries"))
+    except ValueError:
+        return None
+    os.makedirs(folder)
+    return folder
 
 
 def counted(df: DataFrame, lang_col: str, text_col: str, least: int = LEAST, bound: int = BOUND) -> tuple[DataFrame, DataFrame]:
     """lang, size, phrase (binary) and f of all phrases of 1 to LONGEST words with f of ``least`` or more; and lang and n, its words."""
-    spark = df.sparkSession
     rows = texts(df, lang_col, text_col)
     singles = written(plain_counts(rows, (1,)).where((F.col("f") >= least) | F.col("phrase").isNull()), "words")
     totals, words = singles.where("phrase is null").select("lang", F.col("f").alias("n")), singles.where("phrase is not null")
-    if words.count() >= bound:
+
+    def shuffled() -> tuple[DataFrame, DataFrame]:
         rest = plain_counts(rows, tuple(range(2, LONGEST + 1))).where((F.col("f") >= least) & F.col("phrase").isNotNull())
         return words.unionByName(written(rest, "phrases")), totals
-    held = words.select("lang", "phrase").toArrow()
-    named = sorted(zip(held["lang"].to_pylist(), held["phrase"].to_pylist(), strict=True))
-    vocabulary: dict[str, dict[bytes, int]] = {}
-    for i, (lang, word) in enumerate(named, 1):
-        vocabulary.setdefault(lang, {})[word] = i
+
+    if words.count() >= bound or not (folder := mapped_folder(df.sparkSession)):
+        return shuffled()
+    vocabulary = numbered(words, folder)
+    if not vocabulary.total:
+        return words, totals
     coded = written(encoded(rows, vocabulary), "encoded")
     shards = max(16, -(-(totals.agg(F.sum("n")).head()[0] or 0) // SHARD))
-    levels: list[np.ndarray] = []
-    trie = None
+    n, longest, tries = 0, 1, None
     for size in range(2, LONGEST + 1):
-        keys = written(capped(coded, trie, size, least, shards), "candidates")
-        if sum(map(len, levels)) + keys.count() > bound:
-            rest = plain_counts(rows, tuple(range(2, LONGEST + 1))).where((F.col("f") >= least) & F.col("phrase").isNotNull())
-            return words.unionByName(written(rest, "phrases")), totals
-        key = np.sort(keys.toArrow()["key"].to_numpy())
-        if not len(key):
+        keys = written(capped(coded, vocabulary, tries, size, least, shards), "candidates")
+        more = keys.count()
+        n += more
+        if n > bound:
+            return shuffled()
+        if not more:
             break
-        state, last = key >> (DIGITS * BITS), key & ((1 << DIGITS * BITS) - 1)
-        if trie is None:
-            levels.append(np.stack([state, last], axis=1))
-        else:
-            by_state = np.argsort(trie.of[0])
-            begins = levels[-1][by_state[np.searchsorted(trie.of[0][by_state], state)]]
-            levels.append(np.column_stack([begins, last]))
-        if size < LONGEST:
-            trie = Trie([levels[-1]])
-    if not levels:
+        tries, longest = extended(keys, vocabulary, tries, size), size
+    if longest < 2:
         return words, totals
-    trie = Trie(levels)
-    lang_of, word_of = [None, *(lang for lang, _ in named)], [b"", *(word for _, word in named)]
-    names = pa.table({
-        "state": np.concatenate(trie.of), "size": pa.array(np.repeat([x.shape[1] for x in levels], [len(x) for x in levels]).astype(np.int32)),
-        "lang": [lang_of[i] for x in levels for i in x[:, 0]], "phrase": pa.array([b" ".join(word_of[i] for i in r) for x in levels for r in x.tolist()], pa.binary()),
-    })
-    found = trie_counts(coded, trie, shards).join(spark.createDataFrame(names), "state").select("lang", "size", "phrase", "f")
+    found = trie_counts(coded, vocabulary, whole(df.sparkSession, vocabulary, longest), longest, shards)
     return words.unionByName(written(found, "phrases")), totals
 
 

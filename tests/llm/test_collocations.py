@@ -5,7 +5,12 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from caselode.llm.collocations import LONGEST, Trie, collocations, op13_collocations, walked
+from pyspark import SparkContext
+from pyspark.sql import SparkSession
+from pyspark.sql.classic.dataframe import DataFrame
+
+from caselode.llm import collocations as module
+from caselode.llm.collocations import LONGEST, PARTS, Trie, collocations, op13_collocations, walked
 
 
 def plain(rows, least=30, top=2000):
@@ -76,3 +81,35 @@ def test_trie():
         if level:
             assert dict(zip(at.tolist(), states.tolist(), strict=True)) == want
     assert level == LONGEST - 1
+
+
+def many_words(spark):
+    draw = random.Random(3)
+    rows = [(draw.choice(["en", "fr"]), " ".join(f"w{int(draw.paretovariate(0.6)) % 400}" for _ in range(60))) for _ in range(150)]
+    return rows, spark.createDataFrame(rows, "lang string, text string").repartition(5)
+
+
+def test_driver_sees_no_words_and_no_tries(spark, monkeypatch):
+    rows, df = many_words(spark)
+    want = plain(rows, 5)
+    assert len(want) > 4 * PARTS
+
+    def refused(*args, **kwargs):
+        raise AssertionError("passes through the driver what grows with the texts")
+
+    collect, sizes = DataFrame.collect, []
+    with monkeypatch.context() as m:
+        for owner, name in ((DataFrame, "toArrow"), (DataFrame, "toPandas"), (DataFrame, "toLocalIterator"), (SparkSession, "createDataFrame"), (SparkContext, "broadcast"), (Trie, "__init__")):
+            m.setattr(owner, name, refused)
+        m.setattr(DataFrame, "collect", lambda self: sizes.append(len(out := collect(self))) or out)
+        found = collocations(df, least=5)
+    assert got(found) == want
+    assert sizes and max(sizes) <= PARTS
+
+
+def test_shared_folder_that_is_not_mounted(spark, monkeypatch):
+    rows, df = many_words(spark)
+    asked = []
+    monkeypatch.setattr(module, "scratch", lambda spark, name: asked.append(name) or f"hdfs://name/{name}")
+    assert got(collocations(df, least=5)) == plain(rows, 5)
+    assert asked
