@@ -52,6 +52,16 @@ def hashing_embedding(tokens: Column, dim: int = DIM) -> Column:
     return run(tokens)
 
 
+def different(questions: DataFrame, query: str) -> DataFrame:
+    """query_id and vector of the different texts of questions: the text is the id, as equal texts find the same."""
+    tasks = int(questions.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # texts are short, and would be put together in one
+    return questions.select(text_id(query).alias("query_id")).repartition(tasks, "query_id").distinct().withColumn("vector", hashing_embedding(T.embedding_tokens(F.col("query_id"))))
+
+
+def text_id(query: str) -> Column:
+    return F.coalesce(F.col(query), F.lit(""))
+
+
 def search(questions: DataFrame, leaves: DataFrame, k: int = L.TOP_K) -> DataFrame:
     """The 3k nearest leaves of each question (query_id, vector), ranked, ties by id. questions is the small, stated side."""
     return leaves.drop("vector").join(vectors.nearest(questions, leaves, k * L.OVERFETCH), "id")
@@ -134,8 +144,7 @@ def answered(questions: DataFrame, leaves: DataFrame, parents: DataFrame, k: int
     """One retrieval of a batch of questions (query_id, question and the query to search by): citations, breadcrumbs and sufficiency of
     what is found and expanded. Questions without hits have no row. leaves: id, citation, breadcrumb, text, parent_id, vector; parents: parent_id, citation,
     text and, for what is widened to keep one, breadcrumb."""
-    by = questions.select("query_id", hashing_embedding(T.embedding_tokens(F.col(query))).alias("vector"))
-    hits = checkpointed(search(by, leaves, k).select("query_id", "rank", "citation", "breadcrumb", "text", "score", "parent_id"))
+    hits = checkpointed(search(different(questions, query), leaves, k).select("query_id", "rank", "citation", "breadcrumb", "text", "score", "parent_id"))
     crumbs = hits.select("citation", "breadcrumb")
     if "breadcrumb" in parents.columns:
         crumbs = crumbs.unionByName(parents.join(hits.select("parent_id").distinct(), "parent_id", "left_semi").select("citation", "breadcrumb"))
@@ -143,7 +152,7 @@ def answered(questions: DataFrame, leaves: DataFrame, parents: DataFrame, k: int
     wide = expanded(hits, parents, k).join(crumbs, "citation", "left").withColumn("breadcrumb", F.coalesce("breadcrumb", F.lit("")))
     xs = F.array_sort(F.collect_list(F.struct("place", "score", "text", "breadcrumb", "citation")))
     of = lambda f: F.transform("xs", f)
-    seen = questions.join(wide.groupBy("query_id").agg(xs.alias("xs")), "query_id")
+    seen = questions.withColumn("_text", text_id(query)).join(wide.groupBy(F.col("query_id").alias("_text")).agg(xs.alias("xs")), "_text")
     evidence = F.array_join(of(lambda x: F.concat_ws(" ", x.text, x.breadcrumb)), " ")
     return seen.select("query_id", of(lambda x: x.citation).alias("citations"), of(lambda x: x.breadcrumb).alias("breadcrumbs"), sufficiency(F.col("question"), of(lambda x: x.score), evidence).alias("sufficiency"))
 

@@ -5,6 +5,11 @@ are. A task multiplies each batch of rows with the block and keeps the best ``k`
 and ranked. Scores are cosines, cut to [0, 1] and rounded to six places, as ranks depend on them; equal scores are ranked by
 id. Null vectors, and those of another length than the question's, are no answers; a zero vector scores 0.
 
+Questions that are mostly zeros, as hashed words are, go as their other numbers, up to ``SPARSE`` of them a block, so that the rows are
+read once for very many questions. A task takes rows of ``CHUNK`` such numbers at a time, each different vector once. Dimensions that
+one in ``FREQUENT`` of them has are multiplied once for all questions that agree there but for a factor; the others are added from lists
+of the rows that have them. What may be among the best by these single-precision sums is computed again in double precision.
+
 The index deals rows to the nearest of some centres, which are fitted on at most ``SAMPLE`` rows drawn by their ids' hashes;
 every row is indexed. A cell that holds a large share of the rows is many files, so no task reads a cell alone. A question
 looks at the cells of its ``probes`` nearest centres; only the files of probed cells are read.
@@ -15,11 +20,18 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from caselode.session import checkpointed
+
 #: Question vectors in a block, numbers of a matrix product, rows that centres are fitted on, and rounds of fitting.
 BLOCK, CELLS, SAMPLE, ROUNDS = 2048, 4_000_000, 20_000, 12
+#: Numbers other than zero in a block of sparse questions and in a chunk of rows; the share of rows that makes a dimension frequent.
+SPARSE, CHUNK, FREQUENT = 4_000_000, 4_000_000, 8
+#: Groups of questions whose frequent dimensions are multiplied at a time, rows of which only the best is looked at first.
+GROUPS, RUN = 32, 256
 
 
 def units(vectors) -> np.ndarray:
@@ -97,11 +109,223 @@ def _ranked(spark: SparkSession, parts: list[DataFrame], k: int, query_kind: str
     return every.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+class Lists:
+    """Sparse vectors one behind the other: where each begins, its dimensions and its numbers."""
+
+    def __init__(self, sizes: np.ndarray, at: np.ndarray, values: np.ndarray):
+        self.starts, self.at, self.values = np.concatenate([[0], np.cumsum(sizes)]), at, values
+
+    def __len__(self) -> int:
+        return len(self.starts) - 1
+
+    def taken(self, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each number of these vectors the place of its vector in some, and its own place."""
+        sizes = self.starts[some + 1] - self.starts[some]
+        ends = np.cumsum(sizes)
+        return np.repeat(np.arange(len(some)), sizes), np.repeat(self.starts[some] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)
+
+    def only(self, some: np.ndarray) -> Lists:
+        _, place = self.taken(some)
+        return Lists(self.starts[some + 1] - self.starts[some], self.at[place], self.values[place])
+
+
+def _finite(m: np.ndarray) -> np.ndarray:
+    """Vectors with a number that is none or has no bound score 0, as zero vectors do."""
+    return np.where(np.isfinite(m).all(axis=1)[:, None], m, 0)
+
+
+def _chunks(batches, width: int):
+    """ids and unit vectors of the rows of this width, in chunks of about CHUNK numbers."""
+    ids, sizes, at, values, n = [], [], [], [], 0
+    for batch in batches:
+        lengths = batch.column(1).value_lengths().fill_null(-1).to_numpy()
+        for start in range(0, batch.num_rows, step := max(1, CELLS // width)):
+            some = np.flatnonzero(lengths[start : start + step] == width) + start
+            if not len(some):
+                continue
+            part = batch.take(pa.array(some))
+            m = units(_finite(part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(some), width)))
+            row, column = np.nonzero(m)
+            ids.append(part.column(0))
+            sizes.append(np.bincount(row, minlength=len(m)))
+            at.append(column.astype(np.int32))
+            values.append(m[row, column])
+            n += len(row) + len(m)
+            if n > CHUNK:
+                yield pa.chunked_array(ids).combine_chunks(), Lists(*map(np.concatenate, (sizes, at, values)))
+                ids, sizes, at, values, n = [], [], [], [], 0
+    if ids:
+        yield pa.chunked_array(ids).combine_chunks(), Lists(*map(np.concatenate, (sizes, at, values)))
+
+
+def _different(rows: Lists, k: int) -> tuple[Lists, Lists]:
+    """The different vectors of rows, and of each the first k places that it has."""
+    seen: dict[bytes, int] = {}
+    at, values, s = rows.at.tobytes(), rows.values.tobytes(), rows.starts.tolist()
+    of = np.array([seen.setdefault(at[4 * a : 4 * b] + values[8 * a : 8 * b], len(seen)) for a, b in zip(s, s[1:], strict=False)])
+    order = np.argsort(of, kind="stable")
+    first = np.searchsorted(of[order], np.arange(len(seen) + 1))
+    sizes = np.minimum(np.diff(first), k)
+    kept = np.arange(len(order)) - np.repeat(first[:-1], np.diff(first)) < k
+    return rows.only(order[first[:-1]]), Lists(sizes, order[kept], np.zeros(0))
+
+
+def _patterns(asked: Lists, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different parts that questions have in the frequent dimensions, divided by their largest number; which one each question has, and that number."""
+    place = np.full(frequent.max(initial=0) + 1 if len(frequent) else 1, -1)
+    place[frequent] = np.arange(len(frequent))
+    seen, of, factor = {}, np.zeros(len(asked), np.int64), np.ones(len(asked))
+    for begin in range(0, len(asked), 4096):
+        some = np.arange(begin, min(begin + 4096, len(asked)))
+        question, number = asked.taken(some)
+        dim = asked.at[number]
+        inside = (dim < len(place)) & (place[np.minimum(dim, len(place) - 1)] >= 0)
+        m = np.zeros((len(some), max(1, len(frequent))))
+        m[question[inside], place[dim[inside]]] = asked.values[number[inside]]
+        most = np.abs(m).max(axis=1)
+        factor[some] = np.where(most > 0, most, 1)
+        m = np.round(m / factor[some, None], 9) + 0.0
+        of[some] = [seen.setdefault(r.tobytes(), len(seen)) for r in m]
+    return np.frombuffer(b"".join(seen), np.float64).reshape(len(seen), -1), of, factor
+
+
+def _found(asked: Lists, rows: Lists, owned: Lists, width: int, k: int, least: np.ndarray):
+    """question, places and scores of the k best rows of each question that are no worse than least, which goes up to the k-th score."""
+    n = len(rows)
+    order = np.argsort(rows.at, kind="stable")
+    begins = np.searchsorted(rows.at[order], np.arange(width + 1))
+    row, value = np.repeat(np.arange(n), np.diff(rows.starts))[order], rows.values[order].astype(np.float32)
+    frequent = np.flatnonzero(np.diff(begins) * FREQUENT > n)
+    often = np.zeros(width, bool)
+    often[frequent] = True
+    dense = np.zeros((max(1, len(frequent)), n), np.float32)
+    for i, d in enumerate(frequent):
+        dense[i, row[begins[d] : begins[d + 1]]] = value[begins[d] : begins[d + 1]]
+    patterns, of, factor = _patterns(asked, frequent)
+    runs, sums = -(-n // RUN), None
+    sums = np.full(runs * RUN, -np.inf, np.float32)
+    members, spread = owned.starts, np.zeros(width)
+    by_group = np.argsort(of, kind="stable")
+    cuts = np.searchsorted(of[by_group], np.arange(len(patterns) + 1))
+    for first in range(0, len(patterns), GROUPS):
+        products = patterns[first : first + GROUPS].astype(np.float32) @ dense
+        for g, base in enumerate(products, first):
+            for q in by_group[cuts[g] : cuts[g + 1]]:
+                own = slice(asked.starts[q], asked.starts[q + 1])
+                at, values = asked.at[own], asked.values[own]
+                sums[:n] = base
+                for d, w in zip(at.tolist(), (values / factor[q]).tolist(), strict=True):
+                    if not often[d] and begins[d] < begins[d + 1]:
+                        here = slice(begins[d], begins[d + 1])
+                        sums[row[here]] += np.float32(w) * value[here]
+                best = sums.reshape(runs, RUN).max(axis=1)
+                error = (len(at) + len(frequent) + 8) * 1.2e-7
+                bound = least[q] - 5e-7 - error
+                if runs >= k:  # so many rows at least are as good as the k-th best run
+                    bound = max(bound, factor[q] * float(np.partition(best, runs - k)[runs - k]) - 2e-6 - 2 * error)
+                bound = bound / factor[q] if bound > 0 else -np.inf
+                some = np.flatnonzero(best >= bound)
+                if not len(some):
+                    continue
+                part, place = np.nonzero(sums.reshape(runs, RUN)[some] >= bound)
+                place = some[part] * RUN + place
+                place = place[place < n]
+                spread[at] = values
+                which, number = rows.taken(place)
+                score = np.bincount(which, weights=rows.values[number] * spread[rows.at[number]], minlength=len(place))
+                spread[at] = 0
+                score = np.round(np.clip(score, 0, 1), 6)
+                good = score >= least[q]
+                which, number = owned.taken(place[good])
+                score, number = score[good][which], owned.at[number]
+                top = np.lexsort((number, -score))[:k]
+                if len(top):
+                    if len(top) == k:
+                        least[q] = max(least[q], score[top[-1]])
+                    yield q, number[top], score[top]
+
+
+def _sparse_best(rows: DataFrame, names: pa.Array, asked: Lists, width: int, k: int, id_col: str, vector_col: str, kinds: tuple[str, str]) -> DataFrame:
+    """query_id and found, each chunk's k best rows of a question, scores below 0."""
+
+    def run(batches):
+        least = np.full(len(asked), -1.0)  # of what a task has found so far
+        for ids, vectors in _chunks(batches, width):
+            order = pc.sort_indices(ids)
+            ids, vectors = ids.take(order), vectors.only(order.to_numpy())
+            questions, places, scores = [], [], []
+
+            def out():
+                struct = pa.StructArray.from_arrays([pa.array(-np.concatenate(scores)), ids.take(pa.array(np.concatenate(places)))], ["below", "id"])  # noqa: B023
+                ends = np.concatenate([[0], np.cumsum([len(x) for x in places])])  # noqa: B023
+                return pa.RecordBatch.from_arrays([names.take(pa.array(questions)), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), struct)], ["query_id", "found"])  # noqa: B023
+
+            for q, place, score in _found(asked, *_different(vectors, k), width, k, least):
+                questions.append(q)
+                places.append(place)
+                scores.append(score)
+                if len(questions) == 10_000:
+                    yield out()
+                    questions, places, scores = [], [], []
+            if questions:
+                yield out()
+
+    return rows.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v")).where("id is not null").mapInArrow(run, f"query_id {kinds[0]}, found array<struct<below:double,id:{kinds[1]}>>")
+
+
+def _sparse_blocks(questions: DataFrame, total: int):
+    """Names, unit vectors and width of the sparse questions, block by block."""
+    block = lambda n: F.pmod(F.xxhash64("query_id"), F.lit(n))
+    n = -(-2 * total // SPARSE) or 1
+    while n > 1 and not questions.groupBy(block(n).alias("b")).agg(F.sum(F.size("at")).alias("n"), F.count(F.lit(1)).alias("all")).where((F.col("n") > SPARSE) & (F.col("all") > 1)).isEmpty():
+        n *= 2
+    for b in range(n):
+        table = questions.where(block(n) == b).toArrow()  # at most SPARSE numbers, or one question
+        for width in sorted(pc.unique(table["width"]).to_pylist()):
+            rows = table.filter(pc.equal(table["width"], width)).combine_chunks()
+            lists = Lists(pc.list_value_length(rows["at"]).to_numpy(), rows["at"].combine_chunks().flatten().to_numpy(), rows["values"].combine_chunks().flatten().to_numpy())
+            of = np.repeat(np.arange(len(lists)), np.diff(lists.starts))
+            bad = np.bincount(of, weights=~np.isfinite(lists.values), minlength=len(lists)) > 0
+            values = np.where(bad[of], 0, lists.values)
+            norm = np.sqrt(np.bincount(of, weights=values * values, minlength=len(lists)))
+            yield rows["query_id"].combine_chunks(), Lists(np.diff(lists.starts), lists.at, values / np.where(norm == 0, 1, norm)[of]), width
+
+
+def _sparse_nearest(questions: DataFrame, rows: DataFrame, k: int, id_col: str, vector_col: str) -> DataFrame | None:
+    """As ``nearest``; None if the questions are not sparse."""
+    kinds = (dict(questions.dtypes)["query_id"], dict(rows.dtypes)[id_col])
+
+    def run(batches):
+        for batch in batches:
+            batch = batch.filter(pc.is_valid(batch.column(1)))
+            lists = batch.column(1)
+            width = lists.value_lengths().to_numpy()
+            number = lists.flatten().to_numpy(zero_copy_only=False)
+            some = np.flatnonzero(number)
+            ends = np.searchsorted(some, np.concatenate([[0], np.cumsum(width)]))
+            at = some - np.repeat(np.cumsum(width) - width, np.diff(ends))
+            one = lambda x: pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(x))  # noqa: B023, E731
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(width, pa.int32()), one(at.astype(np.int32)), one(number[some].astype(np.float64))], ["query_id", "width", "at", "values"])
+
+    sparse = checkpointed(questions.select("query_id", "vector").mapInArrow(run, f"query_id {kinds[0]}, width int, at array<int>, values array<double>"))
+    total, width, least = sparse.agg(F.sum(F.size("at")), F.sum("width"), F.min("width")).head()
+    if not least or total * 8 > width:
+        return None
+    found = None
+    for names, asked, width in _sparse_blocks(sparse, total):
+        part = _sparse_best(rows, names, asked, width, k, id_col, vector_col, kinds)
+        found = part if found is None else found.unionByName(part)
+    best = found.groupBy("query_id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("found"))), 1, k).alias("xs")).select("query_id", F.posexplode("xs").alias("place", "x"))
+    return best.select("query_id", "x.id", F.abs("x.below").alias("score"), (F.col("place") + 1).alias("rank"))
+
+
 def nearest(questions: DataFrame, rows: DataFrame, k: int, id_col: str = "id", vector_col: str = "vector", itself: bool = True) -> DataFrame:
     """query_id, id, score and rank of the k nearest rows of each question (query_id, vector); all rows compete.
 
     With itself=False a row is no answer to the question with its own id.
     """
+    if itself and (found := _sparse_nearest(questions, rows, k, id_col, vector_col)) is not None:
+        return found
     spark, parts = rows.sparkSession, []
     query_kind = dict(questions.dtypes)["query_id"]
     for ids, asked in _blocks(questions):

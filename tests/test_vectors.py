@@ -44,6 +44,42 @@ def test_exact(spark, rows, monkeypatch, block, cells):
     assert got(vectors.nearest(q.where("false"), df, 3)) == got(vectors.nearest(q, df.where("false"), 3)) == set()
 
 
+def sparse_rows(signs):
+    draw, out = np.random.default_rng(5), []
+    for i in range(500):
+        v = np.zeros(128)
+        v[:6] = np.array([3, 3, 3, 1, 0, 0]) * (i % 3 > 0)  # what very many share
+        at = draw.integers(0, 128, 1 + i % 5)
+        v[at] += 1 + np.log(draw.integers(1, 4, len(at)))
+        if signs:
+            v[at[:1]] *= -1
+        out.append((f"v{(i * 7919) % 1000:04d}", v.round(3).tolist()))
+    return out + [("same1", out[5][1]), ("same0", out[5][1]), ("zero", [0.0] * 128), ("short", [1.0, 2.0]), ("null", None)]
+
+
+@pytest.mark.parametrize("chunk,block,run", [(4_000_000, 4_000_000, 256), (900, 300, 3)])
+@pytest.mark.parametrize("signs", [False, True])
+def test_sparse_questions(spark, monkeypatch, signs, chunk, block, run):
+    for name, n in (("CHUNK", chunk), ("SPARSE", block), ("RUN", run), ("GROUPS", 2), ("CELLS", 128 * 40)):
+        monkeypatch.setattr(vectors, name, n)
+    rows = sparse_rows(signs)
+    asked = rows[:60] + rows[-5:]
+    df = spark.createDataFrame(rows + [("nan", [float("nan")] + [1.0] * 127)], "id string, vector array<double>").repartition(3)
+    q = spark.createDataFrame(asked, "query_id string, vector array<double>")
+    assert vectors._sparse_nearest(q, df, 4, "id", "vector") is not None
+    want = brute([(i, v) for i, v in asked if v is not None], [*rows, ("nan", [0.0] * 128)], 4)
+    assert got(vectors.nearest(q, df, 4)) == want
+
+
+def test_sparse_questions_read_the_rows_once(spark):
+    rows = sparse_rows(False)[:500]
+    df = spark.createDataFrame(rows, "id string, vector array<double>")
+    q = spark.range(5000).select(F.concat(F.lit("q"), "id").alias("query_id"), F.transform(F.sequence(F.lit(0), F.lit(127)), lambda i: (i == F.pmod(F.col("id"), F.lit(128))).cast("double")).alias("vector"))
+    found = vectors.nearest(q, df, 2)
+    assert found._jdf.queryExecution().simpleString().count("MapInArrow") == 1  # more than two blocks of BLOCK before
+    assert found.count() == 10_000
+
+
 def test_cells_find_nine_in_ten(spark, rows, tmp_path):
     df = spark.createDataFrame([r for r in rows if r[1] is not None and len(r[1]) == 12], "id string, vector array<double>")
     vectors.write_cells(df, f"{tmp_path}/c", 16)
