@@ -30,12 +30,12 @@ def vector(document: Column) -> Column:
     return retrieval.hashing_embedding(T.embedding_tokens(document))
 
 
-def ingest(docs: DataFrame, path: str) -> dict:
-    """Parses docs, embeds leaf and parent rows and publishes both as one version; gives its manifest.
+def ingest(docs: DataFrame, path: str, tree: DataFrame | None = None) -> dict:
+    """Parses docs, embeds leaf and parent rows and publishes both as one version; gives its manifest. tree: docs ``parsed`` already.
 
     A corpus without a leaf is an error, as nothing could be found in it; ids that repeat are one as well.
     """
-    tree = parsed(docs)
+    tree = parsed(docs) if tree is None else tree
     leaves, parents = structure.leaves(tree), structure.parents(tree)
     if leaves.isEmpty():
         raise ValueError("the documents have no leaves; nothing is published")

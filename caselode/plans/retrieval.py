@@ -23,16 +23,16 @@ HITS, CAP, KEEP, ROOM = 12, 700, 6, 900
 BASELINE_FAILURES = 20
 
 
-def published(spark, sf_dir):
-    """The folder of an index of all Acts, published just now."""
+def published(spark, docs, tree=None):
+    """The folder of an index of docs, which several passes read, published just now."""
     path = f"{shared_folder(spark)}/caselode/index-{uuid.uuid4().hex}"
-    ingest.ingest(acts(spark, sf_dir), path)
+    ingest.ingest(docs, path, tree)
     return path
 
 
 def ingested_index(spark, sf_dir):
     """Leaf and parent rows of a published index, read back, by what they stand in."""
-    path = published(spark, sf_dir)
+    path = published(spark, checkpointed(acts(spark, sf_dir)))
     leaves, parents = ingest.opened(spark, path)
     row = lambda df, tier, parent: df.select(F.lit(tier).alias("tier"), "doc_id", "id", "citation", parent.alias("parent_id"), "chars", F.sha2("document", 256).alias("sha"), (F.round(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x), 6) == 1).alias("embedded"))
     return row(leaves, "leaf", F.col("parent_id")).unionByName(row(parents, "parent", F.lit("")))
@@ -90,7 +90,7 @@ def _keyed(index):
 
 def asked_questions(spark, sf_dir):
     """The gated loop over questions about each segment of each Act, against the published index."""
-    leaves, parents = _keyed(ingest.opened(spark, published(spark, sf_dir)))
+    leaves, parents = _keyed(ingest.opened(spark, published(spark, checkpointed(acts(spark, sf_dir)))))
     heads = leaves.where("heading <> ''").select("doc_id", "heading").distinct()
     questions = heads.select(F.concat_ws("/", "doc_id", "heading").alias("query_id"), F.concat(F.lit("How are "), F.lower("heading"), F.lit(" of Act "), "doc_id", F.lit(" kept?")).alias("question"))
     return retrieval.asked(questions, leaves, parents.select("parent_id", "citation", "breadcrumb", F.col("raw_text").alias("text"))).select("query_id", "attempts", F.round("sufficiency", 4).alias("sufficiency"), "route")
@@ -104,9 +104,9 @@ def golden_candidates(spark, sf_dir):
 
 def golden_rows(spark, sf_dir):
     """The candidates and questions out of scope, checked against the index that they were drawn from."""
-    path = published(spark, sf_dir)
-    leaves, parents = _keyed(ingest.opened(spark, path))
-    t = tree(spark, sf_dir)
+    docs = checkpointed(acts(spark, sf_dir))
+    t = ingest.parsed(docs)
+    leaves, parents = _keyed(ingest.opened(spark, published(spark, docs, t)))
     rows = golden.candidates(t, named=True).unionByName(golden.out_of_scope(spark)).unionByName(golden.known_failures(spark))
     return golden.verified(rows, leaves, parents.select("parent_id", "citation", "breadcrumb", F.col("raw_text").alias("text")))
 

@@ -2,8 +2,9 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
-from caselode.operators import golden, ingest, retrieval, structure
 from caselode.functions import text as T
+from caselode.operators import compare, golden, ingest, retrieval, structure, vectors
+from caselode.plans.retrieval import golden_rows
 
 ACT = "An Act about Pay 2026\n\nBE IT ENACTED by us\n\n" + "".join(
     f"                 PART {p}\n\n            {name}\n\n" + "".join(f"{10 * p + i}     {title} of {name.lower()} number{i}\n\n    (1)  The {word} of {name.lower()} is settled by officers.\n\n" for i, (title, word) in enumerate([("Power to make rules", "rulebook"), ("Notice: form", "notice"), ("Right to pay", "payment"), ("Records", "recording"), ("Appeals", "appealing"), ("Inspection", "inspector"), ("Fees", "feepaying")]))
@@ -51,3 +52,26 @@ def test_answers_by_hand(spark):
     best = sorted(v, key=lambda r: (-round(min(1, max(0, sum(a * b for a, b in zip(ask.v, r.vector, strict=True)))), 6), r.id))
     assert found["q"].citations[0] == best[0].citation.split("(")[0] == "s.26" and ask.t == ["holidays", "number6"]
     assert found["q"].sufficiency > 0.65
+
+
+def test_equal_questions_are_searched_once(spark, monkeypatch):
+    tree = ingest.parsed(spark.createDataFrame([("pay", ACT)], "doc_id string, text string")).cache()
+    leaves = structure.leaves(tree).withColumn("vector", ingest.vector(F.col("document"))).cache()
+    parents = structure.parents(tree).select(F.col("id").alias("parent_id"), "citation", "breadcrumb", F.col("raw_text").alias("text"))
+    texts = {f"q{i}": None if i == 5 else ["What are the fees of wages number6?", "fees of holidays number6", ""][i % 3] for i in range(12)}
+    q = spark.createDataFrame(list(texts.items()), "query_id string, question string")
+    searched, nearest = [], vectors.nearest
+    monkeypatch.setattr(vectors, "nearest", lambda asked, *a, **b: searched.append(asked.count()) or nearest(asked, *a, **b))
+    hits = compare.compared(q, compare.windows(spark.createDataFrame([("pay", ACT)], "doc_id string, text string")), leaves, parents).collect()
+    found = {r.query_id: (tuple(r.citations), r.sufficiency) for r in retrieval.answered(q.where("query_id <> 'q5'"), leaves, parents).collect()}
+    assert searched == [3, 3, 3]
+    per = {i: sorted((r.pipeline, r.place, r.id, r.score) for r in hits if r.query_id == i) for i in texts}
+    assert len(found) == 11 and all(per[i] == per[f"q{'2' if t is None else int(i[1:]) % 3}"] and len(per[i]) > 3 for i, t in texts.items())
+    assert all(found[i] == found[f"q{int(i[1:]) % 3}"] for i in found)
+
+
+def test_golden_rows_parse_the_acts_once(spark, sf_dir, monkeypatch):
+    parsed, calls = ingest.parsed, []
+    monkeypatch.setattr(ingest, "parsed", lambda docs: calls.append(1) or parsed(docs))
+    golden_rows(spark, sf_dir)
+    assert len(calls) == 1
