@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from caselode.functions import lexicons as L
 from caselode.functions import text as T
 from caselode.operators import retrieval, vectors
+from caselode.session import checkpointed
 
 
 def windows(docs: DataFrame, size: int = L.CHUNK, overlap: int = L.OVERLAP) -> DataFrame:
@@ -19,12 +20,13 @@ def windows(docs: DataFrame, size: int = L.CHUNK, overlap: int = L.OVERLAP) -> D
 
 def compared(questions: DataFrame, plain: DataFrame, leaves: DataFrame, parents: DataFrame, k: int = 3) -> DataFrame:
     """query_id, pipeline, place, id, score, citation (empty where a hit has none) and preview: the k hits of each index to each question."""
-    by = questions.select("query_id", retrieval.hashing_embedding(T.embedding_tokens(F.col("question"))).alias("vector"))
+    by = checkpointed(retrieval.different(questions, "question"))
     hits = vectors.nearest(by, plain, k).join(plain.select("id", "text"), "id")
     simple = hits.select("query_id", F.lit("simple").alias("pipeline"), F.col("rank").cast("int").alias("place"), "id", F.round("score", 4).alias("score"), F.lit("").alias("citation"), T.preview(F.col("text")).alias("preview"))
-    found = retrieval.search(by, leaves, k).select("query_id", "rank", "citation", "text", "score", "parent_id")
+    found = checkpointed(retrieval.search(by, leaves, k).select("query_id", "rank", "citation", "text", "score", "parent_id"))
     wide = retrieval.expanded(found, parents, k)
-    return simple.unionByName(wide.select("query_id", F.lit("hierarchical").alias("pipeline"), (F.col("place") + 1).cast("int").alias("place"), F.concat_ws("#", "parent_id", "citation").alias("id"), F.round("score", 4).alias("score"), "citation", T.preview(F.col("text")).alias("preview")))
+    both = simple.unionByName(wide.select("query_id", F.lit("hierarchical").alias("pipeline"), (F.col("place") + 1).cast("int").alias("place"), F.concat_ws("#", "parent_id", "citation").alias("id"), F.round("score", 4).alias("score"), "citation", T.preview(F.col("text")).alias("preview")))
+    return questions.select("query_id", retrieval.text_id("question").alias("_text")).join(both.withColumnRenamed("query_id", "_text"), "_text").drop("_text")
 
 
 def summary(hits: DataFrame) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from caselode.functions import exports as X
@@ -11,7 +9,7 @@ from caselode.functions import lexicons as L
 from caselode.operators import compare, ingest
 from caselode.plans import evaluation, guard, retrieval
 from caselode.plans.structure import acts
-from caselode.session import read_table, shared_folder
+from caselode.session import checkpointed, read_table
 
 
 def log_stamps(spark, sf_dir):
@@ -59,10 +57,8 @@ def refusal_texts(spark, sf_dir):
 
 def compared_indexes(spark, sf_dir):
     """The same questions against fixed windows of the Acts and against their index: hits and citable hits, side by side."""
-    docs = acts(spark, sf_dir)
-    path = f"{shared_folder(spark)}/caselode/index-{uuid.uuid4().hex}"
-    ingest.ingest(docs, path)
-    leaves, parents = retrieval._keyed(ingest.opened(spark, path))
+    docs = checkpointed(acts(spark, sf_dir))
+    leaves, parents = retrieval._keyed(ingest.opened(spark, retrieval.published(spark, docs)))
     heads = leaves.where("heading <> ''").select("doc_id", "heading").distinct()
     questions = heads.select(F.concat_ws("/", "doc_id", "heading").alias("query_id"), F.concat(F.lit("Which customers have "), F.lower("heading"), F.lit("?")).alias("question"))
     return compare.summary(compare.compared(questions, compare.windows(docs), leaves, parents.select("parent_id", "citation", "breadcrumb", F.col("raw_text").alias("text"))))
