@@ -6,16 +6,17 @@ k - 1 words starts and the next position starts one too (Apriori). Tasks name a
 words in the trie of frequent phrases and its last word, and send its count, capped at the least that is asked for, in
 sorted blocks by shard; a shard adds the blocks up and keeps what reaches that least, which capping does not change. So
 the candidates that are put into the next trie are few. At last there is one trie of all of them: numpy moves the
-states of all positions of a slice on by one word, position arrays shrinking to those still alive; a task counts the
+states of all positions on by one word, position arrays shrinking to those still alive; a task counts the
 accepting states with bincount, and the tasks' counts are added up.
 
 A trie is two arrays: from state s the digit d leads to base[s] + d if check[base[s] + d] is s. A word is ``DIGITS`` digits of
 ``BITS`` bits, so a state has at most 128 ways on. Frequent words are dealt to ``PARTS`` parts by hash, and the ids of a part
 follow each other; phrases belong to the part of their first word. A task for each part numbers its words, builds its stretch
-of the trie and names its phrases; these lie as files in the shared folder, and workers put the stretches one behind the
-other. The driver sees the sizes of the parts, never a word, a phrase or a trie. Workers hold words and tries only if words and
-phrases are at most ``BOUND``, which is checked; otherwise, and if spark.checkpoint.dir is not a folder that all nodes mount,
-phrases are counted by ordinary shuffles, as words are.
+of the trie and names its phrases; these lie as files in the shared folder. A worker deals the positions of ``FLUSH`` words to
+the parts of their words and walks one part's stretch after the other, mapped from its file, so it never holds a whole trie, however
+many phrases there are. The driver sees the sizes of the parts, never a word, a phrase or a trie. Workers hold the frequent words, if
+these are at most ``BOUND``, which is checked; otherwise, and if spark.checkpoint.dir is not a folder that all nodes mount, phrases
+are counted by ordinary shuffles, as words are.
 
 Defined results: null texts are empty and have no words; a null lang counts as ``und``. Repeated rows are counted each.
 Equal scores are ordered by count and then by the phrase's UTF-8 bytes. Empty tables give no rows. Extra columns are
@@ -38,10 +39,10 @@ from caselode.llm.lm import local_path, opened, publish
 from caselode.llm.near_dedup import mix
 
 LEAST, LONGEST, TOP, INSIDE = 30, 4, 2000, 80
-#: Words and phrases that a worker may hold, and parts that they are dealt to.
+#: Words that a worker may hold, and parts that words and phrases are dealt to.
 BOUND, PARTS = 2**21, 64
 DIGITS, BITS = 3, 7
-#: Distinct words, and candidate positions, that a task gathers before it sends counts on; words of text a shard is meant for.
+#: Distinct words, and positions, that a task gathers before it sends counts on; words of text a shard is meant for.
 WORDS, FLUSH, SHARD = 500_000, 2_000_000, 4_000_000
 
 #: A-Z to a-z, piece ends to line feeds, tabs to spaces; 0xFF, which no UTF-8 text has, will mark piece ends.
@@ -216,11 +217,10 @@ def moved(base: np.ndarray, check: np.ndarray, states: np.ndarray, words: np.nda
     return states
 
 
-def walked(base: np.ndarray, check: np.ndarray, ids: np.ndarray, levels: int, root=None):
-    """For each number of words up to levels: the positions from which so many lead to a state, and the states.
-    root gives the states in which these first words start; without it, that is state 1."""
-    at = np.flatnonzero(ids)
-    states = root(ids[at]) if root else np.ones(len(at), np.int32)
+def walked(base: np.ndarray, check: np.ndarray, ids: np.ndarray, levels: int, at: np.ndarray | None = None):
+    """For each number of words up to levels: the positions (of those in at, if given) from which so many lead to a state, and the states."""
+    at = np.flatnonzero(ids) if at is None else at
+    states = np.ones(len(at), np.int32)
     for level in range(levels):
         inside = at + level < len(ids)
         at, states = at[inside], states[inside]
@@ -231,6 +231,20 @@ def walked(base: np.ndarray, check: np.ndarray, ids: np.ndarray, levels: int, ro
         yield at, states
 
 
+def joined(batches):
+    """Runs of ids, FLUSH positions or more at a time; each ends with a 0."""
+    parts, n = [], 0
+    for batch in batches:
+        for raw in batch.column(0).to_pylist():
+            parts.append(np.frombuffer(raw, np.int32))
+            n += len(parts[-1])
+            if n >= FLUSH:
+                yield np.concatenate(parts)
+                parts, n = [], 0
+    if parts:
+        yield np.concatenate(parts)
+
+
 def summed(keys: np.ndarray, counts: np.ndarray, most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct keys and the sums of their counts, at most ``most`` each."""
     order = np.argsort(keys, kind="stable")
@@ -260,23 +274,16 @@ class Tries:
         """starts: the first word id of each part. slots: lengths of the parts' arrays, 0 where a part has no phrase."""
         self.folder, self.name, self.starts = folder, name, starts
         self.begins = np.cumsum([0, *slots])
-        self.roots = np.where(np.diff(self.begins) > 0, self.begins[:-1] + 1, 0).astype(np.int32)
 
-    def root(self, words: np.ndarray) -> np.ndarray:
-        return self.roots[part_of(self.starts, words)]
-
-    def arrays(self) -> tuple[np.ndarray, np.ndarray]:
-        """base and check of the whole trie. The first two places of a stretch are no states, so 0 is nowhere here too."""
-        base, check = np.empty(self.begins[-1], np.int32), np.empty(self.begins[-1], np.int32)
-        for p in np.flatnonzero(np.diff(self.begins)):
-            own = slice(self.begins[p], self.begins[p + 1])
-            base[own] = opened(f"{self.folder}/{self.name}-{p}.base", "<i4") + np.int32(own.start)
-            parent = opened(f"{self.folder}/{self.name}-{p}.check", "<i4")
-            check[own] = np.where(parent > 0, parent + np.int32(own.start), parent)
-        return base, check
-
-    def held(self) -> tuple[np.ndarray, np.ndarray]:
-        return memory((self.folder, self.name), self.arrays)
+    def walked(self, ids: np.ndarray, levels: int):
+        """For each part: itself, and ``walked`` from the positions of its words. States are those of its own stretch."""
+        at = np.flatnonzero(ids)
+        part = part_of(self.starts, ids[at]).astype(np.int16)
+        at = at[np.argsort(part, kind="stable")]
+        cuts = np.concatenate([[0], np.cumsum(np.bincount(part, minlength=PARTS))])
+        for p in np.flatnonzero((np.diff(cuts) > 0) & (np.diff(self.begins) > 0)):
+            base, check = (np.asarray(opened(f"{self.folder}/{self.name}-{p}.{suffix}", "<i4")) for suffix in ("base", "check"))
+            yield p, list(walked(base, check, ids, levels, at[cuts[p] : cuts[p + 1]]))
 
     def places(self, part: int, states: np.ndarray) -> np.ndarray:
         """Which of a part's phrases end in these states."""
@@ -319,25 +326,17 @@ def capped(coded: DataFrame, vocabulary: Vocabulary, tries: Tries | None, size:
     size words that occur ``least`` times or more."""
 
     def run(batches):
-        waiting, n = [], 0
-        gathered = lambda: sent(*summed(np.concatenate([k for k, _ in waiting]), np.concatenate([c for _, c in waiting]), least), shards)
-        for batch in batches:
-            for raw in batch.column(0).to_pylist():
-                ids = np.frombuffer(raw, np.int32)
-                if tries is None:
-                    at, states = np.flatnonzero(ids), ids[ids > 0]
-                else:
-                    at, states = list(walked(*tries.held(), ids, size - 1, tries.root))[-1]
-                both = np.flatnonzero(at[1:] == at[:-1] + 1)  # the next position starts a frequent phrase too
-                key = states[both].astype(np.int64) << (DIGITS * BITS) | ids[at[both] + size - 1]
-                if len(key):
-                    waiting.append(np.unique(key, return_counts=True))
-                    n += len(waiting[-1][0])
-                if n > FLUSH:
-                    yield from gathered()
-                    waiting, n = [], 0
-        if waiting:
-            yield from gathered()
+        for ids in joined(batches):
+            states = np.zeros(len(ids), np.int64)
+            if tries is None:
+                states[:] = ids
+            else:
+                for part, levels in tries.walked(ids, size - 1):
+                    at, own = levels[-1]
+                    states[at] = own + tries.begins[part]
+            both = np.flatnonzero((states[:-1] > 0) & (states[1:] > 0))  # the next position starts a frequent phrase too
+            keys, counts = np.unique(states[both] << (DIGITS * BITS) | ids[both + size - 1], return_counts=True)
+            yield from sent(keys, np.minimum(counts, least), shards)
 
     starts = tries.begins if tries else vocabulary.starts
     return added(coded.mapInArrow(run, BLOCK_SCHEMA), least, starts, DIGITS * BITS).select("part", "key")
@@ -379,19 +378,14 @@ def trie_counts(coded: DataFrame, vocabulary: Vocabulary, tries: Tries, longest:
     folder = vocabulary.folder
 
     def count(batches):
-        base, check = tries.held()
-        total, waiting, n = np.zeros(len(base), np.int64), [], 0
-        for batch in batches:
-            for raw in batch.column(0).to_pylist():
-                waiting += [states for level, (_, states) in enumerate(walked(base, check, np.frombuffer(raw, np.int32), longest, tries.root)) if level]
-                n += sum(map(len, waiting[1 - longest :]))
-                if n > FLUSH:
-                    total += np.bincount(np.concatenate(waiting), minlength=len(total))
-                    waiting, n = [], 0
-        if waiting:
-            total += np.bincount(np.concatenate(waiting), minlength=len(total))
-        some = np.flatnonzero(total)
-        yield from sent(some, total[some], shards)
+        for ids in joined(batches):
+            keys, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for part, levels in tries.walked(ids, longest):
+                total = np.bincount(np.concatenate([states for _, states in levels[1:]]))
+                some = np.flatnonzero(total)
+                keys.append(some + tries.begins[part])
+                counts.append(total[some])
+            yield from sent(np.concatenate(keys), np.concatenate(counts), shards)
 
     def name(rows: pa.Table) -> pa.Table:
         part, table = rows.column("part")[0].as_py(), memory((folder, "words"), vocabulary.table)
@@ -426,25 +420,18 @@ def counted(df: DataFrame, lang_col: str, text_col: str, least: int = LEAST, bou
     singles = written(plain_counts(rows, (1,)).where((F.col("f") >= least) | F.col("phrase").isNull()), "words")
     totals, words = singles.where("phrase is null").select("lang", F.col("f").alias("n")), singles.where("phrase is not null")
 
-    def shuffled() -> tuple[DataFrame, DataFrame]:
+    if words.count() >= bound or not (folder := mapped_folder(df.sparkSession)):
         rest = plain_counts(rows, tuple(range(2, LONGEST + 1))).where((F.col("f") >= least) & F.col("phrase").isNotNull())
         return words.unionByName(written(rest, "phrases")), totals
-
-    if words.count() >= bound or not (folder := mapped_folder(df.sparkSession)):
-        return shuffled()
     vocabulary = numbered(words, folder)
     if not vocabulary.total:
         return words, totals
     coded = written(encoded(rows, vocabulary), "encoded")
     shards = max(16, -(-(totals.agg(F.sum("n")).head()[0] or 0) // SHARD))
-    n, longest, tries = 0, 1, None
+    longest, tries = 1, None
     for size in range(2, LONGEST + 1):
         keys = written(capped(coded, vocabulary, tries, size, least, shards), "candidates")
-        more = keys.count()
-        n += more
-        if n > bound:
-            return shuffled()
-        if not more:
+        if keys.isEmpty():
             break
         tries, longest = extended(keys, vocabulary, tries, size), size
     if longest < 2:

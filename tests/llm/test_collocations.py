@@ -113,3 +113,15 @@ def test_shared_folder_that_is_not_mounted(spark, monkeypatch):
     monkeypatch.setattr(module, "scratch", lambda spark, name: asked.append(name) or f"hdfs://name/{name}")
     assert got(collocations(df, least=5)) == plain(rows, 5)
     assert asked
+
+
+def test_more_phrases_than_the_bound_of_words(spark, monkeypatch):
+    draw, counted, sizes = random.Random(4), module.plain_counts, []
+    rows = [("en", " ".join(f"w{draw.randrange(12)}" for _ in range(80))) for _ in range(150)]
+    df = spark.createDataFrame(rows, "lang string, text string").repartition(5)
+    want = plain(rows, 5)
+    assert len(want) > 144
+    monkeypatch.setattr(module, "plain_counts", lambda texts, some: sizes.append(some) or counted(texts, some))
+    monkeypatch.setattr(module, "FLUSH", 500)
+    assert got(collocations(df, least=5, bound=20)) == want
+    assert sizes == [(1,)]  # phrases by tries, not by shuffles
